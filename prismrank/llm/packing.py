@@ -21,7 +21,7 @@ from prismrank.llm.common import text_of
 from prismrank.llm.tokens import encoder
 
 #: Tokens of remainders that a task holds before it packs them.
-BUFFER_TOKENS = 8_000_000
+BUFFER_TOKENS = 3_000_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
