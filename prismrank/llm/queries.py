@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import licenses, packing, secrets
+from prismrank.llm import licenses, packing, quality, secrets
 from prismrank.llm.common import read
 
 
@@ -24,10 +24,15 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
+    "op7_quality": op7_quality,
 }
 
 ORACLES: dict[str, str] = {}
