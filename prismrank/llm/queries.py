@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import licenses, packing, quality, secrets
+from prismrank.llm import huffman, licenses, packing, quality, secrets
 from prismrank.llm.common import read
 
 
@@ -28,11 +28,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op7_quality": op7_quality,
+    "op8_huffman": op8_huffman,
 }
 
 ORACLES: dict[str, str] = {}
