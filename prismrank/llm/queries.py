@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import huffman, licenses, packing, quality, secrets
+from prismrank.llm import forest, huffman, licenses, packing, quality, secrets
 from prismrank.llm.common import read
 
 
@@ -32,12 +32,18 @@ def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return forest.search(rows, rows.filter("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op7_quality": op7_quality,
     "op8_huffman": op8_huffman,
+    "op9_forest": op9_forest,
 }
 
 ORACLES: dict[str, str] = {}
