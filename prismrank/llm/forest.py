@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 SHARD_ROWS, BLOCK_QUERIES, LEAST_SHARDS = 20_000, 4_096, 8
 TREES, BITS, TABLE_BITS = 64, 32, 12
 #: Candidates that a query gathers from a shard: this share of its rows, counted in every tree that gives them; at least so many times k.
-SHARE, LEAST_TIMES = 0.7, 4
+SHARE, LEAST_TIMES = 0.8, 25
 
 
 class Forest:
