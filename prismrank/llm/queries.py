@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.llm import forest, huffman, licenses, packing, quality, secrets
+from prismrank.llm import forest, huffman, licenses, packing, quality, secrets, toxicity
 from prismrank.llm.common import read
 
 
@@ -37,6 +37,11 @@ def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.search(rows, rows.filter("vec_id % 20 = 0"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_licenses": op4_licenses,
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality": op7_quality,
     "op8_huffman": op8_huffman,
     "op9_forest": op9_forest,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
