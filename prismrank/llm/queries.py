@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prismrank.llm import forest, huffman, licenses, packing, quality, secrets, toxicity
+from prismrank.llm import forest, huffman, licenses, packing, pages, quality, secrets, toxicity
 from prismrank.llm.common import read
 
 
@@ -16,6 +17,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(pieces)
 
 
+def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
@@ -44,6 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_pages": op3_pages,
     "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
     "op7_quality": op7_quality,
