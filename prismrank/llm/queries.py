@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismrank.llm import forest, huffman, licenses, packing, pages, quality, secrets, toxicity
+from prismrank.llm import forest, huffman, licenses, neardup, packing, pages, quality, secrets, toxicity
 from prismrank.llm.common import read
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.link(read(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.piece_digests(pieces)
@@ -49,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
     "op3_pages": op3_pages,
     "op4_licenses": op4_licenses,
