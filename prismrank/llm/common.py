@@ -63,3 +63,12 @@ def map_batches(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Call
             yield pa.RecordBatch.from_pydict(fn(batch), schema=schema)
 
     return over
+
+
+def join_params(rows: DataFrame, params: DataFrame, keys: list[str], by: str, most: int = 20_000, how: str = "inner") -> DataFrame:
+    """Rows with the parameters of their group. Up to `most` groups are counted and broadcast; more are joined by their keys and a salt from column `by`, which splits the rows of a large group."""
+    if params.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(params), keys, how)
+    salts = shuffle_width(rows.sparkSession)
+    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int")).join(salted, [*keys, "salt"], how).drop("salt")

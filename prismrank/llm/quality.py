@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import map_batches, materialize, shuffle_width, text_of
+from prismrank.llm.common import join_params, map_batches, materialize, text_of
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NOT_SYMBOL = str.maketrans("", "", "#*$%&|<>")
@@ -71,12 +71,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def _with(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    """Rows with their group's parameters: broadcast if few groups, else by keys with a salt that splits large groups."""
-    if params.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        return rows.join(F.broadcast(params), ["lang", "pool"], how)
-    salts = shuffle_width(rows.sparkSession)
-    salted = params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["lang", "pool", "salt"], how).drop("salt")
+    return join_params(rows, params, ["lang", "pool"], "doc_id", BROADCAST_GROUPS, how)
 
 
 def _distance() -> Column:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismrank.llm import forest, huffman, licenses, neardup, packing, pages, quality, secrets, toxicity
+from prismrank.llm import forest, huffman, licenses, mixing, neardup, packing, pages, quality, secrets, toxicity
 from prismrank.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
@@ -58,10 +62,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pages": op3_pages,
     "op4_licenses": op4_licenses,
     "op5_secrets": op5_secrets,
+    "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_huffman": op8_huffman,
     "op9_forest": op9_forest,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE,
+}
