@@ -53,13 +53,19 @@ def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     return lengths
 
 
+def _ordered(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The ids that have a code, by length and then id, what each takes of the space of codes, and the bits of the longest."""
+    ids = np.flatnonzero(lengths)
+    ids = ids[np.argsort(lengths[ids], kind="stable")]
+    bits = max(1, int(lengths.max(initial=0)))
+    return ids, np.int64(1) << (bits - lengths[ids]), bits
+
+
 def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     """The code of each id: ascending by length, then id."""
-    codes, code, last = np.zeros(len(lengths), np.int64), 0, 0
-    for i in sorted(np.flatnonzero(lengths).tolist(), key=lambda i: (lengths[i], i)):
-        code <<= int(lengths[i]) - last
-        codes[i], last = code, int(lengths[i])
-        code += 1
+    ids, share, bits = _ordered(lengths)
+    codes = np.zeros(len(lengths), np.int64)
+    codes[ids] = (np.cumsum(share) - share) >> (bits - lengths[ids])
     return codes
 
 
@@ -81,15 +87,10 @@ def encode_block(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tup
 
 class Decoder:
     def __init__(self, lengths: np.ndarray):
-        codes = canonical_codes(lengths)
-        self.bits = max(1, int(lengths.max(initial=0)))
-        self.symbol = np.zeros(1 << self.bits, np.uint32)
-        self.size = np.zeros(1 << self.bits, np.int64)
-        for i in np.flatnonzero(lengths).tolist():
-            free = self.bits - int(lengths[i])
-            low = int(codes[i]) << free
-            self.symbol[low : low + (1 << free)] = i
-            self.size[low : low + (1 << free)] = lengths[i]
+        ids, share, self.bits = _ordered(lengths)
+        self.symbol, self.size = np.zeros(1 << self.bits, np.uint32), np.zeros(1 << self.bits, np.int64)
+        n = int(share.sum())
+        self.symbol[:n], self.size[:n] = np.repeat(ids, share), np.repeat(lengths[ids], share)
 
     def block(self, payload: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """The n ids of a block; every stride goes on by one id in each step."""
@@ -131,9 +132,7 @@ def count_ids(tokens: DataFrame) -> DataFrame:
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                seen, n = np.unique(np.frombuffer(x, "<u2"), return_counts=True)
-                total[seen] += n
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "count"])
 

@@ -17,7 +17,7 @@ from functools import lru_cache
 from itertools import chain
 
 #: Chunks that each of the two generations of the cache holds at most.
-CACHE = 150_000
+CACHE = 250_000
 #: Words of letters whose case and composition no normaliser changes beyond a simple lower-casing.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{0,4})")
 
@@ -49,20 +49,24 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def _word(self, chunk: str) -> bytes | None:
-        """The ids of a plain word by the library's model alone, else None."""
+        """The ids of a plain word by the library's model alone, else None. A word before stops is cached by itself."""
         if not (m := _PLAIN.fullmatch(chunk)):
             return None
         word, stops = m.groups()
-        if self.lower:
-            word = word.lower()
-        if not word.isascii():
-            word = "".join(self.table[b] for b in word.encode())
-        ids = array("I", [t.id for t in self.model.tokenize(self.lead + word)]).tobytes()
         if stops:
+            if (ids := self.new.get(word)) is None and (ids := self.old.get(word)) is None:
+                ids = self.new[word] = self._model(word)
             if stops not in self.stops:
                 self.stops[stops] = array("I", [t.id for t in self.model.tokenize(stops)]).tobytes()
-            ids += self.stops[stops]
-        return ids
+            return ids + self.stops[stops]
+        return self._model(word)
+
+    def _model(self, word: str) -> bytes:
+        if self.lower:
+            word = word.lower()
+        if not word.isascii():
+            word = "".join([self.table[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(self.lead + word)]).tobytes()
 
     def _fill(self, chunks: set[str]) -> set[str]:
         """Cache the chunks; those whose borders aren't borders of words are returned."""
@@ -79,7 +83,20 @@ class Encoder:
         return odd
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split(" ") if self.spaced else t.replace("\n", " ").split(" ") for t in texts]
+        return [ids for i in range(0, len(texts), 256) for ids in self._encode(texts[i : i + 256])]
+
+    def _split(self, text: str) -> list[str]:
+        if self.spaced:
+            return text.split(" ")
+        try:  # letters of Latin-1 are lower-cased one by one and are composed already
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+        return text.replace("\n", " ").split(" ")  # white space of any kind only separates here
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._split(t) for t in texts]
         heads = [s.pop(0) for s in split] if self.spaced else []  # no space stands before the first chunk
         chunks = {c for s in split for c in s}
         missing = chunks - self.new.keys()
