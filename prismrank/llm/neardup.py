@@ -189,6 +189,19 @@ def _cells(batches: Iterator[pa.RecordBatch], keys: list[str], value: str) -> It
 _EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _joining(first: list, second: list, within: list[np.ndarray], across: np.ndarray) -> list[dict]:
+    """Edges for the pairs across two chunks that connect what the pairs within each don't: few, as each chunk's own cell has edges for these."""
+    union, out = Union(len(first) + len(second)), []
+    for offset, pairs in zip((0, len(first)), within, strict=True):
+        for i, j in pairs.tolist():
+            union.join(offset + i, offset + j)
+    for i, j in across.tolist():
+        if union.find(i) != union.find(len(first) + j):
+            union.join(i, len(first) + j)
+            out.append({"a": first[i]["node"], "b": second[j]["node"]})
+    return out
+
+
 def _spanning(first: list, second: list, pairs: np.ndarray) -> list[dict]:
     """Edges that connect what the pairs connect."""
     nodes = sorted({r["node"] for r in first} | {r["node"] for r in second})
@@ -219,7 +232,10 @@ def _candidate_edges(nodes: DataFrame, threshold: float) -> DataFrame:
             a = np.stack([np.frombuffer(r["values"], "<u2") for r in first])
             b = a if one else np.stack([np.frombuffer(r["values"], "<u2") for r in second])
             pairs = pruned_pairs(a, b, least)
-            out += _spanning(first, second, pairs[pairs[:, 0] < pairs[:, 1]] if one else pairs)
+            if one:
+                out += _spanning(first, second, pairs[pairs[:, 0] < pairs[:, 1]])
+            elif len(pairs):
+                out += _joining(first, second, [pruned_pairs(a, a, least), pruned_pairs(b, b, least)], pairs)
             if len(out) > 20_000:
                 yield pa.RecordBatch.from_pylist(out, schema=_EDGE)
                 out = []
@@ -289,7 +305,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = worded.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = materialize(sizes, "classes")
     nodes = worded.select(F.col("doc_id").alias("node"), "bands", "values").join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    edges = _candidate_edges(nodes, threshold)
+    edges = materialize(_candidate_edges(nodes, threshold), "candidates")
     clusters = components(edges).join(classes.select("node", "copies"), "node")
     verified = materialize(_verified(given, clusters, threshold), "verified")
     final = components(verified.filter("a <> b").select("a", "b"))
