@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prismrank.plans import analysis, provenance, ranking, wording
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for part in (ranking, wording, analysis, provenance):
+    QUERIES |= part.QUERIES
+    ORACLES |= part.ORACLES
