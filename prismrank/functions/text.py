@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _ARTICLES = r"(?U)\b(a|an|the)\b"
@@ -66,7 +67,7 @@ def longest_common(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(p: pd.Series, g: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of two arrays of words; 0 if either is empty. Spark's functions have no such table in linear memory."""
     return pd.Series([2.0 * longest_common(list(a), list(b)) / (len(a) + len(b)) if a is not None and b is not None and len(a) and len(b) else 0.0 for a, b in zip(p, g, strict=True)], dtype="float64")
