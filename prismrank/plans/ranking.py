@@ -116,7 +116,7 @@ idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) EL
 q AS (SELECT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM benchmark),
 qw AS (SELECT query_id, term, count(*) AS weight FROM q GROUP BY ALL),
 hit AS (SELECT query_id, doc_id, sum(weight * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tfc JOIN idf USING (term) JOIN qw USING (term), st GROUP BY ALL),
-al AS (SELECT item_id AS query_id, doc_id, coalesce(score, 0.0) AS score FROM benchmark JOIN documents ON true LEFT JOIN hit ON hit.query_id = item_id AND hit.doc_id = documents.doc_id),
+al AS (SELECT item_id AS query_id, documents.doc_id, coalesce(score, 0.0) AS score FROM benchmark JOIN documents ON true LEFT JOIN hit ON hit.query_id = item_id AND hit.doc_id = documents.doc_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM al)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= {POOL}""")
 def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
