@@ -11,9 +11,9 @@ from prismrank.llm.common import materialize
 MOST_ROUNDS = 60
 
 
-def tree_edges(members: list[int]) -> list[tuple[int, int]]:
-    """Edges that connect the members: each with the one at half its place, so no node has more than three and paths are short."""
-    return [(members[i], members[(i - 1) // 2]) for i in range(1, len(members))]
+def star_edges(members: list[int]) -> list[tuple[int, int]]:
+    """Edges that connect the members, each with the first: groups that overlap give the same edges again, which distinct() drops."""
+    return [(m, members[0]) for m in members[1:]]
 
 
 class Union:
@@ -43,19 +43,23 @@ class Union:
 def components(edges: DataFrame) -> DataFrame:
     """node and component, its least node, of each node in edges(a long, b long).
 
-    Rounds of two steps: every node takes the least label beside it, then the
-    label of its label. Both are joins on nodes with aggregates that combine
-    in each task first; every round is written, so a lost executor repeats one.
+    Every node points to a node of its component. In a round it looks at what
+    its neighbours' targets point to; the least of these is offered to it and
+    to its own target, so that whole trees hook onto others, and it moves to
+    its target's target, which halves paths. Aggregates combine in each task
+    first; every round is written, so a lost executor repeats one.
     """
-    both = edges.filter("a <> b").select("a", "b").unionAll(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
+    one_way = edges.filter("a <> b").select("a", "b")
+    both = materialize(one_way.unionAll(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")), "labels")
     for _ in range(MOST_ROUNDS):
-        beside = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("least"))
-        lower = labels.join(beside, "node").select("node", "component", F.least("component", "least").alias("to"))
-        jumps = labels.select(F.col("node").alias("to"), F.col("component").alias("far"))
-        after = lower.join(jumps, "to", "left").select("node", F.least("to", F.coalesce("far", "to")).alias("component"), (F.least("to", F.coalesce("far", "to")) < F.col("component")).alias("changed"))
-        after = materialize(after, "labels")
+        far = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
+        aimed = materialize(labels.join(far, "component").select("node", "component", "far"), "aimed")
+        beside = both.join(aimed.select(F.col("node").alias("b"), "far"), "b").groupBy(F.col("a").alias("node")).agg(F.min("far").alias("least"))
+        offers = aimed.join(beside, "node").select("node", "component", F.least("far", "least").alias("offer"), "least")
+        told = offers.select("node", F.col("offer").alias("to")).unionAll(offers.select(F.col("component").alias("node"), F.col("least").alias("to")))
+        moved = labels.join(told.groupBy("node").agg(F.min("to").alias("to")), "node")
+        after = materialize(moved.select("node", F.least("component", "to").alias("component"), (F.col("to") < F.col("component")).alias("changed")), "labels")
         labels = after.select("node", "component")
         if not after.filter("changed").limit(1).count():
             return labels

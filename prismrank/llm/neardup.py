@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismrank.llm.common import map_batches, materialize, shuffle_width, text_of
-from prismrank.llm.graph import Union, components, tree_edges
+from prismrank.llm.graph import Union, components, star_edges
 
 N_WORDS, THRESHOLD = 5, 0.8
 #: Bands of the MinHash values and values in each; two texts of similarity 0.8 share no band with probability (1 - 0.8^6)^40 = 5e-6.
@@ -209,7 +209,7 @@ def _spanning(first: list, second: list, pairs: np.ndarray) -> list[dict]:
     union = Union(len(nodes))
     for i, j in pairs.tolist():
         union.join(at[first[i]["node"]], at[second[j]["node"]])
-    return [{"a": nodes[x], "b": nodes[y]} for part in union.members() for x, y in tree_edges(part)]
+    return [{"a": nodes[x], "b": nodes[y]} for part in union.members() for x, y in star_edges(part)]
 
 
 def _candidate_edges(nodes: DataFrame, threshold: float) -> DataFrame:

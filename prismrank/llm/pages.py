@@ -2,7 +2,8 @@
 
 A page's template shows in the pages beside it. Within each host the pages are
 ordered by the path of their URL, and each is held against the neighbour, before
-or after, that shares more of the path. Their lines of text are aligned by
+or after, that shares more of the path, or against the other if these two have no
+line in common. Their lines of text are aligned by
 longest common subsequence and the lines that both have are deleted, except
 lines inside an article or main element that the page itself marks, which a
 neighbour may well repeat. Elements that never hold main text (menus, headers,
@@ -192,18 +193,22 @@ def extract(pages: DataFrame) -> DataFrame:
                     out.append(row | {"bucket": after[b], "own": False})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    def pick(near: list[dict | None], row: dict) -> dict | None:
+    def nearest(near: list[dict | None], row: dict) -> list[dict]:
         host = row["key"].split("\x00")[0]
         found = [n for n in near if n is not None and n["key"].split("\x00")[0] == host]
-        return max(found, key=lambda n: _common(n["key"], row["key"]), default=None)  # of equals the one before
+        return sorted(found, key=lambda n: -_common(n["key"], row["key"]))  # of equals the one before comes first
 
-    def clean(row: dict, other: dict | None) -> dict:
+    def clean(row: dict, near: list[dict]) -> dict:
         lines, main = row["lines"], row["main"]
         gone: set[int] = set()
-        if other is not None and lines != other["lines"]:
+        for other in near:
+            if lines == other["lines"]:
+                continue
             number: dict[str, int] = {}
             mine, theirs = ([number.setdefault(t, len(number)) for t in r["lines"]] for r in (row, other))
-            gone = {i for i in shared_lines(mine, theirs) if not main[i]}
+            if shared := shared_lines(mine, theirs):
+                gone = {i for i in shared if not main[i]}
+                break
         return {"page_id": row["page_id"], "url": row["url"], "text": "\n".join(t for i, t in enumerate(lines) if i not in gone), "n_blocks": len(lines), "n_deleted": len(gone)}
 
     def difference(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,13 +219,13 @@ def extract(pages: DataFrame) -> DataFrame:
                 if now is not None:
                     same = row["bucket"] == now["bucket"]
                     if now["own"]:
-                        out.append(clean(now, pick([last, row if same else None], now)))
+                        out.append(clean(now, nearest([last, row if same else None], now)))
                     last, now = (now if same else None), row
                 else:
                     now = row
             yield pa.RecordBatch.from_pylist(out, schema=_OUT)
         if now is not None and now["own"]:
-            yield pa.RecordBatch.from_pylist([clean(now, pick([last], now))], schema=_OUT)
+            yield pa.RecordBatch.from_pylist([clean(now, nearest([last], now))], schema=_OUT)
 
     parsed = keyed.mapInArrow(parse, "bucket int, key string, page_id long, url string, own boolean, lines array<string>, main array<boolean>")
     dealt = parsed.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", "key", "page_id")
