@@ -17,9 +17,9 @@ from functools import lru_cache
 from itertools import chain
 
 #: Chunks that each of the two generations of the cache holds at most.
-CACHE = 250_000
+CACHE = 600_000
 #: Words of letters whose case and composition no normaliser changes beyond a simple lower-casing.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]{0,4})")
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -50,13 +50,15 @@ class Encoder:
 
     def _word(self, chunk: str) -> bytes | None:
         """The ids of a plain word by the library's model alone, else None. A word before stops is cached by itself."""
-        if not (m := _PLAIN.fullmatch(chunk)):
+        word = chunk.rstrip(".,;:!?")
+        if not (word.isascii() and word.isalpha() or _PLAIN.fullmatch(word)):
             return None
-        word, stops = m.groups()
-        if stops:
+        if stops := chunk[len(word) :]:
             if (ids := self.new.get(word)) is None and (ids := self.old.get(word)) is None:
                 ids = self.new[word] = self._model(word)
             if stops not in self.stops:
+                if len(self.stops) > 10_000:
+                    self.stops.clear()
                 self.stops[stops] = array("I", [t.id for t in self.model.tokenize(stops)]).tobytes()
             return ids + self.stops[stops]
         return self._model(word)
