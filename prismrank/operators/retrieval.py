@@ -114,7 +114,7 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     weighted = idf.join(small(asked), "term").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
     tf = docs.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(small(asked), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(small(weighted), "term").join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    hits = tf.join(small(weighted), "term").join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))  # the order of the sums must not break ties
     hits = hits.withColumn("hit", F.lit(True))
     # at most k of the first documents are needed where hits run out or are negative: k + those hit among them cover it
     short = hits.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("all"))
