@@ -197,3 +197,32 @@ def test_files_and_streams(spark, tmp_path):
         stream = progress.read_table(spark, f"{tmp_path}/in", "t", rows.schema)
         progress.produce_missing(stream, f"{tmp_path}/out", ["id"], lambda d: d.withColumn("n", F.length("text")), f"{tmp_path}/log").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+
+
+def test_matching_words(spark):
+    from prismrank.functions import matching
+    from prismrank.operators import workflow
+
+    assert matching.normal_tokens("O’Connor's (dog-house) 'x' É") == ["O'Connor's", "dog", "house", "x", "É"]
+    assert matching.normal_tokens(None) == [] and matching.normal_tokens("é") == ["é"]
+    df = spark.createDataFrame([("In May we may go", "May", True), ("we may go", "May", False), ("STRASSE eins", "Straße Eins", True), ("a bc", "b c", False), ("x", "", False)], "p string, a string, want boolean")
+    got = df.select("want", matching.alias_matches(matching.tokens_udf("p"), matching.folded_udf("p"), matching.tokens_udf("a"), matching.folded_udf("a")).alias("got"))
+    assert all(r["got"] == r["want"] for r in got.collect())
+    ids = spark.createDataFrame([("wiki:12",), ("7",), ("x",)], "i string").select(workflow.plain_id(F.col("i")).alias("n"))
+    assert [r["n"] for r in ids.collect()] == [12, 7, None]
+    positions = {r["id"]: r["corpus_position"] for r in workflow.numbered(spark.createDataFrame([(i * 7 % 50,) for i in range(50)], "id long"), "id").collect()}
+    assert positions == {i: i for i in range(50)}
+
+
+def test_model_calls_are_tried_again_on_lost_connections_only(spark):
+    from prismrank.operators import workflow
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, q string").coalesce(1)
+    assert {r["o"] for r in workflow.map_model(rows, lambda qs: [q.upper() for q in qs], "q", "o").collect()} == {"A", "B"}
+
+    def lost(_):
+        raise ConnectionError
+
+    assert {r["o"] for r in workflow.map_model(rows, lost, "q", "o").collect()} == {None}
+    score = spark.createDataFrame([("OK",), ("REFUSAL",), ("ERROR",)], "s string").select(workflow.row_score(F.lit(0.5), F.col("s")).alias("v"))
+    assert [r["v"] for r in score.collect()] == [0.5, 0.0, None]
