@@ -113,17 +113,17 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, shards: int) -> DataF
     """shard, doc_id, before (ids before it in its shard), ids (16-bit) in ascending doc_id order; nulls first, ties by text."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, before, shard = encoder(tokenizer), 0, TaskContext.get().partitionId()
+        words, before, shard, end = encoder(tokenizer), 0, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
         for batch in batches:
-            ids = [np.append(np.frombuffer(x, "<u4"), end_id).astype("<u2") for x in words.encode(batch.column(1).to_pylist())]
-            starts = [before]
-            for x in ids:
-                starts.append(starts[-1] + len(x))
-            before = starts.pop()
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), batch.column(0), pa.array(starts, pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["shard", "doc_id", "before", "ids"])
+            ids = words.encode(batch.column(1).to_pylist())
+            ends = np.cumsum([len(x) // 4 + 1 for x in ids], dtype=np.int64)
+            starts = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
+            short = np.frombuffer(b"".join([x + end for x in ids]), "<u4").astype("<u2").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), batch.column(0), pa.array(starts + before, pa.int64()), pa.array([short[2 * a : 2 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["shard", "doc_id", "before", "ids"])
+            before += int(ends[-1]) if len(ids) else 0
 
     given = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return given.repartitionByRange(shards, "doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(over, "shard int, doc_id long, before long, ids binary")
+    return given.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(over, "shard int, doc_id long, before long, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:

@@ -291,7 +291,8 @@ def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shingle sets among them. Words are lower-cased; a text of fewer than five
     words is one shingle; a null, empty or blank text has none, is linked to
     nothing and is a class by itself. Rows with the same doc_id and text are
-    copies. Rows with a null doc_id are left out. Other columns are ignored.
+    copies; a doc_id should not name two texts (their classes would be taken for
+    one). Rows with a null doc_id are left out. Other columns are ignored.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.string()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
 
