@@ -41,6 +41,9 @@ _NEVER = frozenset("nav footer aside form menu head button dialog".split())
 _MAIN = frozenset(("article", "main"))
 #: Words in class, id or role that mark what isn't main text.
 _MARKED = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|footer|sidebar|side-bar|aside|complementary|banner|ads?|adverts?|advertisement|advertising|sponsored|promo|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|comments?|comment-list|disqus|respond|replies|reply|share|sharing|social|related|recommended|search|login|pagination|pager|skip-link|contentinfo|alert|toolbar|masthead|widget)(?:$|[\s_-])", re.I)
+#: Those among them that also tell of an article or main element.
+_ASIDE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsored|promo|comments?|replies|reply|related|recommended|teaser)(?:$|[\s_-])", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -65,6 +68,7 @@ def _without_raw(page: str) -> str:
 def blocks(page: str) -> list[tuple[str, bool]]:
     """(text, in an article or main element) of each block of a page that may be main text, in order.
 
+    Where article or main elements hold more than half of that text, only theirs.
     White space inside a block is one space; character references are decoded
     after the markup is gone, so text that spells tags stays text.
     """
@@ -103,13 +107,16 @@ def blocks(page: str) -> list[tuple[str, bool]]:
             if not out:
                 marks = " ".join(a[1] or a[2] or a[3] for a in _ATTRIBUTE.findall(rest) if a[0].lower() in ("class", "id", "role")) if rest else ""
                 hidden = bool(rest) and (re.search(r"\shidden(?=[\s/=]|$)|aria-hidden=.?true|display:\s*none", rest, re.I) is not None)
-                named = name not in ("html", "body") and name not in _MAIN and marks and _MARKED.search(marks)
+                named = marks and name not in ("html", "body") and (_ASIDE if name in _MAIN else _MARKED).search(_CAMEL.sub("-", marks))
                 out = name in _NEVER or (name == "header" and not main) or bool(named) or hidden
             open_.append((name, out, main or name in _MAIN))
     out, main = open_[-1][1:] if open_ else (False, False)
     if not out:
         parts.append(page[at:])
     flush(main)
+    inside = sum(len(t) for t, m in found if m)
+    if 2 * inside > sum(len(t) for t, _ in found):  # the page itself says where most of its text is
+        found = [b for b in found if b[1]]
     return found
 
 

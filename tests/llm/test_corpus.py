@@ -356,6 +356,8 @@ def test_longest_common_lines_by_brute_force():
 def test_blocks_of_a_page():
     page = '<html><head><title>T</title></head><body><header>H</header><nav>n</nav><div class="cookie-notice">c</div><main><h1>A &amp;lt; B</h1><p>x\n <b>y</b>&nbsp;z<br>w<p>q<script>var a="</p>";</script><!-- <p>no</p> --><aside>s</aside><ul><li>1<li>2</ul></main><section id="comments"><p>c</p></section><footer>f</footer>'
     assert pages.blocks(page) == [("A &lt; B", True), ("x y z", True), ("w", True), ("q", True), ("1", True), ("2", True)]
+    nested = '<div>loose</div><main><p>long enough text</p><article class="user-comment"><p>me too</p></article><div class="siteNav">go</div></main>'
+    assert pages.blocks(nested) == [("long enough text", True)]
     assert pages.blocks("") == [] and pages.blocks("plain < text") == [("plain < text", False)]
     assert pages.blocks("<p>a<!-- never closed") == [("a", False)]
 
