@@ -40,19 +40,14 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def rows_in_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Runs of equal keys in a partition that is sorted by them. A run may span batches."""
-    now, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            key = tuple(row[k] for k in keys)
-            if key != now:
-                if rows:
-                    yield now, rows
-                now, rows = key, []
-            rows.append(row)
-    if rows:
-        yield now, rows
+#: Rows of a batch that goes to Python: texts can be long, and each executor has several batches in hand.
+BATCH_ROWS = 1_000
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """The DataFrame, which will go to Python in batches of that many rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def map_batches(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prismrank.llm.common import materialize, shared_dir, text_of
+from prismrank.llm.common import in_batches, materialize, shared_dir, text_of
 from prismrank.llm.tokens import encoder
 
 BLOCK_TOKENS, STRIDE, LIMIT = 1 << 16, 64, 18
@@ -123,7 +123,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, shards: int) -> DataF
             before += int(ends[-1]) if len(ids) else 0
 
     given = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return given.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(over, "shard int, doc_id long, before long, ids binary")
+    return given.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").transform(in_batches).mapInArrow(over, "shard int, doc_id long, before long, ids binary")
 
 
 def count_ids(tokens: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import map_batches, materialize, shuffle_width, text_of
+from prismrank.llm.common import in_batches, map_batches, materialize, shuffle_width, text_of
 from prismrank.llm.graph import Union, components, star_edges
 
 N_WORDS, THRESHOLD = 5, 0.8
@@ -280,7 +280,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFra
         if out:
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return dealt.mapInArrow(verify, "a long, b long, links long, copies long")
+    return dealt.transform(in_batches).mapInArrow(verify, "a long, b long, links long, copies long")
 
 
 def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -301,7 +301,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return {"doc_id": batch.column(0), "set_hash": hashes, "bands": bands, "values": values}
 
     given = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    sketches = materialize(given.mapInArrow(map_batches(one, schema), "doc_id long, set_hash string, bands array<long>, values binary"), "sketches")
+    sketches = materialize(given.transform(in_batches).mapInArrow(map_batches(one, schema), "doc_id long, set_hash string, bands array<long>, values binary"), "sketches")
     worded = sketches.filter("set_hash IS NOT NULL")
     sizes = worded.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = materialize(sizes, "classes")

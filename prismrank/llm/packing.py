@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import text_of
+from prismrank.llm.common import in_batches, text_of
 from prismrank.llm.tokens import encoder
 
 #: Tokens of remainders that a task holds before it packs them.
@@ -138,7 +138,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
             yield settle()
 
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(over, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(in_batches).mapInArrow(over, schema)
 
 
 def piece_digests(pieces: DataFrame) -> DataFrame:

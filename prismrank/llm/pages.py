@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import shuffle_width
+from prismrank.llm.common import in_batches, shuffle_width
 
 #: Rows of the sample, taken by the hash of page_id, that sets the ranges' borders; results don't depend on it.
 BORDER_SAMPLE = 20_000
@@ -234,6 +234,6 @@ def extract(pages: DataFrame) -> DataFrame:
         if now is not None and now["own"]:
             yield pa.RecordBatch.from_pylist([clean(now, nearest([last], now))], schema=_OUT)
 
-    parsed = keyed.mapInArrow(parse, "bucket int, key string, page_id long, url string, own boolean, lines array<string>, main array<boolean>")
+    parsed = keyed.transform(in_batches).mapInArrow(parse, "bucket int, key string, page_id long, url string, own boolean, lines array<string>, main array<boolean>")
     dealt = parsed.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", "key", "page_id")
     return dealt.mapInArrow(difference, "page_id long, url string, text string, n_blocks int, n_deleted int")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import join_params, map_batches, materialize, text_of
+from prismrank.llm.common import in_batches, join_params, map_batches, materialize, text_of
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _NOT_SYMBOL = str.maketrans("", "", "#*$%&|<>")
@@ -67,7 +67,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         return {"doc_id": batch.column(0), "lang": batch.column(1), "source": batch.column(2)} | dict(zip(names, map(list, columns), strict=True))
 
     given = docs.select(F.col("doc_id").cast("long"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")], text_of().alias("text"))
-    return given.mapInArrow(map_batches(one, schema), "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, vector array<double>")
+    return given.transform(in_batches).mapInArrow(map_batches(one, schema), "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, vector array<double>")
 
 
 def _with(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:

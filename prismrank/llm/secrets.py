@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import text_of
+from prismrank.llm.common import in_batches, text_of
 
 
 @dataclass(frozen=True)
@@ -214,7 +214,7 @@ def find(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             found = [[{"kind": rules[k].kind, "start": a, "end": b} for a, b, k in spans_of(t, rules)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, schema.field(1).type)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(over, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(in_batches).mapInArrow(over, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def digest(found: DataFrame, base: tuple[Rule, ...] = BASE) -> DataFrame:
@@ -255,5 +255,5 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             texts = pa.array([clean(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([texts if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)
 
-    out = docs.mapInArrow(over, docs.schema)
+    out = docs.transform(in_batches).mapInArrow(over, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

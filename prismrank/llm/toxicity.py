@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import text_of
+from prismrank.llm.common import in_batches, text_of
 
 #: The model is fitted on at most so many labelled rows, those of the smallest hashes of doc_id.
 SAMPLE_ROWS = 20_000
@@ -207,7 +207,7 @@ def _featured(docs: DataFrame, terms: list[Term], keep: list[str]) -> DataFrame:
             found = [features(t, trie) for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "features"])
 
-    return given.mapInArrow(over, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "features array<double>"]))
+    return given.transform(in_batches).mapInArrow(over, ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "features array<double>"]))
 
 
 @dataclass(frozen=True)
@@ -252,4 +252,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             clean = [float(np.dot([*features(t or "", trie), 1.0], beta)) < 0 for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(over, docs.schema)
+    return docs.transform(in_batches).mapInArrow(over, docs.schema)
