@@ -17,7 +17,7 @@ from functools import lru_cache
 from itertools import chain
 
 #: Chunks that each of the two generations of the cache holds at most.
-CACHE = 600_000
+CACHE = 200_000
 #: Words of letters whose case and composition no normaliser changes beyond a simple lower-casing.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 

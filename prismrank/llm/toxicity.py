@@ -51,7 +51,7 @@ class Term:
 class FuzzyTrie:
     """find(word): (term, edits) with the fewest edits, then the largest weight, else None."""
 
-    def __init__(self, terms: list[Term], words: int = 200_000):
+    def __init__(self, terms: list[Term], words: int = 100_000):
         self.terms, self.children, self.ends, self.room = terms, [{}], [[]], [0]
         for k, t in enumerate(terms):
             node = 0
