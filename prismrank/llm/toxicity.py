@@ -172,7 +172,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -
 
 
 def learn_terms(rows: DataFrame) -> list[Term]:
-    """The words and stems that set toxic texts apart, by G-square; of related stems and words the best."""
+    """The words and stems that set toxic texts apart, by G-square; of related stems, and of related words, the best.
+
+    A word stays beside its stem, which matches longer words but allows fewer edits, and doesn't count towards the most terms.
+    """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     stems = F.flatten(F.transform(F.array(*[F.lit(n) for n in STEMS]), lambda n: F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.concat(F.left(w, n), F.lit("*")))))
     terms = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, stems))).alias("term"))
@@ -187,12 +190,14 @@ def learn_terms(rows: DataFrame) -> list[Term]:
     counts = terms.groupBy("term").agg(F.count_if(F.col("toxic") == 1).alias("a"), F.count_if(F.col("toxic") != 1).alias("b"))
     best = counts.filter(F.col("a") >= LEAST_TEXTS).select("term", g.alias("g"), weight.alias("weight")).filter((F.col("g") >= LEAST_G) & (F.col("weight") >= 2.0)).orderBy(F.desc("g"), F.desc(F.length("term")), "term").limit(20 * MOST_TERMS)
     kept: list[Term] = []
+    groups = 0
     for row in best.collect():
-        text = row["term"].removesuffix("*")
-        if len(text) >= 3 and not any(text.startswith(t.text) or t.text.startswith(text) for t in kept):
-            kept.append(Term(text, row["term"].endswith("*"), round(row["weight"], 6)))
-        if len(kept) == MOST_TERMS:
-            break
+        text, stem = row["term"].removesuffix("*"), row["term"].endswith("*")
+        related = [t for t in kept if text.startswith(t.text) or t.text.startswith(text)]
+        if len(text) < 3 or any(stem or not t.stem for t in related) or not related and groups == MOST_TERMS:
+            continue
+        kept.append(Term(text, stem, round(row["weight"], 6)))
+        groups += not related
     return kept
 
 
