@@ -100,7 +100,10 @@ def plan(docs: DataFrame, limit: float | None = REPETITION_LIMIT, entropy: float
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents, each as often as the plan has it, in files ordered by block; all columns. Rows without doc_id stay once."""
     placed = plan(docs, **options).select("doc_id", "block", "place")
-    again = docs.filter("doc_id IS NOT NULL").join(placed, "doc_id").select(*docs.columns)
+    # the order's columns get names of their own, as docs can have any
+    placed = placed.select("doc_id", F.col("block").alias("_mix_block"), F.col("place").alias("_mix_place"))
+    order = ["_mix_block", "_mix_place"]
+    again = docs.filter("doc_id IS NOT NULL").join(placed, "doc_id").repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
     return again.unionByName(docs.filter("doc_id IS NULL"))
 
 
