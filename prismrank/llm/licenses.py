@@ -23,9 +23,6 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: No rule can match a text without one of these.
-GATE = r"(?i)licen[cs]|spdx|copyleft|public domain|rights reserved|hereby granted|binary forms|creativecommons"
-
 
 class Rule(NamedTuple):
     keyword: str
@@ -82,7 +79,7 @@ FAMILIES = (
     ("bsl-1", "business source", "business source", ("1 1", "1 0")),
     ("sspl", "server side public", "server side public", ("1",)),
     ("elastic", "elastic", "elastic", ("2 0",)),
-    ("openrail", "openrail", "(?:creativeml )?open ?rail(?: m)?", ()),
+    ("openrail", "rail", "(?:creativeml )?open ?rail(?: m)?", ()),
     ("llama", "llama", "llama [0-9 ]*community", ()),
 )
 
@@ -114,6 +111,18 @@ GRANT = "(?:licensed|released|distributed|published|available|provided|covered|s
 NAMED = "(?: public)? licen[cs]e"
 
 
+VERSION = "(?: as published by the free software foundation)?(?: either)?(?: version| v)?(?: v)? ?"
+
+
+def _gate() -> str:
+    """What a text that any rule matches has, as an expression over the text itself: license, a wording's keyword, a Creative Commons name, or a family's name with a version."""
+    between = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    names = f"(?:{'|'.join(name for _, _, name, versions in FAMILIES if versions)}){VERSION}[0-9]"
+    words = "|".join(sorted({r.keyword for r in WORDINGS} | {"cc by", "creative commons"}))
+    phrases = f"(?:{names}|{words})".replace(" ?", f"{between}*").replace(" ", f"{between}+")
+    return f"(?i)licen[cs]e|(?<!{WORD.removesuffix('+')}){phrases}"
+
+
 def _versioned(stem: str, version: str) -> str:
     return f"{stem}-{version.replace(' clause', '-clause').replace(' ', '.')}"
 
@@ -123,7 +132,7 @@ def signature_rules() -> tuple[Rule, ...]:
     rules = [*BASE, *WORDINGS]
     for stem, keyword, name, versions in FAMILIES:
         for v in versions:
-            ver = f"(?: as published by the free software foundation)?(?: either)?(?: version| v)?(?: v)? ?{v}"
+            ver = f"{VERSION}{v}"
             rules += [
                 Rule(keyword, f"{GRANT} {name}(?:{NAMED})?{ver}", _versioned(stem, v), 80, 1.0),
                 Rule(keyword, f"{name}(?:{NAMED})?{ver}", _versioned(stem, v), 70, 0.9),
@@ -173,6 +182,10 @@ def _found(norm: Column, rule: Column) -> Column:
     return F.when(F.rlike(norm, around), walked).otherwise(F.from_json(F.lit("[]"), hit))
 
 
+#: No signature rule can match a text without this.
+GATE = _gate()
+
+
 def scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """doc_id, n_words and the detections of documents(doc_id, text, ...).
 
@@ -182,7 +195,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """
     table = F.array(*[F.struct(F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")) for r in rules or signature_rules()])
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    words = text.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(GATE), F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(LOWER_WORD), F.lit(0)), " "), F.lit(" "))).alias("norm"))
+    words = text.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(GATE) if rules is None else F.lit(True), F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(LOWER_WORD), F.lit(0)), " "), F.lit(" "))).alias("norm"))
     gated = F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))
     found = F.flatten(F.transform(gated, lambda r: _found(F.col("norm"), r)))
     none = "array<struct<start:bigint,end:bigint,label:string,priority:int,confidence:double,base:boolean>>"
