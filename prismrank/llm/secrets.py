@@ -41,7 +41,7 @@ BASE = (
     Rule("hex", r"[0-9a-f]{12}", r"[0-9a-f]+", 0, 24),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----)?"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?:\s*[A-Za-z][A-Za-z0-9-]*:(?:(?!-----)[^\r\n])*)*[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----)?"),
     Rule("github", r"(gh[pousr]|github_pat)_[A-Za-z0-9]", r"(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,})"),
     Rule("gitlab", r"glpat-[A-Za-z0-9_-]", r"glpat-[A-Za-z0-9_-]{20,}"),
     Rule("slack", r"xox[abeoprs]-[A-Za-z0-9]", r"xox[abeoprs]-[A-Za-z0-9-]{10,}"),
