@@ -145,9 +145,9 @@ def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(canonical_json(["source", "lang", "doc_id"]), 256).alias("json_sha256"))
 
 
-@register()
+@register("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event counts by type and day from the table as a stream, as far as the watermark has closed the days."""
+    """Event counts by type and day from the table as a stream, of all its days."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/prismrank-shared"
     at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema

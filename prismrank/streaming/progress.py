@@ -33,7 +33,13 @@ def produce_missing(stream: DataFrame, output: str, keys: list[str], produce: Ca
 
 
 def drain(counts: DataFrame, output: str, checkpoint: str) -> DataFrame:
-    """Run a stream over all that is there now, into Parquet, and read that."""
-    query = counts.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Run a stream of counts over all that is there now, into Parquet, and read that: all windows, those the watermark hasn't closed included."""
+    spark = counts.sparkSession
+    spark.createDataFrame([], counts.schema).write.parquet(output)  # for a stream without rows
+
+    def batch(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite").parquet(output)
+
+    query = counts.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    return counts.sparkSession.read.schema(counts.schema).parquet(output)
+    return spark.read.schema(counts.schema).parquet(output)
