@@ -109,30 +109,43 @@ class Decoder:
         return out.ravel()[:n]
 
 
-def tokenise(docs: DataFrame, tokenizer: str, end_id: int, shards: int) -> DataFrame:
-    """shard, doc_id, before (ids before it in its shard), ids (16-bit) in ascending doc_id order; nulls first, ties by text."""
+def _width(vocabulary: int) -> str:
+    """How ids of the vocabulary are kept: in 16 bits where they fit, else 32."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def tokenise(docs: DataFrame, tokenizer: str, end_id: int, shards: int, vocabulary: int = 1 << 16) -> DataFrame:
+    """shard, doc_id, before (ids before it in its shard) and ids in ascending doc_id order, nulls first; rows of one doc_id in the table's order.
+
+    The row's place takes part in the ranges, so that a doc_id that very many
+    rows have is split. An id outside the vocabulary is an error.
+    """
+    kind = np.dtype(_width(vocabulary))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, before, shard, end = encoder(tokenizer), 0, TaskContext.get().partitionId(), end_id.to_bytes(4, "little")
+        words, before, shard = encoder(tokenizer), 0, TaskContext.get().partitionId()
         for batch in batches:
-            ids = words.encode(batch.column(1).to_pylist())
-            ends = np.cumsum([len(x) // 4 + 1 for x in ids], dtype=np.int64)
-            starts = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
-            short = np.frombuffer(b"".join([x + end for x in ids]), "<u4").astype("<u2").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ids), pa.int32()), batch.column(0), pa.array(starts + before, pa.int64()), pa.array([short[2 * a : 2 * b] for a, b in zip(starts, ends, strict=True)], pa.binary())], names=["shard", "doc_id", "before", "ids"])
-            before += int(ends[-1]) if len(ids) else 0
+            ids, ends = words.encode(batch.column(1).to_pylist(), end_id)
+            if len(ids) and ids.max() >= vocabulary:
+                raise ValueError(f"id {ids.max()} in a vocabulary of {vocabulary}")
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            short = ids.astype(kind).tobytes()
+            cut = [short[kind.itemsize * a : kind.itemsize * b] for a, b in zip(starts, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(ends), pa.int32()), batch.column(0), pa.array(starts + before, pa.int64()), pa.array(cut, pa.binary())], names=["shard", "doc_id", "before", "ids"])
+            before += len(ids)
 
-    given = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return given.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").transform(in_batches).mapInArrow(over, "shard int, doc_id long, before long, ids binary")
+    given = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"), F.monotonically_increasing_id().alias("row"))
+    ordered = given.repartitionByRange(shards, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    return ordered.select("doc_id", "text").transform(in_batches).mapInArrow(over, "shard int, doc_id long, before long, ids binary")
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, vocabulary: int = 1 << 16) -> DataFrame:
     """id and count over all rows, counted in each task first."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=1 << 16)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), _width(vocabulary)), minlength=vocabulary)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["id", "count"])
 
@@ -141,22 +154,22 @@ def count_ids(tokens: DataFrame) -> DataFrame:
 
 def encode_blocks(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
     """Rows of the blocks table. A block doesn't cross shards nor parts of a shard that are read apart."""
-    codes = canonical_codes(lengths)
+    codes, kind = canonical_codes(lengths), np.dtype(_width(len(lengths)))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def block() -> pa.RecordBatch:
-            ids = np.concatenate([np.frombuffer(x, "<u2") for *_, x in held]).astype(np.int64)
+            ids = np.frombuffer(b"".join([x for *_, x in held]), kind).astype(np.int64)
             bits, offsets = encode_block(ids, codes, lengths)
-            row = {"shard": held[0][0], "before": held[0][2], "doc_ids": [d for _, d, _, _ in held], "lengths": [len(x) // 2 for *_, x in held], "bits": bits, "offsets": offsets.tolist()}
+            row = {"shard": held[0][0], "before": held[0][2], "doc_ids": [d for _, d, _, _ in held], "lengths": [len(x) // kind.itemsize for *_, x in held], "bits": bits, "offsets": offsets.tolist()}
             return pa.RecordBatch.from_pylist([row], schema=BLOCKS)
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                n = len(row[3]) // 2
-                if held and (row[0] != held[0][0] or row[2] != held[-1][2] + len(held[-1][3]) // 2 or size + n > BLOCK_TOKENS):
+                n = len(row[3]) // kind.itemsize
+                if held and (row[0] != held[0][0] or row[2] != held[-1][2] + len(held[-1][3]) // kind.itemsize or size + n > BLOCK_TOKENS):
                     yield block()
                     held, size = [], 0
                 held.append(row)
@@ -179,9 +192,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, vocabular
     """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tokens = materialize(tokenise(docs, tokenizer, end_id, shards), "tokens")
+    tokens = materialize(tokenise(docs, tokenizer, end_id, shards, vocabulary), "tokens")
     counts = np.zeros(vocabulary, np.int64)
-    for row in count_ids(tokens).collect():
+    for row in count_ids(tokens, vocabulary).collect():
         counts[row["id"]] = row["count"]
     lengths = code_lengths(counts)
     book = pa.table({"id": pa.array(np.flatnonzero(lengths), pa.int32()), "length": pa.array(lengths[lengths > 0], pa.int32())})
@@ -190,7 +203,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, vocabular
 
 
 def read(spark: SparkSession, path: str, vocabulary: int = 1 << 16) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids (little-endian unsigned 32-bit) of the dataset at path."""
+    """doc_id, start (ids of all documents before it) and ids (little-endian unsigned 32-bit) of the dataset at path.
+
+    Null doc_ids come first and rows of one doc_id each have their own; an empty dataset gives no rows.
+    """
     lengths = np.zeros(vocabulary, np.int64)
     for row in spark.read.schema("id int, length int").parquet(f"{path}/codebook").collect():
         lengths[row["id"]] = row["length"]

@@ -105,7 +105,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
     """
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, packer, end = encoder(tokenizer), Packer(window), end_id.to_bytes(4, "little")
+        words, packer = encoder(tokenizer), Packer(window)
         first = TaskContext.get().partitionId() << 33
         held: list[tuple] = []
         tokens = 0
@@ -118,12 +118,13 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1) -
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             full: list[tuple] = []
-            for doc_id, ids in zip(doc_ids, words.encode(texts), strict=True):
-                ids += end
-                n = len(ids) // 4
+            ids, ends = words.encode(texts, end_id)
+            data, starts = ids.astype("<u4").tobytes(), [0, *ends.tolist()]
+            for doc_id, begin, end in zip(doc_ids, starts, starts[1:], strict=False):
+                n = end - begin
                 for start in range(0, n, window):
                     length = min(window, n - start)
-                    piece = (doc_id, start, length, ids[4 * start : 4 * (start + length)], n)
+                    piece = (doc_id, start, length, data[4 * (begin + start) : 4 * (begin + start + length)], n)
                     if length == window:
                         full.append((*piece, first + packer.whole(), 0))
                     else:

@@ -5,7 +5,8 @@ and a single space between two characters that aren't white space always is
 such a border. So a text is the sequence of its space-separated chunks, and
 the ids of a chunk depend on nothing outside it. Chunks repeat a great deal;
 those seen are looked up, the others go to the library. A text in which spaces
-meet other white space goes to the library whole.
+meet other white space, or that has the string of a special token, goes to the
+library whole: ids are always those of the library's default settings.
 """
 
 from __future__ import annotations
@@ -13,13 +14,20 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Hashable
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
-#: Chunks that each of the two generations of the cache holds at most.
-CACHE = 200_000
-#: Words of letters whose case and composition no normaliser changes beyond a simple lower-casing.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+import numpy as np
+
+#: Chunks that the cache holds at most, and words, which chunks end otherwise or follow a line feed, too; beyond, it begins anew.
+CACHE, WORDS = 300_000, 600_000
+#: Characters of the texts that are looked up at once.
+AT_ONCE = 1_000_000
+#: A word of letters whose case and composition no normaliser changes beyond a simple lower-casing, and marks after it.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
+#: Numbers of what isn't a chunk by itself and of no ids.
+_ODD, _NONE = 0, 1
 
 
 def _byte_chars() -> dict[int, str]:
@@ -30,66 +38,101 @@ def _byte_chars() -> dict[int, str]:
 
 
 class Encoder:
-    """encode(texts): for each text its ids as little-endian unsigned 32-bit integers."""
+    """encode(texts): all their ids one after another, and where each text's end.
+
+    number: of each known chunk, by the chunk, or for a text's first, which no
+    space precedes, by a space and the chunk; ends, ids: where the ids of
+    the chunks of each number end, and the ids; led, bare: ids of words and marks
+    that a space precedes and that none does.
+    """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, words: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.library.model
-        self.size, self.new, self.old, self.stops = cache, {}, {}, {}
-        self.lower = self.library.normalizer is not None
-        self.spaced = not self.lower
+        added = self.library.get_added_tokens_decoder().values()
+        self.special = [t.content for t in added if not t.normalized] + [""] * any(t.normalized for t in added)
+        self.spaced = self.library.normalizer is None
         self.table = _byte_chars()
-        self.lead = self.table[32] if self.spaced else ""
+        self.lead = self.table[32]
+        self.feed = self._library(["\n"])[0]  # nothing where white space is dropped
+        self.cache, self.most_words = cache, words
+        self.led: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[Hashable, int] = {}
+        self.ids, self.ends = bytearray(), array("q", [0, 0, 0])
+
+    def _add(self, key: Hashable, ids: bytes) -> None:
+        self.number[key] = len(self.ends) - 1
+        self.ids += ids
+        self.ends.append(len(self.ids) >> 2)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _word(self, chunk: str) -> bytes | None:
-        """The ids of a plain word by the library's model alone, else None. A word before stops is cached by itself."""
-        word = chunk.rstrip(".,;:!?")
-        if not (word.isascii() and word.isalpha() or _PLAIN.fullmatch(word)):
-            return None
-        if stops := chunk[len(word) :]:
-            if (ids := self.new.get(word)) is None and (ids := self.old.get(word)) is None:
-                ids = self.new[word] = self._model(word)
-            if stops not in self.stops:
-                if len(self.stops) > 10_000:
-                    self.stops.clear()
-                self.stops[stops] = array("I", [t.id for t in self.model.tokenize(stops)]).tobytes()
-            return ids + self.stops[stops]
-        return self._model(word)
-
-    def _model(self, word: str) -> bytes:
-        if self.lower:
-            word = word.lower()
-        if not word.isascii():
-            word = "".join([self.table[b] for b in word.encode()])
-        return array("I", [t.id for t in self.model.tokenize(self.lead + word)]).tobytes()
-
-    def _fill(self, chunks: set[str]) -> set[str]:
-        """Cache the chunks; those whose borders aren't borders of words are returned."""
-        odd, slow = set(), []
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _model(self, word: str, lead: str, known: dict[str, bytes]) -> bytes:
+        """The ids of a plain word, or of marks, by the library's model alone."""
+        if len(known) >= self.most_words:
+            known.clear()
+        shown = word if self.spaced else word.lower()
+        if not shown.isascii():
+            shown = "".join([self.table[b] for b in shown.encode()])
+        ids = known[word] = array("I", [t.id for t in self.model.tokenize(lead + shown)]).tobytes()
+        return ids
+
+    def _lines(self, chunk: str, lead: str) -> bytes | None:
+        """The ids of lines of a plain word and marks each, else None."""
+        out, known, bare = [], self.led if lead else self.bare, self.bare
+        for i, line in enumerate(chunk.split("\n")):
+            m = _PLAIN.fullmatch(line)
+            if not m or i and self.spaced and not line:
+                return None
+            if i:
+                lead, known = "", bare
+                out.append(self.feed)
+            word, marks = m.groups()
+            if word:
+                out.append(known.get(word) or self._model(word, lead, known))
+                lead, known = "", bare
+            if marks:
+                out.append(known.get(marks) or self._model(marks, lead, known))
+        return b"".join(out)
+
+    def _fill(self, chunks: set[str]) -> None:
+        slow, lead = [], self.lead if self.spaced else ""
+        known, bare = self.led if lead else self.bare, self.bare
         for c in chunks:
-            if (ids := self.old.get(c)) is not None or (ids := self._word(c)) is not None:
-                self.new[c] = ids
-            elif self.spaced and (not c or c[0].isspace() or c[-1].isspace()):
-                odd.add(c)
+            if m := _PLAIN.fullmatch(c):
+                word, marks = m.groups()
+                if word:
+                    ids = known.get(word) or self._model(word, lead, known)
+                    if marks:
+                        ids += bare.get(marks) or self._model(marks, "", bare)
+                    self._add(c, ids)
+                elif marks or not lead:
+                    self._add(c, (known.get(marks) or self._model(marks, lead, known)) if marks else b"")
+                else:
+                    self.number[c] = _ODD
+                continue
+            first = lead and c[0] == " "  # of a text
+            if lead and (c[-1].isspace() and len(c) > 1 or not first and c[0].isspace()):
+                self.number[c] = _ODD
+            elif (ids := self._lines(c[1:], "") if first else self._lines(c, lead)) is not None:
+                self._add(c, ids)
             else:
-                slow.append(c)
-        for c, ids in zip(slow, self._library([" " + c for c in slow] if self.spaced else slow), strict=True):
-            self.new[c] = ids
-        return odd
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [ids for i in range(0, len(texts), 256) for ids in self._encode(texts[i : i + 256])]
+                slow.append((c, c[1:] if first else " " + c if lead else c))
+        for (c, _), ids in zip(slow, self._library([s for _, s in slow]), strict=True):
+            self._add(c, ids)
 
     def _split(self, text: str) -> list[str]:
         if self.spaced:
-            return text.split(" ")
+            first, *more = text.split(" ")
+            return [" " + first, *more]
         try:  # letters of Latin-1 are lower-cased one by one and are composed already
             text.encode("latin-1")
             text = text.lower()
@@ -97,18 +140,53 @@ class Encoder:
             pass
         return text.replace("\n", " ").split(" ")  # white space of any kind only separates here
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        heads = [s.pop(0) for s in split] if self.spaced else []  # no space stands before the first chunk
-        chunks = {c for s in split for c in s}
-        missing = chunks - self.new.keys()
-        if len(self.new) + len(missing) > self.size:
-            self.old, self.new, missing = self.new, {}, chunks
-        odd, new = self._fill(missing), self.new
-        whole = [i for i, s in enumerate(split) if odd and not odd.isdisjoint(s) or self.spaced and s and (not heads[i] or heads[i][-1].isspace())]
-        by_library = dict(zip(whole, self._library([texts[i] for i in whole]), strict=True))
-        first = self._library(heads)
-        return [by_library[i] if i in by_library else b"".join([first[i] if self.spaced else b"", *[new[c] for c in s]]) for i, s in enumerate(split)]
+    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, with the end id after each, as unsigned 32-bit integers, and where each text's end among them."""
+        parts, now, size = [], [], 0
+        for text in texts:
+            now.append(text)
+            size += len(text)
+            if size > AT_ONCE:
+                parts.append(self._encode(now, end))
+                now, size = [], 0
+        parts.append(self._encode(now, end))
+        before = np.cumsum([0, *[len(ids) for ids, _ in parts]])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([ends + b for (_, ends), b in zip(parts, before, strict=False)])
+
+    def _encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.number) > self.cache:
+            self._clear()
+        if end is not None and (end,) not in self.number:
+            self._add((end,), array("I", [end]).tobytes())
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        flat: list[Hashable] = []
+        borders = [0]
+        for i, t in enumerate(texts):
+            flat += self._split("" if i in whole else t)
+            if end is not None:
+                flat.append((end,))
+            borders.append(len(flat))
+        at = np.array(borders)
+        number = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(number < 0).tolist()
+        self._fill({flat[i] for i in missing})
+        number[missing] = [self.number[flat[i]] for i in missing]
+        odd = np.searchsorted(at, np.flatnonzero(number == _ODD), "right") - 1
+        known, known_ids = len(self.ends), len(self.ids)
+        taken = sorted(whole.union(odd.tolist()))
+        for i, ids in zip(taken, self._library([texts[i] for i in taken]), strict=True):
+            number[at[i] : at[i + 1] - (end is not None)] = _NONE
+            number[at[i]] = len(self.ends) - 1
+            self.ids += ids
+            self.ends.append(len(self.ids) >> 2)
+        ends = np.frombuffer(self.ends, np.int64)
+        first = ends[number]
+        size = ends[number + 1] - first
+        upto = np.cumsum(size)
+        out = np.frombuffer(self.ids, np.uint32)[np.repeat(first - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)] if len(self.ids) else np.zeros(0, np.uint32)
+        del ends
+        del self.ends[known:], self.ids[known_ids:]
+        return out, np.concatenate([[0], upto])[at[1:]]
 
 
 @lru_cache(maxsize=4)
