@@ -21,7 +21,7 @@ from itertools import chain, repeat
 import numpy as np
 
 #: Chunks that the cache holds at most, and words, which chunks end otherwise or follow a line feed, too; beyond, it begins anew.
-CACHE, WORDS = 300_000, 600_000
+CACHE, WORDS = 800_000, 800_000
 #: Characters of the texts that are looked up at once.
 AT_ONCE = 1_000_000
 #: A word of letters whose case and composition no normaliser changes beyond a simple lower-casing, and marks after it.
