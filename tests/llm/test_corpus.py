@@ -1,8 +1,10 @@
 """Corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and extra columns."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -361,13 +363,84 @@ def test_longest_common_lines_by_brute_force():
         assert len(shared) == table[-1][-1] and all(any(x == a[i] for x in it) for i in shared)
 
 
+P, M, X = pages.PLAIN, pages.MAIN, pages.MARKED
+
+
+def kept(page):
+    return [t for t, kind in pages.blocks(page) if kind != X]
+
+
 def test_blocks_of_a_page():
     page = '<html><head><title>T</title></head><body><header>H</header><nav>n</nav><div class="cookie-notice">c</div><main><h1>A &amp;lt; B</h1><p>x\n <b>y</b>&nbsp;z<br>w<p>q<script>var a="</p>";</script><!-- <p>no</p> --><aside>s</aside><ul><li>1<li>2</ul></main><section id="comments"><p>c</p></section><footer>f</footer>'
-    assert pages.blocks(page) == [("A &lt; B", True), ("x y z", True), ("w", True), ("q", True), ("1", True), ("2", True)]
+    assert pages.blocks(page) == [("H", X), ("n", X), ("c", X), ("A &lt; B", M), ("x y z", M), ("w", M), ("q", M), ("s", X), ("1", M), ("2", M), ("c", X), ("f", X)]
     nested = '<div>loose</div><main><p>long enough text</p><article class="user-comment"><p>me too</p></article><div class="siteNav">go</div></main>'
-    assert pages.blocks(nested) == [("long enough text", True)]
-    assert pages.blocks("") == [] and pages.blocks("plain < text") == [("plain < text", False)]
-    assert pages.blocks("<p>a<!-- never closed") == [("a", False)]
+    assert kept(nested) == ["loose", "long enough text"]
+    assert pages.blocks("") == [] and pages.blocks("plain < text") == [("plain < text", P)]
+    assert pages.blocks("<p>a<!-- never closed") == [("a", P)]
+
+
+def test_what_marks_an_element():
+    assert kept('<h1>Headline</h1><p>Intro</p><article>' + "long " * 99 + "</article>")[:2] == ["Headline", "Intro"]
+    assert kept('<div class="content has-sidebar"><p>a</p></div>') == ["a"]
+    assert kept('<div title="The hidden truth">a</div><div hidden>b</div><p style="color:red; display : none">c</p><p aria-hidden="true">d</p>') == ["a"]
+    assert kept('<div class="layout sidebar"><p>b</p><main><p>a</p></main></div>') == ["a"]
+    assert kept('<section id="comments"><article><p>b</p></article></section>') == []
+    assert kept('<p>one <span class="ad">buy</span> line</p>') == ["one line"]
+    assert kept("<svg/><p>a</p><svg><text>b</text></svg><math/>c") == ["a", "c"]
+
+
+@pytest.mark.parametrize("part", ["<svg></svg>", "<svg/>", "<iframe/>", "<!--", "<?", "<!", "<div>", "</div>", "<a \"'", "<p>x", "<script>", "<i><b></i>"])
+def test_a_long_page_takes_time_in_proportion(part):
+    began = time.process_time()
+    pages.blocks(part * (1_000_000 // len(part)))
+    pages.blocks("<div>" * 100_000 + "</span>" * 100_000)
+    assert time.process_time() - began < 10
+
+
+def test_extraction_by_brute_force(spark):
+    """A plain version: sort all pages, take the neighbour of the longer common path, and the classic table of common subsequences."""
+    rng = random.Random(12)
+    hosts = ["a.example", "b.example", "c.example"]
+    rows, want = [], {}
+    for i in range(90):
+        own = [f"own {i} {j}" for j in range(rng.randrange(4))]
+        menu = [f"menu {k} of {hosts[i % 3]}" for k in range(4)]
+        if i % 2:
+            page = "".join(f"<div>{m}</div>" for m in menu[:2]) + "".join(f"<p>{t}</p>" for t in own) + f"<div>{menu[2]}</div>"
+        else:
+            page = f"<nav><li>{menu[0]}</nav><h1>head {i}</h1><article>" + "".join(f"<p>{t}</p>" for t in [*own, "All rights kept"]) + f"</article><div class=comments><p>me {i}</p></div>"
+        rows.append((i, f"http://{hosts[i % 3]}/{rng.choice('xyz')}{rng.randrange(40)}", page, "x"))
+    place = lambda r: (r[1].split("/")[2], "/" + r[1].split("/", 3)[3], r[0])
+    ordered = sorted(rows, key=place)
+
+    def common(a, b):
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in ((i, j) for i in range(len(a)) for j in range(len(b))):
+            table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        return table[-1][-1]
+
+    for n, row in enumerate(ordered):
+        near = [ordered[k] for k in (n - 1, n + 1) if 0 <= k < len(ordered) and place(ordered[k])[0] == place(row)[0]]
+        near.sort(key=lambda o: -len(os.path.commonprefix([place(o)[1], place(row)[1]])))
+        lines = pages.blocks(row[2])
+        counts = [common([t for t, _ in lines], [t for t, _ in pages.blocks(o[2])]) for o in near if pages.blocks(o[2]) != lines]
+        want[row[0]] = next((c for c in counts if c), 0), [t for t, kind in lines if kind == M]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert len(got) == len(rows) and sum(r["n_deleted"] for r in got) > 100
+    for r in got:
+        shared, main = want[r["page_id"]]
+        lines = [t for t, kind in pages.blocks(rows[r["page_id"]][2])]
+        left = r["text"].split("\n") if r["text"] else []
+        assert r["n_blocks"] - r["n_deleted"] - r["n_marked"] == len(left) and shared - len(main) <= r["n_deleted"] <= shared
+        assert set(main) <= set(left) <= set(lines) and not any(t.startswith("me ") for t in left)
+        assert shared == 0 or not any(t.startswith("menu") for t in left) or not main
+
+
+def test_no_pages_no_rows(spark):
+    assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).collect() == []
+    same = [(7, "http://h.example/a", "<article><p>a</p></article><div>b</div>", "x")] * 5 + [(None, None, "<p>" + "long text " * 20_000, None)]
+    got = pages.extract(spark.createDataFrame(same, "page_id long, url string, html string, text string")).collect()
+    assert sorted(len(r["text"]) for r in got) == [3] * 5 + [199_999]
 
 
 @pytest.mark.parametrize("parts", [1, 7])
