@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,14 +17,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session without one (tests) gets its own."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. A local session without one has a temporary folder; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "/tmp/prismrank-shared"
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _local_dir()
     return at.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="prismrank-")
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df once in the shared folder and read it back, so that a lost executor
     costs a reread and no later job runs what stands above again."""

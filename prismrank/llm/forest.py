@@ -6,15 +6,17 @@ the longest prefix that any vector shares with it; then all trees ascend
 together, bit by bit, and gather the vectors under each prefix until there are
 enough candidates. These are ranked by exact inner product.
 
-The rows are dealt to shards, each with a forest of its own, and the queries to
-blocks; a task looks through one shard for one block, and the best of all shards
-are merged. A shard's forest gathers a share of its rows, not a fixed number, so
-recall doesn't fall as shards grow.
+The rows are dealt to shards of bounded size, each with a forest of its own. A
+task reads a shard's rows, builds the forest once and then lets the queries
+stream past it in batches; the best of all shards are merged. A shard's forest
+gathers a share of its rows, not a fixed number, so recall doesn't fall as
+shards grow, and some for each neighbour, so it doesn't where they are small.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Rows of a shard and queries of a block, about.
-SHARD_ROWS, BLOCK_QUERIES, LEAST_SHARDS = 20_000, 4_096, 8
+from prismrank.llm.common import in_batches
+
+#: Rows of a shard, about.
+SHARD_ROWS = 20_000
 TREES, BITS, TABLE_BITS = 64, 32, 12
-#: Candidates that a query gathers from a shard: this share of its rows, counted in every tree that gives them; at least so many times k.
-SHARE, LEAST_TIMES = 0.8, 25
+#: Candidates that a query gathers from a shard, counted in every tree that gives them: this share of its rows and so many more for each neighbour sought.
+SHARE, EACH = 0.8, 15
 
 
 class Forest:
@@ -104,39 +108,47 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = S
     """query_id, rank, vec_id, score: the k rows of vectors(vec_id, embedding) with the largest inner product with each of queries(vec_id, embedding), but the query's own.
 
     Ties go to the smaller vec_id. Vectors that are null, zero or have null or
-    non-finite parts take no part, nor do null ids; the parts of all others must
-    be equally many. Repeated rows are found each. Other columns are ignored.
+    non-finite parts take no part, nor do null ids; only vectors of as many parts
+    as the query's are near it. Repeated rows are found each; a query's id that
+    several rows have is one query, of the least vector. Other columns are
+    ignored; no rows or no queries give no rows.
     """
     rows, wanted = [df.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).filter(_usable(F.col("v")) & F.col("vec_id").isNotNull()) for df in (vectors, queries)]
-    shards = max(LEAST_SHARDS, math.ceil(rows.count() / SHARD_ROWS))
-    blocks = math.ceil(wanted.count() / BLOCK_QUERIES) or 1
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    cells = rows.select("vec_id", "v", F.lit(False).alias("asks"), deal(shards).alias("shard"), every(blocks).alias("block")).unionAll(
-        wanted.select("vec_id", "v", F.lit(True).alias("asks"), every(shards).alias("shard"), deal(blocks).alias("block")))
-
-    def look(cell: pa.Table) -> pa.Table:
-        asks = cell["asks"].to_numpy()
-        ids = cell["vec_id"].to_numpy()
-        values = cell["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        v = values.reshape(len(ids), -1)
-        have, have_ids, q, q_ids = v[~asks], ids[~asks], v[asks], ids[asks]
-        if not len(have) or not len(q):
-            return _FOUND.empty_table()
-        order = np.argsort(have_ids, kind="stable")
-        have, have_ids = np.ascontiguousarray(have[order]), have_ids[order]
-        forest = Forest(have, trees)
+    shards = math.ceil(rows.count() / SHARD_ROWS) or 1
+    deal = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int")  # rows of one id are dealt, too
+    cells = rows.select("vec_id", "v", F.lit(False).alias("asks"), deal.alias("shard")).unionAll(
+        wanted.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")))
+    order = ["shard", "parts", "asks", "vec_id"]
+
+    def answers(forest: Forest, have_ids: np.ndarray, q_ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         out = []
-        for i, near in enumerate(forest.candidates(q, max(LEAST_TIMES * k, math.ceil(share * len(have))))):
+        for i, near in enumerate(forest.candidates(q, math.ceil(share * len(have_ids)) + EACH * k)):
             near = near[have_ids[near] != q_ids[i]]
-            score = have[near] @ q[i]
+            score = forest.vectors[near] @ q[i]
             best = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
             best = best[np.lexsort((have_ids[near[best]], -score[best]))][:k]
             out.append((np.full(len(best), q_ids[i]), have_ids[near[best]], score[best]))
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_FOUND)
-
-    best = cells.groupBy("shard", "block").applyInArrow(look, "query_id long, vec_id long, score double")
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_FOUND)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, forest = None, [], None  # the shard in hand, its rows, and its forest once queries come
+        for batch in batches:
+            ids, asks = batch.column("vec_id").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            key = np.stack([batch.column("shard").to_numpy(), batch.column("parts").to_numpy(), asks])
+            starts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)])) if len(ids) else []
+            for a, b in zip(starts, [*starts[1:], len(ids)], strict=False):
+                if (shard := tuple(key[:2, a])) != now:
+                    now, held, forest = shard, [], None
+                v = batch.column("v").slice(a, b - a).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)
+                if not asks[a]:
+                    held.append((ids[a:b], v))
+                elif held:
+                    if forest is None:
+                        have_ids, have = np.concatenate([i for i, _ in held]), np.concatenate([x for _, x in held])
+                        forest = Forest(have, trees)
+                    yield answers(forest, have_ids, ids[a:b], v)
+
+    dealt = cells.withColumn("parts", F.size("v")).repartition(shards, "shard").sortWithinPartitions(*order).select(*order, "v").transform(in_batches)
+    best = dealt.mapInArrow(look, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-

@@ -250,7 +250,7 @@ def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFra
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     members = clusters.join(sizes, "component").select("component", "size", "node", "copies")
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
-    cells = _chunked(texts.join(members, "node").dropDuplicates(["node"]), "component", "size").select("component", "i", "j", "side", "node", "copies", "text")
+    cells = _chunked(texts.join(members, "node").groupBy("component", "size", "node", "copies").agg(F.min("text").alias("text")), "component", "size").select("component", "i", "j", "side", "node", "copies", "text")
     dealt = cells.repartition(shuffle_width(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("copies", pa.int64())])
 
@@ -291,8 +291,9 @@ def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shingle sets among them. Words are lower-cased; a text of fewer than five
     words is one shingle; a null, empty or blank text has none, is linked to
     nothing and is a class by itself. Rows with the same doc_id and text are
-    copies; a doc_id should not name two texts (their classes would be taken for
-    one). Rows with a null doc_id are left out. Other columns are ignored.
+    copies; a doc_id should not name two texts: their classes would be taken for
+    one, by the least of the texts. Rows with a null doc_id are left out. Other
+    columns are ignored; no rows give no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.string()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
 
@@ -305,7 +306,7 @@ def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     worded = sketches.filter("set_hash IS NOT NULL")
     sizes = worded.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     classes = materialize(sizes, "classes")
-    nodes = worded.select(F.col("doc_id").alias("node"), "bands", "values").join(classes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    nodes = worded.select(F.col("doc_id").alias("node"), "bands", "values").join(classes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("values", "bands")).alias("of")).select("node", "of.bands", "of.values")
     edges = materialize(_candidate_edges(nodes, threshold), "candidates")
     clusters = components(edges).join(classes.select("node", "copies"), "node")
     verified = materialize(_verified(given, clusters, threshold), "verified")

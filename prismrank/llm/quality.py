@@ -165,7 +165,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """
     stats = materialize(statistics(docs), "statistics")
     usable = stats.filter(~F.col("base_failed"))
-    sizes = materialize(usable.groupBy("lang", "source").count().select("lang", F.col("source").alias("pool"), F.when(F.col("count") >= LEAST, F.col("source")).otherwise("*").alias("to")), "pools")
+    sizes = materialize(usable.groupBy("lang", "source").count().select("lang", F.col("source").alias("pool"), F.when(F.col("count") >= LEAST, F.concat(F.lit("="), F.col("source"))).otherwise("*").alias("to")), "pools")
     pooled = _with(stats.withColumn("pool", F.col("source")), sizes, "left").withColumn("pool", F.coalesce("to", F.lit("*"))).drop("to")
     params = robust_estimates(pooled.filter(~F.col("base_failed")).select("lang", "pool", "doc_id", "vector"))
     distance = _distance() / F.col("scale")

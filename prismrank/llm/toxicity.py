@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import in_batches, text_of
+from prismrank.llm.common import in_batches, materialize, text_of
 
 #: The model is fitted on at most so many labelled rows, those of the smallest hashes of doc_id.
 SAMPLE_ROWS = 20_000
@@ -30,8 +30,11 @@ STEMS, LEAST_TEXTS, LEAST_G, MOST_TERMS = (4, 5, 6, 7), 4, 16.0, 400
 WINDOW = 5
 
 _WORD = re.compile(r"[^\W_]+")
-_REPORTING = frozenset("said says say called calls calling quote quotes quoted quoting wrote writes word words term slur insult allegedly reported".split())
+#: Words that tell of what others say, in English, German, French and Spanish.
+_REPORTING = frozenset("said says say called calls calling quote quotes quoted quoting wrote writes word words term slur insult allegedly reported sagte sagt nannte nennt zitat zitiert schrieb wort wörter beleidigung angeblich dit disait appelle appelait citation cite écrit mot mots insulte dijo dice llamó llama cita escribió palabra palabras insulto".split())
 _QUOTES = frozenset("\"“”«»„‟‘’'`")
+#: An apostrophe inside a word, which quotes nothing.
+_INNER = re.compile(r"(?<=\w)['’`](?=\w)")
 
 
 @dataclass(frozen=True)
@@ -51,7 +54,7 @@ class Term:
 class FuzzyTrie:
     """find(word): (term, edits) with the fewest edits, then the largest weight, else None."""
 
-    def __init__(self, terms: list[Term], words: int = 100_000):
+    def __init__(self, terms: list[Term], words: int = 100_000, most_states: int = 50_000):
         self.terms, self.children, self.ends, self.room = terms, [{}], [[]], [0]
         for k, t in enumerate(terms):
             node = 0
@@ -65,10 +68,14 @@ class FuzzyTrie:
                 node = self.children[node][c]
             self.room[node] = max(self.room[node], t.edits)
             self.ends[node].append(k)
+        self.words, self.known, self.most_states = words, {}, most_states
+        self._begin()
+
+    def _begin(self) -> None:
+        """Without any states but the start; also when there are too many."""
         self.states: list[tuple[frozenset, tuple | None, tuple | None]] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
-        self.words, self.known = words, {}
         self.start = self._state({(0, 0)})
 
     def _better(self, a: tuple | None, b: tuple | None) -> tuple | None:
@@ -113,6 +120,8 @@ class FuzzyTrie:
     def find(self, word: str) -> tuple | None:
         if word in self.known:
             return self.known[word]
+        if len(self.states) > self.most_states:
+            self._begin()
         state, found = self.start, None
         for c in word:
             n = self.steps[state].get(c)
@@ -149,7 +158,8 @@ def features(text: str, trie: FuzzyTrie) -> list[float]:
         k, edits = found[w]
         weight = trie.terms[k].weight
         lo, hi = max(0, i - WINDOW), min(len(places), i + WINDOW + 1)
-        marks = bool(_QUOTES.intersection(lower[places[lo][0] : a])) and bool(_QUOTES.intersection(lower[b : places[hi - 1][1] + 1]))
+        around = _INNER.sub(" ", lower[places[lo][0] : places[hi - 1][1] + 1])  # of the same length
+        marks = bool(_QUOTES.intersection(around[: a - places[lo][0]])) and bool(_QUOTES.intersection(around[b - places[lo][0] :]))
         reported = any(p[2] in _REPORTING for p in places[lo:hi])
         abuse = 0.3 if marks and reported else 0.6 if marks or reported else 1.0
         quoted += 1 - abuse
@@ -166,9 +176,10 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> DataFrame:
-    """text and toxic of at most so many labelled rows that aren't held out. Of several labels the largest counts."""
+    """doc_id, text and toxic of at most so many labelled documents that aren't held out. Of several labels the largest counts, of several texts under one doc_id the least."""
     chosen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def learn_terms(rows: DataFrame) -> list[Term]:
@@ -223,7 +234,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Model:
     """Terms and a ridge-penalised logistic model of the features, by Newton's method. Without labels of both kinds every score is 0 or 1 by the share of toxic ones."""
-    rows = training_rows(docs, labels, most)
+    rows = materialize(training_rows(docs, labels, most), "training")
     terms = learn_terms(rows)
     data = _featured(rows, terms, ["toxic"]).collect()  # at most `most` rows of a few numbers
     x = np.array([[*r["features"], 1.0] for r in data]).reshape(len(data), len(FEATURES) + 1)

@@ -522,6 +522,34 @@ def test_search_by_brute_force(spark):
     assert forest.search(few, few.filter("vec_id = 0")).count() == 2
 
 
+@pytest.mark.parametrize("n", [500, 2_000, 12_000])
+def test_recall_and_work_of_the_forest(spark, monkeypatch, n):
+    """Against all inner products, on vectors without structure, over shards of 6,000 rows: recall, and the part of a shard that is looked at."""
+    monkeypatch.setattr(forest, "SHARD_ROWS", 6_000)
+    v = np.random.default_rng(n).standard_normal((n, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = forest.search(df, df.filter("vec_id % 20 = 0")).toPandas()
+    hit = 0
+    for q, found in got.groupby("query_id"):
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len({*np.argsort(-s)[:20]} & {*found["vec_id"]})
+    assert len(got) == n and hit >= 0.9 * n
+    if n > 6_000:
+        shard = forest.Forest(v[:6_000])
+        enough = round(forest.SHARE * 6_000) + forest.EACH * 20
+        looked = [len(c) for c in shard.candidates(v[6_000:6_100], enough)]
+        assert np.mean(looked) < 0.6 * 6_000
+
+
+def test_odd_vectors(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 2.0, 3.0]), (40, [1.0, 2.0, 3.0]), (60, []), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = forest.search(df, df.filter("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()
+    assert [tuple(r) for r in got] == [(20, 1, 1, 1.0), (20, 2, 1, 1.0), (40, 1, 2, 14.0)]
+
+
 # toxicity
 
 
