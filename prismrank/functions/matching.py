@@ -18,11 +18,11 @@ _LOOSE_APOSTROPHE = re.compile(r"(?<![^\W_])'|'(?![^\W_])")
 
 
 def normal_tokens(text: str | None) -> list[str]:
-    """Words after composing characters; punctuation, symbols, separators and controls become spaces, but an apostrophe between letters or digits stays."""
+    """Words after composing characters; punctuation, symbols and separators become spaces, but an apostrophe between letters or digits stays; controls stay, except those that are white space."""
     if not text:
         return []
     text = unicodedata.normalize("NFC", text).translate({ord(c): "'" for c in APOSTROPHES})
-    text = "".join(c if c == "'" or unicodedata.category(c)[0] not in "PSZC" else " " for c in text)
+    text = "".join(c if c == "'" or unicodedata.category(c)[0] not in "PSZ" else " " for c in text)
     return _LOOSE_APOSTROPHE.sub(" ", text).split()
 
 

@@ -13,7 +13,7 @@ _ARTICLES = r"(?U)\b(a|an|the)\b"
 
 def squeeze(c: Column) -> Column:
     """Runs of white space, Unicode's too, become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def strip(c: Column) -> Column:
@@ -89,8 +89,16 @@ def parse_whole(c: Column, field: str) -> Column:
     return F.nullif(F.regexp_extract(c, rf"(?is)\A\s*{field}:[ \t]*(.*?)\s*\z", 1), F.lit(""))
 
 
+#: What an answer that refuses begins with, in any case and after white space.
+REFUSALS = (
+    r"i\s+(?:cannot|can't|am\s+unable\s+to|won't)\s+(?:answer|provide\s+an\s+answer|help)",
+    r"i\s+(?:must|have\s+to)\s+(?:decline|refuse)",
+    r"sorry,?\s+i\s+(?:cannot|can't|am\s+unable\s+to)\s+(?:answer|help)",
+)
+
+
 def is_refusal(c: Column) -> Column:
-    return c.rlike(r"(?is)\A\s*(?:i (?:cannot|can't|am unable to)|i'm (?:sorry|unable)|unable to) .*\z")
+    return c.rlike(rf"(?isU)\A\s*(?:{'|'.join(REFUSALS)})")
 
 
 def classify_response(error: Column, finish_reason: Column, text: Column, parsed: Column) -> Column:
@@ -99,17 +107,21 @@ def classify_response(error: Column, finish_reason: Column, text: Column, parsed
     return F.when(error.isNotNull(), "ERROR").when(truncated, "TRUNCATED").when(is_refusal(text), "REFUSAL").when(parsed.isNull(), "PARSE_FAILURE").otherwise("OK")
 
 
-#: Abbreviations after which a sentence goes on.
-ABBREVIATIONS = ["dr.", "mr.", "mrs.", "ms.", "prof.", "sr.", "jr.", "st.", "vs.", "e.g.", "i.e.", "etc.", "fig.", "al.", "no.", "inc.", "u.s."]
+#: Abbreviations after which a sentence goes on, and signs around a word that don't belong to it.
+ABBREVIATIONS = ["e.g.", "i.e.", "dr.", "mr.", "mrs.", "ms.", "prof.", "sr.", "jr.", "vs.", "etc.", "fig.", "eq.", "no.", "nos.", "st.", "mt."]
+AROUND = "*_`\"“”'‘’()[]{}"
+_AROUND = AROUND.replace("[", "\\[").replace("]", "\\]")
+#: A separator of information, which counts as white space and so isn't in a squeezed text.
+_BREAK = "\x1e"
 
 
 def sentences(c: Column) -> Column:
-    """Sentences of a text; a piece that ends in an abbreviation or an initial goes on with the next."""
-    pieces = F.filter(F.split(squeeze(c), r"(?<=[.!?])\s+(?=\S)"), lambda s: s != "")
-    last = lambda s: F.lower(F.element_at(F.split(s, " "), -1))
-    goes_on = lambda s: last(s).isin(ABBREVIATIONS) | last(s).rlike(r"^[a-z]\.(?:[a-z]\.)*$")
-    merge = lambda acc, s: F.when((F.size(acc) > 0) & goes_on(F.element_at(acc, -1)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), s)))).otherwise(F.concat(acc, F.array(s)))
-    return F.aggregate(pieces, F.array().cast("array<string>"), merge)
+    """Sentences of a text; a piece that ends in an abbreviation or in initials goes on with the next. Work grows with the text, as pieces are joined all at once."""
+    pieces = F.filter(F.split(squeeze(c), r"(?<=[.!?]) (?=\S)"), lambda s: s != "")
+    last = lambda s: F.lower(F.regexp_replace(F.substring_index(s, " ", -1), f"^[{_AROUND}]+|[{_AROUND}]+$", ""))
+    goes_on = lambda w: w.isin(ABBREVIATIONS) | w.rlike(r"^(?:[a-z]\.)+$")
+    joined = F.array_join(F.transform(pieces, lambda s: F.concat(s, F.when(goes_on(last(s)), F.lit(" ")).otherwise(F.lit(_BREAK)))), "")
+    return F.filter(F.transform(F.split(joined, _BREAK), F.trim), lambda s: s != "")
 
 
 def retrieval_content(title: Column, text: Column) -> Column:
@@ -124,22 +136,39 @@ def context_block(passages: Column) -> Column:
     return F.array_join(F.transform(passages, lambda p, i: F.concat(F.lit("[Document "), (i + 1).cast("string"), F.lit("]\n"), p)), "\n\n")
 
 
-def split_context(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\[Document \d+\]"), strip), lambda s: s != "")
+def split_context(c: Column, n: int | None = None) -> Column:
+    """The documents of a context; with n, other than n documents, numbered from 1 to n, are an error."""
+    found = F.filter(F.transform(F.split(c, r"\[Document \d+\]\s*" if n is None else rf"\[Document [1-{n}]\]\s*"), strip), lambda s: s != "")
+    return found if n is None else F.when(F.size(found) == n, found).otherwise(F.raise_error(F.lit(f"not {n} documents in a context")))
 
 
 def explanation(c: Column) -> Column:
     return F.when(F.instr(c, "Explanation:") > 0, strip(F.regexp_extract(c, r"(?s)Explanation:(.*)\z", 1)))
 
 
-def redact_keys(c: Column) -> Column:
-    """The first 1,000 characters with bearer tokens and keys masked."""
-    out = F.left(c, F.lit(1000))
-    for pattern, to in ((r"(?i)bearer\s+\S+", "Bearer [REDACTED]"), (r"(?i)(api[_-]?key\s*[=:]\s*)\S+", "$1[REDACTED]"), (r"sk-[A-Za-z0-9_-]{8,}", "[REDACTED]")):
-        out = F.regexp_replace(out, pattern, to)
+#: What comes before a secret, which stays, and the secret.
+SECRETS = ((r"authorization\s*[:=]\s*bearer\s+", r"[^\s,;]+"), (r"api[_-]?key\s*[:=]\s*", r"[^\s,;]+"), (r"bearer\s+", r"[A-Za-z0-9._~+/=-]+"))
+#: Characters of an error message that are kept.
+MESSAGE_CHARS = 1000
+
+
+def redact_keys(c: Column, most: int | None = MESSAGE_CHARS) -> Column:
+    """A message, cut to so many characters if any, with authorisations, keys and bearer tokens masked."""
+    out = c if most is None else F.left(c, F.lit(most))
+    for before, secret in SECRETS:
+        out = F.regexp_replace(out, f"(?i)({before}){secret}", "$1[REDACTED]")
     return out
 
 
+def stable_id(c: Column, kind: str) -> Column:
+    """An id as canonical JSON, so that the number 1 and the text "1" differ; kind is the column's type. A blank text, a truth value, a fraction and a null are errors."""
+    if kind == "string":
+        return F.when(strip(c) != "", F.to_json(F.struct(c.alias("id")))).otherwise(F.raise_error(F.lit("an id must not be empty")))
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"an id is a text or a whole number, not {kind}")
+    return F.when(c.isNotNull(), F.to_json(F.struct(c.cast("long").alias("id")))).otherwise(F.raise_error(F.lit("an id must not be null")))
+
+
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 

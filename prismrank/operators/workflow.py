@@ -80,9 +80,10 @@ def row_score(value: Column, status: Column) -> Column:
     return F.when(status == "OK", value).when(status == "REFUSAL", 0.0)
 
 
-def repeatability(calls: DataFrame, key: str, text: str, times: int = 3, enough: int = 19) -> DataFrame:
-    """n, n_same, passed: prompts whose calls, as many as asked, all gave the same stripped text."""
-    per = calls.groupBy(key).agg(((F.countDistinct(X.strip(F.col(text))) == 1) & (F.count("*") == times)).alias("same"))
+def repeatability(calls: DataFrame, key: str, text: str, times: int | None = 3, enough: int = 19) -> DataFrame:
+    """n, n_same, passed: prompts whose calls, as many as asked if that is given, all gave the same stripped text."""
+    asked = F.count("*") == times if times else F.lit(True)
+    per = calls.groupBy(key).agg(((F.countDistinct(X.strip(F.col(text))) == 1) & asked).alias("same"))
     return per.agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), (F.count_if("same") >= enough).alias("passed"))
 
 
@@ -110,6 +111,25 @@ def numbered(df: DataFrame, order: str, out: str = "corpus_position", rows: int
     return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")
 
 
+def first_by_hash(df: DataFrame, id_column: str, namespace: str, n: int) -> DataFrame:
+    """df with first: whether the row is among the n of the smallest sha256 of "namespace|id". The places come from ranges of the hashes, so n may be any share of the rows."""
+    digest = F.sha2(F.concat_ws("|", F.lit(namespace), F.col(id_column).cast("string")), 256)
+    hashed = df.withColumn("_hash", F.conv(F.left(digest, F.lit(15)), 16, 10).cast("long"))
+    return numbered(hashed, "_hash", "_at").withColumn("first", F.col("_at") < n).drop("_hash", "_at")
+
+
+def checked_candidates(candidates: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Candidates(query_id, rank, corpus_position, doc_id, content_sha256) with the content of corpus(corpus_position, doc_id, content).
+
+    A position that the corpus lacks, or whose document has another id or other
+    content than the candidate says, is an error when the row is read.
+    """
+    there = corpus.select("corpus_position", F.col("doc_id").alias("_id"), "content")
+    both = candidates.join(there, "corpus_position", "left")
+    fault = F.when(F.col("_id").isNull(), "no document at a candidate's position").when(F.col("_id") != F.col("doc_id"), "a candidate's document has another id").when(F.sha2("content", 256) != F.col("content_sha256"), "a candidate's document has other content")
+    return both.filter(F.when(fault.isNotNull(), F.raise_error(fault).cast("boolean")).otherwise(True)).drop("_id")
+
+
 def map_model(rows: DataFrame, call: Callable[[list[str]], list[str]], text: str, out: str, attempts: int = 3) -> DataFrame:
     """rows with the answers of an injected model, batch by batch; only errors of the connection are tried again, and then give null."""
     kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], f"`{out}` string"])

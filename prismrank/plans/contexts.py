@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from prismrank.functions import matching
 from prismrank.functions import text as X
 from prismrank.operators import workflow as V
-from prismrank.plans.ranking import POOL, TOP, bm25_top20, dense_top20
+from prismrank.plans.ranking import ORACLES as ORACLES_OF_RANKING
+from prismrank.plans.ranking import QUERIES as RANKING
+from prismrank.plans.ranking import TOP, bm25_top20
 from prismrank.plans.registry import Query, registrar
+from prismrank.plans.wording import _REFUSAL, _sentence_list
 from prismrank.sources.files import table
 
 QUERIES: dict[str, Query] = {}
@@ -22,14 +25,28 @@ def corpus_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.numbered(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@register()
+_BM25 = ORACLES_OF_RANKING["bm25_top20"]
+
+
+@register(f"""WITH p AS ({_BM25}) SELECT query_id, 'bm25' AS retriever, count(*) AS n, sha256(string_agg(rank || ':' || doc_id || ':' || CAST(round(score * 1000000) AS BIGINT) || ':' || sha256(text), ',' ORDER BY rank)) AS artifact_sha256 FROM p JOIN documents USING (doc_id) GROUP BY query_id""")
 def candidate_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 candidates of every benchmark item as arrays with content hashes."""
+    """BM25 candidates of every benchmark item as arrays with content hashes, and a digest of each array."""
     corpus = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-    return V.candidate_artifacts(bm25_top20(spark, sf_dir), "bm25", corpus).select("query_id", "retriever", "n", F.sha2(F.to_json("candidates"), 256).alias("artifact_sha256"))
+    entry = lambda c: F.concat_ws(":", c["rank"], c["doc_id"], F.round(c["score"] * 1_000_000).cast("long"), c["content_sha256"])
+    return V.candidate_artifacts(bm25_top20(spark, sf_dir), "bm25", corpus).select("query_id", "retriever", "n", F.sha2(F.array_join(F.transform("candidates", entry), ","), 256).alias("artifact_sha256"))
+
+
+@register(f"""WITH p AS ({_BM25}), n AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) - 1 AS corpus_position FROM documents) SELECT query_id, rank, corpus_position, sha256(text) AS content_sha256 FROM p JOIN n USING (doc_id)""")
+def checked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 candidates looked up again by their position in the corpus, with id and content compared."""
+    corpus = V.numbered(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), "doc_id")
+    hashed = corpus.select("doc_id", "corpus_position", F.sha2("content", 256).alias("content_sha256"))
+    found = V.checked_candidates(bm25_top20(spark, sf_dir).join(hashed, "doc_id"), corpus)
+    return found.select("query_id", "rank", "corpus_position", F.sha2("content", 256).alias("content_sha256"))
 
 
-@register()
+@register(f"""WITH p AS ({_BM25}), t AS (SELECT query_id, string_agg('[Document ' || rank || ']' || chr(10) || trim(text), chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n FROM p JOIN documents USING (doc_id) WHERE rank <= {TOP} GROUP BY query_id)
+SELECT query_id, 'none' AS condition, CAST(n AS INTEGER) AS n_passages, CAST(length(context) AS INTEGER) AS context_chars, sha256(context) AS context_sha256 FROM t WHERE n = {TOP}""")
 def selected_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most relevant documents of each benchmark item as one context."""
     corpus = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
@@ -37,14 +54,16 @@ def selected_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.selected_contexts(top, corpus, TOP).select("query_id", "condition", F.size("passages").alias("n_passages"), F.length("context").alias("context_chars"), F.sha2("context", 256).alias("context_sha256"))
 
 
-@register()
+@register(f"""WITH a AS (SELECT query_id, list(doc_id ORDER BY selected_rank) AS ids FROM ({ORACLES_OF_RANKING["select_none"]}) GROUP BY query_id), b AS (SELECT query_id, list(doc_id ORDER BY selected_rank) AS ids FROM ({ORACLES_OF_RANKING["select_mmr_0_75"]}) GROUP BY query_id)
+SELECT query_id, a.ids = b.ids AS same FROM a JOIN b USING (query_id)""")
 def passage_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lists of the pool and of the context agree in their first ranks."""
-    ids = lambda k: dense_top20(spark, sf_dir).filter(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda r: r["doc_id"]).alias("ids"))
-    return V.passages_agree(ids(POOL).withColumn("ids", F.slice("ids", 1, TOP)), ids(TOP), ["query_id"], "ids")
+    """Whether the passages selected with a little diversity are those of plain relevance, in the same order."""
+    ids = lambda name: RANKING[name](spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("selected_rank", "doc_id"))), lambda r: r["doc_id"]).alias("ids"))
+    return V.passages_agree(ids("select_none"), ids("select_mmr_0_75"), ["query_id"], "ids")
 
 
-@register()
+@register(f"""WITH s AS (SELECT conv_id, turn, {_sentence_list("text")} AS s FROM conversations WHERE role = 'assistant' AND trim(text) <> '' AND NOT regexp_matches(text, '{_REFUSAL}'))
+SELECT conv_id, turn, count(*) AS n_claims, sum(length(c))::BIGINT AS claim_chars FROM (SELECT conv_id, turn, unnest(s) AS c FROM s) GROUP BY ALL""")
 def claim_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of the assistants' turns, refusals aside."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
@@ -53,23 +72,40 @@ def claim_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return claims.groupBy("conv_id", "turn").agg(F.count("*").alias("n_claims"), F.sum(F.length("claim_text")).alias("claim_chars"))
 
 
-@register("""WITH c AS (SELECT conv_id % 100 AS prompt, trim(text) AS t FROM conversations WHERE turn < 3), p AS (SELECT prompt, count(DISTINCT t) = 1 AND count(*) = 3 AS same FROM c GROUP BY prompt)
+@register(r"""WITH p AS (SELECT conv_id, role, count(DISTINCT regexp_replace(text, '^\s+|\s+$', '', 'g')) = 1 AS same FROM conversations GROUP BY ALL)
 SELECT count(*) AS n, count(*) FILTER (same) AS n_same, count(*) FILTER (same) >= 19 AS passed FROM p""")
 def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations' first turns dealt to a hundred prompts stand for repeated calls."""
-    calls = table(spark, sf_dir, "conversations").filter("turn < 3").select((F.col("conv_id") % 100).alias("prompt"), "text")
-    return V.repeatability(calls, "prompt", "text")
+    """All turns of a role in a conversation stand for the calls of one prompt, as many as there are."""
+    calls = table(spark, sf_dir, "conversations").select(F.struct("conv_id", "role").alias("prompt"), "text")
+    return V.repeatability(calls, "prompt", "text", None)
+
+
+def _token_list(x: str) -> str:
+    """SQL of a text's words after composing characters: marks and white space separate, apostrophes between letters or digits stay."""
+    apostrophes = f"regexp_replace(nfc_normalize({x}), '[‘’ʼ＇]', chr(39), 'g')"
+    for _ in range(2):  # a letter between two apostrophes belongs to both
+        apostrophes = rf"regexp_replace({apostrophes}, '([\pL\pN])\x27([\pL\pN])', '\1' || chr(1) || '\2', 'g')"
+    spaced = rf"regexp_replace({apostrophes}, '[\pP\pS\pZ\s\v\x1c-\x1f\x{{85}}]+', ' ', 'g')"
+    return f"list_filter(string_split(replace({spaced}, chr(1), chr(39)), ' '), lambda w: w <> '')"
+
+
+def _contains(words: str, alias: str) -> str:
+    return f"(len({alias}) > 0 AND contains(' ' || array_to_string({words}, ' ') || ' ', ' ' || array_to_string({alias}, ' ') || ' '))"
 
 
-@register()
+@register(f"""WITH p AS ({_BM25}), al AS (SELECT item_id AS query_id, unnest([0, 1]) AS aspect, unnest([split_part(text, ' ', 1), array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ')]) AS alias FROM benchmark),
+a AS (SELECT query_id, aspect, {_token_list("alias")} AS a FROM al), d AS (SELECT doc_id, {_token_list("text")} AS p FROM documents WHERE doc_id IN (SELECT doc_id FROM p)),
+s AS (SELECT query_id, aspect, bool_or(CASE WHEN len(a) = 1 THEN {_contains("d.p", "a")} ELSE {_contains("list_transform(d.p, lambda w: lower(w))", "list_transform(a, lambda w: lower(w))")} END) AS present FROM p JOIN a USING (query_id) JOIN d USING (doc_id) GROUP BY ALL)
+SELECT query_id, round(avg(CAST(present AS DOUBLE)), 6) AS str_em, CAST(bool_and(present) AS DOUBLE) AS str_hit FROM s GROUP BY query_id""")
 def aspect_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aspects of each benchmark item, its first word and its first three words as aliases, found in the item's candidates."""
     aliases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(F.array(F.substring_index("text", " ", 1), F.substring_index("text", " ", 3))).alias("aspect", "alias"))
     words = aliases.select("query_id", "aspect", matching.tokens_udf("alias").alias("a"), matching.folded_udf("alias").alias("af"))
-    docs = table(spark, sf_dir, "documents").join(bm25_top20(spark, sf_dir).select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", matching.tokens_udf("text").alias("p"), matching.folded_udf("text").alias("pf"))
-    both = bm25_top20(spark, sf_dir).join(words, "query_id").join(docs, "doc_id")
+    found = bm25_top20(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", matching.tokens_udf("text").alias("p"), matching.folded_udf("text").alias("pf"))
+    both = found.join(words, "query_id").join(docs, "doc_id")
     seen = both.withColumn("present", matching.alias_matches(F.col("p"), F.col("pf"), F.col("a"), F.col("af")))
-    return V.alias_scores(seen, ["query_id"])
+    return V.alias_scores(seen, ["query_id"]).withColumn("str_em", F.round("str_em", 6))
 
 
 @register("""WITH g AS (SELECT doc_id, lang, source, quality, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id))

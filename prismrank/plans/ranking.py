@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from prismrank.functions.vectors import norm
 from prismrank.operators import metrics, retrieval, selection
+from prismrank.operators import workflow as V
+from prismrank.plans import selection_sql
 from prismrank.plans.registry import Query, registrar
 from prismrank.sources.files import table
 
@@ -94,14 +96,14 @@ WITH tok AS (
   SELECT vec_id // 10 AS id, embedding::DOUBLE[] AS v FROM embeddings
 ), s AS (
   SELECT q.id AS query_id, d.id AS doc_id, q.rn, max(list_inner_product(q.v, d.v)) AS best
-  FROM (SELECT *, row_number() OVER () AS rn FROM tok WHERE id % 10 = 0) q JOIN tok d ON true GROUP BY ALL
+  FROM (SELECT *, row_number() OVER () AS rn FROM tok WHERE id % 100 = 0) q JOIN tok d ON true GROUP BY ALL
 ), t AS (SELECT query_id, doc_id, sum(best) AS score FROM s GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM t)
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def maxsim_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ten vectors are the tokens of a document; every tenth document asks."""
+    """Every ten vectors are the tokens of a document; documents whose id is divisible by a hundred ask."""
     tokens = _vectors(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).cast("long").alias("doc_id"), "v")
-    asks = tokens.filter("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "v")
+    asks = tokens.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "v")
     return retrieval.max_sim(tokens, asks, 10).withColumn("score", F.round("score", 6))
 
 
@@ -150,8 +152,20 @@ def _selected(name: str) -> Query:
     return query
 
 
+def _selection(name: str) -> str | None:
+    """The condition's SQL; those that draw at random have none."""
+    c = selection.parse_condition(name)
+    if name in ("none", "mmr_1"):
+        return _FIRST.replace("<name>", name)
+    if c.family == "mmr":
+        return selection_sql.mmr(_SCORED, name, c.value, TOP)
+    if c.family == "agglo":
+        return selection_sql.agglo(_SCORED, name, c.value, POOL, TOP)
+    return selection_sql.dpp_map(_SCORED, name, TOP) if c.family == "dpp_map" else None
+
+
 for _name in ("none", "mmr_0", "mmr_0.25", "mmr_0.5", "mmr_0.75", "mmr_1", "kmeans_k2", "kmeans_k3", "kmeans_k5", "agglo_k3", "agglo_k5", "dpp_map", "dpp_seed1", "dpp_seed2", "dpp_seed3"):
-    register(_FIRST.replace("<name>", _name) if _name in ("none", "mmr_1") else None, "select_" + _name.replace(".", "_"))(_selected(_name))
+    register(_selection(_name), "select_" + _name.replace(".", "_"))(_selected(_name))
 
 FINAL_CONDITIONS = ["none", "mmr_0", "mmr_0.25", "mmr_0.5", "mmr_0.75", "kmeans_k2", "agglo_k3", "dpp_map"]
 
@@ -184,13 +198,16 @@ def alpha_dcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
-@register()
+@register(f"""WITH {_SCORED}, a AS (SELECT *, count(*) OVER (PARTITION BY query_id, label ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM pool),
+dcg AS (SELECT query_id, sum(pow(0.5, seen) / log2(rank + 1)) AS dcg FROM a WHERE rank <= {TOP} GROUP BY query_id),
+best AS (SELECT query_id, pow(0.5, seen) AS gain, row_number() OVER (PARTITION BY query_id ORDER BY seen) AS place FROM a), ideal AS (SELECT query_id, sum(gain / log2(place + 1)) AS idcg FROM best WHERE place <= {TOP} GROUP BY query_id)
+SELECT query_id, round(dcg / idcg, 6) AS alpha_ndcg FROM ideal JOIN dcg USING (query_id)""")
 def alpha_ndcg_at5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """alpha_dcg against the greedy ideal over the pool; null where the ideal is 0."""
     pool = _pool(spark, sf_dir)
     dcg = metrics.alpha_dcg(pool.filter(F.col("rank") <= TOP).select("query_id", "rank", F.col("label").alias("aspect")), ["query_id"], 0.5)
     ideal = metrics.ideal_alpha_dcg(pool.select("query_id", "doc_id", F.array("label").alias("aspects")), 0.5)
-    return ideal.join(dcg, "query_id", "left").select("query_id", F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")).alias("alpha_ndcg"))
+    return ideal.join(dcg, "query_id", "left").select("query_id", F.round(F.when(F.col("idcg") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("idcg")), 6).alias("alpha_ndcg"))
 
 
 @register(f"""WITH {_SCORED} SELECT query_id, round(count(DISTINCT label) FILTER (rank <= {TOP}) / count(DISTINCT label), 6) AS s_recall, count(DISTINCT label) AS coverable, round(count(DISTINCT label) / (SELECT count(DISTINCT label) FROM embeddings), 6) AS coverability FROM pool GROUP BY query_id""")
@@ -212,7 +229,8 @@ SELECT query_id, len(list_intersect(ids, other)) AS n_shared, round(len(list_int
 def jaccard_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's list against the next query's."""
     lists = dense_top20(spark, sf_dir).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda r: r["doc_id"]).alias("ids"))
-    pairs = lists.join(lists.select((F.col("query_id") - EVERY).alias("query_id"), F.col("ids").alias("other")), "query_id")
+    at = V.numbered(lists, "query_id", "at")
+    pairs = at.join(at.select((F.col("at") - 1).alias("at"), F.col("ids").alias("other")), "at")
     return pairs.select("query_id", F.size(F.array_intersect("ids", "other")).cast("long").alias("n_shared"), F.round(metrics.jaccard(F.col("ids"), F.col("other")), 6).alias("jaccard"), (F.col("ids") == F.col("other")).alias("same_order"))
 
 
@@ -221,11 +239,12 @@ def hash_ranked_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hash_ranked_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "sample", 100).select("doc_id", "digest")
 
 
-@register("SELECT part, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high FROM (SELECT doc_id, CASE WHEN substr(sha256('split|' || doc_id), 1, 2) < 'cc' THEN 'train' ELSE 'selection' END AS part FROM documents) GROUP BY part")
+@register("WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('split|' || doc_id), doc_id) AS place, count(*) OVER () AS n FROM documents), p AS (SELECT doc_id, CASE WHEN place <= n * 4 // 5 THEN 'train' ELSE 'selection' END AS part FROM h) SELECT part, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high, sum(doc_id * 31 % 1000003) AS mark FROM p GROUP BY part")
 def hash_partition_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four fifths by the first byte of the hash: a threshold on it needs no ranking of all rows."""
-    part = F.when(F.left(F.sha2(F.concat_ws("|", F.lit("split"), F.col("doc_id").cast("string")), 256), F.lit(2)) < "cc", "train").otherwise("selection")
-    return table(spark, sf_dir, "documents").select("doc_id", part.alias("part")).groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    """The first four fifths by hash, exactly, and the others."""
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    parts = V.first_by_hash(docs, "doc_id", "split", docs.count() * 4 // 5).withColumn("part", F.when(F.col("first"), "train").otherwise("selection"))
+    return parts.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.col("doc_id") * 31 % 1000003).alias("mark"))
 
 
 @register(f"""WITH {_SCORED} SELECT query_id, count(*) AS n, min(rank) = 1 AND max(rank) = count(*) AND count(DISTINCT rank) = count(*) AS contiguous, count(DISTINCT doc_id) = count(*) AS distinct_ids FROM pool GROUP BY query_id""")

@@ -43,6 +43,19 @@ def _normal_official(x: str) -> str:
     return f"trim(regexp_replace({_no_articles(lowered)}, '\\s+', ' ', 'g'))"
 
 
+_WHITE = r"[\s\v\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_REFUSAL = r"(?is)^\s*(?:i\s+(?:cannot|can''t|am\s+unable\s+to|won''t)\s+(?:answer|provide\s+an\s+answer|help)|i\s+(?:must|have\s+to)\s+(?:decline|refuse)|sorry,?\s+i\s+(?:cannot|can''t|am\s+unable\s+to)\s+(?:answer|help)).*?\s*$"
+
+
+def _sentence_list(x: str) -> str:
+    """SQL of a text's sentences: pieces after . ! or ?, joined again after abbreviations and initials."""
+    pieces = f"list_filter(string_split(regexp_replace(trim(regexp_replace({x}, '{_WHITE}', ' ', 'g')), '([.!?]) ', '\\1' || chr(30), 'g'), chr(30)), lambda s: s <> '')"
+    last = "lower(trim(regexp_extract(s, '[^ ]*$'), '*_`\"“”''‘’()[]{}'))"
+    short = "'e.g.', 'i.e.', 'dr.', 'mr.', 'mrs.', 'ms.', 'prof.', 'sr.', 'jr.', 'vs.', 'etc.', 'fig.', 'eq.', 'no.', 'nos.', 'st.', 'mt.'"
+    joined = f"array_to_string(list_transform({pieces}, lambda s: s || CASE WHEN {last} IN ({short}) OR regexp_full_match({last}, '(?:[a-z]\\.)+') THEN ' ' ELSE chr(30) END), '')"
+    return f"list_filter(list_transform(string_split({joined}, chr(30)), lambda s: trim(s)), lambda s: s <> '')"
+
+
 @register(f"SELECT doc_id, md5({_normal('text')}) AS code_md5, md5({_normal_official('text')}) AS official_md5 FROM documents")
 def normalize_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -68,7 +81,11 @@ def rouge_l_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _worded(spark, sf_dir).select("conv_id", "turn", F.round(X.rouge_l("p", "g"), 6).alias("rouge_l"))
 
 
-@register()
+@register(f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, list_filter(string_split({_normal_official('prediction')}, ' '), lambda x: x <> '') AS p, list_filter(string_split({_normal_official('gold')}, ' '), lambda x: x <> '') AS g FROM pairs),
+pc AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(p) AS w FROM w) GROUP BY ALL),
+gc AS (SELECT conv_id, turn, w, count(*) AS n FROM (SELECT conv_id, turn, unnest(g) AS w FROM w) GROUP BY ALL),
+c AS (SELECT conv_id, turn, sum(least(pc.n, gc.n)) AS common FROM pc JOIN gc USING (conv_id, turn, w) GROUP BY ALL)
+SELECT w.conv_id, w.turn, round(CASE WHEN p <> g AND (array_to_string(p, ' ') IN ('yes', 'no', 'noanswer') OR array_to_string(g, ' ') IN ('yes', 'no', 'noanswer')) THEN 0.0 WHEN len(p) = 0 OR len(g) = 0 THEN CAST(len(p) = len(g) AS DOUBLE) ELSE 2.0 * coalesce(common, 0) / (len(p) + len(g)) END, 6) AS f1 FROM w LEFT JOIN c ON c.conv_id = w.conv_id AND c.turn = w.turn""")
 def official_f1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _worded(spark, sf_dir, X.normalize_answer_official).select("conv_id", "turn", F.round(X.official_f1(F.col("p"), F.col("g")), 6).alias("f1"))
 
@@ -78,29 +95,28 @@ def batch_mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_match_pairs(spark, sf_dir).agg(F.count("*").alias("n"), F.round(F.avg("em"), 6).alias("avg_em"))
 
 
-@register()
+@register(f"""SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, CAST(coalesce(length(s[1]), 0) AS INTEGER) AS first_chars FROM (SELECT doc_id, {_sentence_list('text')} AS s FROM documents)""")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = X.sentences(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).alias("n_sentences"), F.length(F.coalesce(found[0], F.lit(""))).alias("first_chars"))
 
 
-@register(r"""SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '(?is)\A\s*(?:i (?:cannot|can''t|am unable to)|i''m (?:sorry|unable)|unable to) .*\z')) AS n_refusal, count(*) FILTER (trim(text) = '') AS n_empty FROM conversations GROUP BY role""")
+@register(f"SELECT role, count(*) AS n, count(*) FILTER (regexp_matches(text, '{_REFUSAL}')) AS n_refusal, count(*) FILTER (trim(text) = '') AS n_empty FROM conversations GROUP BY role")
 def refusals_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return turns.groupBy("role").agg(F.count("*").alias("n"), F.count_if(X.is_refusal(F.col("text"))).alias("n_refusal"), F.count_if(F.trim("text") == "").alias("n_empty"))
 
 
-@register(r"""WITH t AS (SELECT conv_id, turn, role, regexp_extract_all(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(?m)^([^\n:]{1,20}):[ \t]*', 1) AS fields, text FROM conversations)
-SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'ERROR' WHEN length(text) >= 4000 THEN 'TRUNCATED' WHEN regexp_matches(text, '(?is)\A\s*(?:i (?:cannot|can''t|am unable to)|i''m (?:sorry|unable)|unable to) .*\z') THEN 'REFUSAL' WHEN trim(text) = '' THEN 'PARSE_FAILURE' ELSE 'OK' END AS status FROM t""")
+@register(f"""SELECT conv_id, turn, CASE WHEN text IS NULL THEN 'ERROR' WHEN length(text) >= 4000 THEN 'TRUNCATED' WHEN regexp_matches(text, '{_REFUSAL}') THEN 'REFUSAL' WHEN trim(text) = '' THEN 'PARSE_FAILURE' ELSE 'OK' END AS status FROM conversations""")
 def response_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     status = X.classify_response(F.when(text.isNull(), "missing"), F.when(F.length(text) >= 4000, "length").otherwise("stop"), text, F.nullif(F.trim(text), F.lit("")))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", status.alias("status"))
 
 
-@register(r"""SELECT item_id, CASE WHEN len(m) = 1 THEN nullif(trim(m[1]), '') END AS answer FROM (SELECT item_id, regexp_extract_all('Answer: ' || left(replace(text, chr(10), ' '), 40), '(?m)^Answer:[ \t]*(.*?)[ \t]*$', 1) AS m FROM benchmark)""")
+@register(r"""SELECT item_id, CASE WHEN len(m) = 1 THEN nullif(trim(m[1]), '') END AS answer FROM (SELECT item_id, regexp_extract_all('Answer: ' || replace(text, chr(10), ' '), '(?m)^Answer:[ \t]*(.*?)[ \t]*$', 1) AS m FROM benchmark)""")
 def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("Answer: "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40)))
+    line = F.concat(F.lit("Answer: "), F.replace("text", F.lit("\n"), F.lit(" ")))
     return table(spark, sf_dir, "benchmark").select("item_id", X.parse_line(line, "Answer").alias("answer"))
 
 
@@ -118,14 +134,13 @@ def section_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.filter(F.trim("line") != "").select("doc_id", (F.col("at") + 1).alias("section"), F.md5(F.trim("line")).alias("section_md5"))
 
 
-@register("""WITH l AS (SELECT conv_id, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id)
-SELECT conv_id, len(t) AS n, md5(array_to_string(list_transform(range(1, len(t) + 1), lambda i: '[Document ' || i || ']' || chr(10) || t[i]), chr(10) || chr(10))) AS block_md5 FROM l WHERE len(t) <= 64""")
+@register("""WITH l AS (SELECT conv_id, turn // 64 AS part, list(text ORDER BY turn, text) AS t FROM conversations GROUP BY ALL)
+SELECT conv_id, part, len(t) AS n, md5(array_to_string(list_transform(range(1, len(t) + 1), lambda i: '[Document ' || i || ']' || chr(10) || t[i]), chr(10) || chr(10))) AS block_md5 FROM l""")
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turns of each conversation as one numbered context; of those of up to 64 turns, as contexts are short."""
-    turns = table(spark, sf_dir, "conversations")
-    short = turns.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n <= 64")
-    parts = turns.join(short, "conv_id").groupBy("conv_id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("t"))
-    return parts.select("conv_id", "n", F.md5(X.context_block(F.col("t"))).alias("block_md5"))
+    """All turns of all conversations as numbered contexts, one for every 64 turns, so that a conversation of any length is no single group."""
+    turns = table(spark, sf_dir, "conversations").withColumn("part", F.floor(F.col("turn") / 64).cast("long"))
+    parts = turns.groupBy("conv_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"]).alias("t"))
+    return parts.select("conv_id", "part", F.size("t").cast("long").alias("n"), F.md5(X.context_block(F.col("t"))).alias("block_md5"))
 
 
 _NLI = "nli AS (SELECT doc_id // 10 AS answer, doc_id % 10 AS claim, CAST(i AS INTEGER) AS passage, CAST((doc_id * 7 + n_chars * 3 + i * 5) % 3 AS INTEGER) AS label FROM documents, range(5) t(i))"
@@ -167,7 +182,8 @@ def alias_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.join(alias, "alias").groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
-@register(r"""SELECT count(*) AS n, count(*) FILTER (regexp_matches(left(text, 1000), '(?i)(api[_-]?key\s*[=:]\s*)\S+') OR regexp_matches(left(text, 1000), '(?i)bearer\s+\S+') OR regexp_matches(left(text, 1000), 'sk-[A-Za-z0-9_-]{8,}')) AS n_redacted FROM documents""")
+@register(r"""SELECT count(*) AS n, count(*) FILTER (regexp_matches(text, '(?i)(authorization\s*[:=]\s*bearer\s+)[^\s,;]+') OR regexp_matches(text, '(?i)(api[_-]?key\s*[:=]\s*)[^\s,;]+') OR regexp_matches(text, '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+')) AS n_redacted FROM documents""")
 def key_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which anything is masked, looked through whole."""
     docs = table(spark, sf_dir, "documents")
-    return docs.agg(F.count("*").alias("n"), F.count_if(X.redact_keys(F.col("text")) != F.left("text", F.lit(1000))).alias("n_redacted"))
+    return docs.agg(F.count("*").alias("n"), F.count_if(X.redact_keys(F.col("text"), None) != F.col("text")).alias("n_redacted"))
