@@ -121,7 +121,7 @@ def sentences(c: Column) -> Column:
     last = lambda s: F.lower(F.regexp_replace(F.substring_index(s, " ", -1), f"^[{_AROUND}]+|[{_AROUND}]+$", ""))
     goes_on = lambda w: w.isin(ABBREVIATIONS) | w.rlike(r"^(?:[a-z]\.)+$")
     joined = F.array_join(F.transform(pieces, lambda s: F.concat(s, F.when(goes_on(last(s)), F.lit(" ")).otherwise(F.lit(_BREAK)))), "")
-    return F.filter(F.transform(F.split(joined, _BREAK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(joined, _BREAK), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def retrieval_content(title: Column, text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prismrank.functions.text import tokens
+from prismrank.sources.files import scratch
 
 #: Rows of a corpus shard and of a query block that meet in one task.
 SHARD_ROWS, BLOCK_QUERIES = 50_000, 2_048
@@ -102,29 +103,49 @@ def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     all terms. Repeated query words count again. Documents without any query
     word score 0, before negative scores, in the order of doc_id.
     """
-    docs = corpus.select("doc_id", tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    terms = queries.select("query_id", F.explode(tokens(F.coalesce(F.col("text"), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
-    df = docs.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(stats)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"), "avgdl")
-    mean = idf.agg(F.avg("raw").alias("mean"))
+    words = lambda df, *keep: df.select(*keep, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
+    docs = words(corpus, "doc_id").withColumn("dl", F.size("words"))
+    terms = words(queries, "query_id").select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
     asked = terms.select("term").distinct()
     few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     small: Callable[[DataFrame], DataFrame] = F.broadcast if few else (lambda x: x)
-    weighted = idf.join(small(asked), "term").crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
-    tf = docs.select("doc_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(small(asked), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    hits = tf.join(small(weighted), "term").join(small(terms), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))  # the order of the sums must not break ties
-    hits = hits.withColumn("hit", F.lit(True))
-    # at most k of the first documents are needed where hits run out or are negative: k + those hit among them cover it
-    short = hits.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count("*").alias("all"))
-    lacking = queries.select("query_id").distinct().join(short, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).select("query_id", F.coalesce("all", F.lit(0)).alias("all"))
-    most = lacking.agg(F.max("all")).first()[0]
-    if most is not None:
+
+    # one pass for the whole vocabulary: the numbers of texts and words come along as a term that no text has
+    seen = F.array_union(F.array_distinct("words"), F.array(F.lit(" ")))
+    df = docs.select("dl", F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == " ", F.col("dl"))).alias("length"))
+    df = _kept(df, "frequencies")
+    whole = df.filter("term = ' '").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl")).first()
+    n, avgdl = (whole["n"], whole["avgdl"]) if whole else (0, 0.0)
+    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    idf = df.filter("term <> ' '").select("term", raw.alias("raw"))
+    mean = idf.agg(F.avg("raw")).first()[0] or 0.0
+    weighted = idf.join(small(asked), "term").select("term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
+
+    def hits(of: DataFrame) -> DataFrame:
+        """query_id, doc_id, score of every document with a word of the queries whose terms are given."""
+        given = of.join(weighted, "term")
+        tf = docs.select("doc_id", "dl", F.explode("words").alias("term")).join(small(of.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+        part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
+        return tf.join(small(given), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))  # the order of the sums must not break ties
+
+    best = _kept(top_k(hits(terms), k, "doc_id").select("query_id", "doc_id", "score"), "best")
+    above = best.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("above"))
+    lacking = queries.select("query_id").distinct().join(above, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).select("query_id")
+    if lacking.limit(1).count():
+        # their positive hits are all among the best; k of the first documents that they don't hit cover the rest
+        hit = _kept(hits(terms.join(lacking, "query_id", "left_semi")).select("query_id", "doc_id"), "hit")
+        most = hit.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
         first = corpus.select("doc_id").orderBy("doc_id").limit(k + most)
-        pads = lacking.select("query_id").join(first).join(hits, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"), F.lit(False).alias("hit"))
-        hits = hits.select("query_id", "doc_id", "score", "hit").unionByName(pads)
-    return top_k(hits, k, "doc_id").select("query_id", "rank", "doc_id", "score")
+        pads = first.join(F.broadcast(lacking) if few else lacking).join(hit, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+        best = best.unionByName(pads)
+    return top_k(best, k, "doc_id").select("query_id", "rank", "doc_id", "score")
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once, for the steps that read it."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def hash_ranked_sample(df: DataFrame, id_column: str, namespace: str, n: int) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prismrank.plans import analysis, contexts, provenance, ranking, wording
+from prismrank.plans import analysis, contexts, evaluation, provenance, ranking, wording
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for part in (ranking, wording, contexts, analysis, provenance):
+for part in (ranking, wording, contexts, analysis, provenance, evaluation):
     QUERIES |= part.QUERIES
     ORACLES |= part.ORACLES

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismrank.operators import checks
 from prismrank.plans.registry import Query, registrar
-from prismrank.sources.files import table
+from prismrank.sources.files import scratch, table
 from prismrank.streaming import progress
 
 QUERIES: dict[str, Query] = {}
@@ -35,13 +33,14 @@ def shard_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.shard_digests(corpus_manifest(spark, sf_dir), "doc_id", 100)
 
 
-@register("SELECT doc_id, CASE WHEN l IS NULL THEN 'MISSING' ELSE 'CHANGED' END AS state FROM (SELECT d.doc_id, any_value(quality) AS l, bool_or(quality = 1 AND toxic = 0) AS same FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY d.doc_id) WHERE l IS NULL OR NOT same")
+@register("""WITH a AS (SELECT doc_id, sha256(doc_id || '|' || sha256(text)) AS h FROM documents), l AS (SELECT doc_id, bool_or(quality = 1 AND toxic = 0) AS same FROM labels GROUP BY doc_id), b AS (SELECT l.doc_id, sha256(l.doc_id || '|' || sha256(CASE WHEN same THEN text ELSE 'mended' END)) AS h FROM l LEFT JOIN documents d ON d.doc_id = l.doc_id)
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'MISSING' WHEN a.doc_id IS NULL THEN 'EXTRA' ELSE 'CHANGED' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h""")
 def manifest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents' manifest against that of the labelled ones, where those of bad or toxic text stand for changed."""
-    left = table(spark, sf_dir, "documents").select("doc_id", F.lit("good").alias("row_sha256"))
+    """The documents' manifest against that of the labelled ones, in which those of bad or toxic text have another text."""
+    docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.bool_or((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("same"))
-    right = labels.select("doc_id", F.when(F.col("same"), "good").otherwise("other").alias("row_sha256"))
-    return checks.manifest_differences(left, right, "doc_id").filter("state <> 'EXTRA'")
+    mended = labels.join(docs.select("doc_id", "text"), "doc_id", "left").withColumn("text", F.when(F.col("same"), F.col("text")).otherwise("mended"))
+    return checks.manifest_differences(checks.manifest(docs, "doc_id", "text"), checks.manifest(mended, "doc_id", "text"), "doc_id")
 
 
 @register("SELECT text_sha256, count(*) AS n FROM (SELECT sha256(text) AS text_sha256 FROM documents) GROUP BY 1 HAVING count(*) > 1")
@@ -148,8 +147,7 @@ def canonical_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event counts by type and day from the table as a stream, of all its days."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/prismrank-shared"
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = scratch(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     counts = progress.status_counts(progress.read_table(spark, sf_dir, "events", schema), "ts", "event_type", "1 day", "1 day")
     return progress.drain(counts, f"{at}/out", f"{at}/log")

@@ -239,7 +239,7 @@ def hash_ranked_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hash_ranked_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "sample", 100).select("doc_id", "digest")
 
 
-@register("WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('split|' || doc_id), doc_id) AS place, count(*) OVER () AS n FROM documents), p AS (SELECT doc_id, CASE WHEN place <= n * 4 // 5 THEN 'train' ELSE 'selection' END AS part FROM h) SELECT part, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high, sum(doc_id * 31 % 1000003) AS mark FROM p GROUP BY part")
+@register("WITH h AS (SELECT doc_id, row_number() OVER (ORDER BY sha256('split|' || doc_id), doc_id) AS place, count(*) OVER () AS n FROM documents), p AS (SELECT doc_id, CASE WHEN place <= n * 4 // 5 THEN 'train' ELSE 'selection' END AS part FROM h) SELECT part, count(*) AS n, min(doc_id) AS low, max(doc_id) AS high, CAST(sum(doc_id * 31 % 1000003) AS BIGINT) AS mark FROM p GROUP BY part")
 def hash_partition_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first four fifths by hash, exactly, and the others."""
     docs = table(spark, sf_dir, "documents").select("doc_id")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, from spark.checkpoint.dir. A local session without one has a temporary folder; on a cluster it must be set."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = _local()
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _local() -> str:
+    return tempfile.mkdtemp(prefix="prismrank-")
+
+
 def jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """One object a line; blank lines are skipped, malformed ones fail."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
