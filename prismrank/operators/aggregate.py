@@ -79,7 +79,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), pearson(F.col("rank_x"), F.col("rank_y")).alias("rho"))
 
 
-def bootstrap_mean(df: DataFrame, keys: list[str], id_column: str, value: str, replicates: int = 1000, seed: int = 20260823) -> DataFrame:
+def bootstrap_mean(df: DataFrame, keys: list[str], id_column: str, value: str, replicates: int = 10_000, seed: int = 20260823) -> DataFrame:
     """keys, n, mean, low, high: 95 % interval of the mean from a Poisson bootstrap.
 
     A row's weight in each replicate comes from the hash of its id, so tasks sum
@@ -108,7 +108,8 @@ def bootstrap_mean(df: DataFrame, keys: list[str], id_column: str, value: str, r
         for g, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * replicates), pa.array(range(replicates), pa.int32()), pa.array(s[0]), pa.array(s[1])], schema=schema)
 
-    each = given.mapInArrow(over, "g string, replicate int, w double, wx double").groupBy("g", "replicate").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
+    # few bytes a row and much work: dealt to all cores
+    each = given.repartition(df.sparkSession.sparkContext.defaultParallelism, "h").mapInArrow(over, "g string, replicate int, w double, wx double").groupBy("g", "replicate").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
     interval = each.groupBy("g").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     plain = df.filter(F.col(value).isNotNull()).groupBy(F.to_json(group).alias("g"), *keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     return plain.join(interval, "g").select(*keys, "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))

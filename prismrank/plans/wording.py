@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prismrank.functions import text as X
 from prismrank.operators import metrics
 from prismrank.plans.registry import Query, registrar
-from prismrank.sources.files import table
+from prismrank.sources.files import spread, table
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -20,7 +20,7 @@ _PAIRS = "pairs AS (SELECT u.conv_id, u.turn, u.text AS gold, a.text AS predicti
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as the gold text of the next."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     nexts = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
     return turns.select("conv_id", "turn", F.col("text").alias("gold")).join(nexts, ["conv_id", "turn"])
 

@@ -14,6 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if its files give work to half of them or fewer, as a table of one row group does; others stay as they are, without a shuffle. Counted from the files' metadata."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    used = df.select(F.spark_partition_id().alias("_p")).distinct().count()
+    return df.repartition(cores) if 2 * used <= cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, from spark.checkpoint.dir. A local session without one has a temporary folder; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
