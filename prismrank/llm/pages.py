@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.llm.common import in_batches, shuffle_width
+from prismrank.llm.common import in_batches, shuffle_width, spread
 
 #: Rows of the sample for each range, taken by hash, that sets the ranges' borders; results don't depend on it.
 SAMPLE_ROWS = 50
@@ -275,6 +275,7 @@ def extract(pages: DataFrame) -> DataFrame:
         if now is not None and now["own"]:
             yield pa.RecordBatch.from_pylist([clean(now, nearest([last], now))], schema=_RESULT)
 
-    parsed = keyed.transform(in_batches).mapInArrow(parse, "bucket int, key string, page_id long, row long, url string, own boolean, lines array<string>, kinds array<byte>")
+    # the rows' places are set before any dealing, so both passes agree on them
+    parsed = spread(keyed).transform(in_batches).mapInArrow(parse, "bucket int, key string, page_id long, row long, url string, own boolean, lines array<string>, kinds array<byte>")
     dealt = parsed.repartition(shuffle_width(spark), "bucket").sortWithinPartitions("bucket", *order)
     return dealt.mapInArrow(difference, "page_id long, url string, text string, n_blocks int, n_deleted int, n_marked int")

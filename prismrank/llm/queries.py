@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismrank.llm import forest, huffman, licenses, mixing, neardup, packing, pages, quality, secrets, toxicity
-from prismrank.llm.common import read
+from prismrank.llm.common import read, spread
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.link(read(spark, sf_dir, "documents"))
+    return neardup.link(spread(read(spark, sf_dir, "documents")))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = packing.pack(spread(read(spark, sf_dir, "documents")), public_tokenizers.path("byte_bpe_50k.json"))
     return packing.piece_digests(pieces)
 
 
@@ -27,11 +27,11 @@ def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
+    return licenses.digest(licenses.scan(spread(read(spark, sf_dir, "documents"))))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.find(read(spark, sf_dir, "documents")))
+    return secrets.digest(secrets.find(spread(read(spark, sf_dir, "documents"))))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read(spark, sf_dir, "documents"))
+    return quality.judge(spread(read(spark, sf_dir, "documents")))
 
 
 def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op9_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents"))
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
