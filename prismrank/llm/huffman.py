@@ -26,6 +26,8 @@ from prismrank.llm.common import in_batches, materialize, shared_dir, text_of
 from prismrank.llm.tokens import encoder
 
 BLOCK_TOKENS, STRIDE, LIMIT = 1 << 16, 64, 18
+#: Chunks and words that a worker's encoder keeps.
+CACHE = 1_000_000
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -123,7 +125,7 @@ def tokenise(docs: DataFrame, tokenizer: str, end_id: int, shards: int, vocabula
     kind = np.dtype(_width(vocabulary))
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, before, shard = encoder(tokenizer), 0, TaskContext.get().partitionId()
+        words, before, shard = encoder(tokenizer, CACHE, CACHE), 0, TaskContext.get().partitionId()
         for batch in batches:
             ids, ends = words.encode(batch.column(1).to_pylist(), end_id)
             if len(ids) and ids.max() >= vocabulary:

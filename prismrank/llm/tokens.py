@@ -20,8 +20,8 @@ from itertools import chain, repeat
 
 import numpy as np
 
-#: Chunks that the cache holds at most, and words, which chunks end otherwise or follow a line feed, too; beyond, it begins anew.
-CACHE, WORDS = 800_000, 800_000
+#: Chunks that the cache holds at most, and words, which chunks end otherwise or follow a line feed, too; beyond, it begins anew. About 400 bytes each.
+CACHE, WORDS = 500_000, 500_000
 #: Characters of the texts that are looked up at once.
 AT_ONCE = 1_000_000
 #: A word of letters whose case and composition no normaliser changes beyond a simple lower-casing, and marks after it.
@@ -190,6 +190,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> Encoder:
-    """One encoder for each vocabulary and worker."""
-    return Encoder(path)
+def encoder(path: str, cache: int = CACHE, words: int = WORDS) -> Encoder:
+    """One encoder for each vocabulary and worker; its size is a matter of memory alone."""
+    return Encoder(path, cache, words)
