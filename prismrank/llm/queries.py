@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismrank.llm import forest, huffman, licenses, mixing, neardup, packing, pages, quality, secrets, toxicity
+from prismrank.llm import audit, collocations, forest, huffman, licenses, lines, mixing, neardup, packing, pages, quality, secrets, toxicity
 from prismrank.llm.common import read, spread
 
 
@@ -56,6 +56,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(spread(read(spark, sf_dir, "documents")))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.drop_shared_lines(spread(read(spark, sf_dir, "documents"))))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(spread(read(spark, sf_dir, "documents")), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_packing": op2_packing,
@@ -67,8 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_huffman": op8_huffman,
     "op9_forest": op9_forest,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
+    "op12_lines": op12_lines,
+    "op13_audit": op13_audit,
 }
 
 ORACLES: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
+    "op11_collocations": collocations.ORACLE,
+    "op12_lines": lines.ORACLE,
+    "op13_audit": audit.ORACLE,
 }
