@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prismrank.functions.text import tokens
-from prismrank.sources.files import scratch, spread
+from prismrank.operators import postings
 
 #: Rows of a corpus shard and of a query block that meet in one task.
 SHARD_ROWS, BLOCK_QUERIES = 50_000, 2_048
-#: Query terms, and weights of terms in queries, up to which they are broadcast to the corpus.
-BROADCAST_TERMS, BROADCAST_WEIGHTS = 100_000, 2_000_000
-#: Documents that are scored at once.
-SCORED_ROWS = 512
 
 
 def top_k(scored: DataFrame, k: int, tie: str) -> DataFrame:
@@ -99,103 +94,13 @@ def max_sim(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def bm25(corpus: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """query_id, rank, doc_id, score of corpus(doc_id, text) for queries(query_id, text) by Okapi BM25.
+    """query_id, rank, doc_id, score of corpus(doc_id, text) for queries(query_id, text) by Okapi BM25, over an index that is written for it.
 
     Negative inverse document frequencies become epsilon times the mean over
     all terms. Repeated query words count again. Documents without any query
     word score 0, before negative scores, in the order of doc_id.
     """
-    words = lambda df, *keep: df.select(*keep, tokens(F.coalesce(F.col("text"), F.lit(""))).alias("words"))
-    docs = words(spread(corpus), "doc_id").withColumn("dl", F.size("words"))
-    terms = words(queries, "query_id").select("query_id", F.explode("words").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
-    asked = terms.select("term").distinct()
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    small: Callable[[DataFrame], DataFrame] = F.broadcast if few else (lambda x: x)
-
-    # one pass for the whole vocabulary: the numbers of texts and words come along as a term that no text has
-    seen = F.array_union(F.array_distinct("words"), F.array(F.lit(" ")))
-    df = docs.select("dl", F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == " ", F.col("dl"))).alias("length"))
-    df = _kept(df, "frequencies")
-    whole = df.filter("term = ' '").select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl")).first()
-    n, avgdl = (whole["n"], whole["avgdl"]) if whole else (0, 0.0)
-    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    idf = df.filter("term <> ' '").select("term", raw.alias("raw"))
-    mean = idf.agg(F.avg("raw")).first()[0] or 0.0
-    weighted = idf.join(small(asked), "term").select("term", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-
-    def hits(of: DataFrame) -> DataFrame:
-        """query_id, doc_id, score of every document with a word of the queries whose terms are given."""
-        given = of.join(weighted, "term")
-        tf = docs.select("doc_id", "dl", F.explode("words").alias("term")).join(small(of.select("term").distinct()), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-        part = F.col("weight") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))
-        return tf.join(small(given), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score"))  # the order of the sums must not break ties
-
-    scored = _scored(docs, terms.join(weighted, "term"), avgdl, k, k1, b) if few and terms.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS else hits(terms)
-    best = _kept(top_k(scored, k, "doc_id").select("query_id", "doc_id", "score"), "best")
-    above = best.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("above"))
-    lacking = queries.select("query_id").distinct().join(above, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).select("query_id")
-    if lacking.limit(1).count():
-        # their positive hits are all among the best; k of the first documents that they don't hit cover the rest
-        hit = _kept(hits(terms.join(lacking, "query_id", "left_semi")).select("query_id", "doc_id"), "hit")
-        most = hit.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-        first = corpus.select("doc_id").orderBy("doc_id").limit(k + most)
-        pads = first.join(F.broadcast(lacking) if few else lacking).join(hit, ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
-        best = best.unionByName(pads)
-    return top_k(best, k, "doc_id").select("query_id", "rank", "doc_id", "score")
-
-
-def _scored(docs: DataFrame, weights: DataFrame, avgdl: float, k: int, k1: float, b: float) -> DataFrame:
-    """query_id, doc_id, score: each task's k best for each query, from one pass over docs(doc_id, words); weights(query_id, term, weight, idf) are few.
-
-    The corpus isn't shuffled: a task turns some documents at a time into a
-    matrix of the terms they have, and a query's scores are its weights times
-    that matrix.
-    """
-    asked = weights.select("query_id", "term", (F.col("weight") * F.col("idf")).alias("w")).collect()
-    number = {t: i for i, t in enumerate(sorted({r["term"] for r in asked}))}
-    of: dict[int, list] = {}
-    for r in asked:
-        of.setdefault(r["query_id"], []).append((number[r["term"]], r["w"]))
-    wanted = [(q, np.array([t for t, _ in tw]), np.array([w for _, w in tw])) for q, tw in sorted(of.items())]
-    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
-
-    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {q: (np.zeros(0), np.zeros(0, np.int64)) for q, _, _ in wanted}
-        for whole in batches:
-            for start in range(0, whole.num_rows, SCORED_ROWS):
-                batch = whole.slice(start, SCORED_ROWS)
-                ids, length = batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy()
-                coded = batch.column(1).flatten().dictionary_encode()
-                known = np.array([number.get(t, -1) for t in coded.dictionary.to_pylist()] or [-1], np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
-                row = np.repeat(np.arange(len(ids)), length)[known >= 0]
-                pair, tf = np.unique(known[known >= 0] * len(ids) + row, return_counts=True)
-                term, row = np.divmod(pair, len(ids))
-                there, at = np.unique(term, return_inverse=True)
-                parts = np.zeros((len(there) + 1, len(ids)))  # the last row is that of terms that none has
-                parts[at, row] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / avgdl))
-                place = np.full(len(number), len(there))
-                place[there] = np.arange(len(there))
-                for q, terms, w in wanted:
-                    has = place[terms] < len(there)
-                    score = np.round(w[has] @ parts[place[terms[has]]], 9)
-                    old, old_ids = best[q]
-                    new = np.flatnonzero((score != 0) & (score >= old[-1]) if len(old) == k else score != 0)
-                    if len(new):
-                        all_, all_ids = np.concatenate([old, score[new]]), np.concatenate([old_ids, ids[new]])
-                        first = np.lexsort((all_ids, -all_))[:k]
-                        best[q] = all_[first], all_ids[first]
-        found = [(np.full(len(i), q), i, s) for q, (s, i) in best.items() if len(i)]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=schema)
-
-    return docs.select(F.col("doc_id").cast("long"), "words").mapInArrow(over, "query_id long, doc_id long, score double")
-
-
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once, for the steps that read it."""
-    at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return postings.search(postings.build(corpus, k1, b, epsilon), queries, k)
 
 
 def hash_ranked_sample(df: DataFrame, id_column: str, namespace: str, n: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prismrank.operators import checks
 from prismrank.plans.registry import Query, registrar
 from prismrank.sources.files import scratch, table
-from prismrank.streaming import progress
+from prismrank.streaming import progress, registry
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,60 @@ def registry_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad.groupBy("before", "status").agg(F.count("*").alias("n"))
 
 
+_RECORDS = """
+kinds AS (
+  SELECT user_id AS run_id, event_id, ts, CASE event_type WHEN 'view' THEN 'PLANNED' WHEN 'click' THEN 'RUNNING' WHEN 'purchase' THEN 'COMPLETE' ELSE 'FAILED' END AS status FROM events
+), records AS (
+  SELECT *, CASE WHEN event_id % 11 = 3 THEN 'other' ELSE 'run' END AS identity, CASE WHEN event_id % 13 = 5 THEN 'env2' ELSE 'env1' END AS environment, 'r' AS runtime,
+    CASE WHEN event_id % 7 = 2 THEN NULL ELSE run_id::VARCHAR END AS resume_of,
+    CASE WHEN event_id % 17 = 4 THEN NULL WHEN status = 'PLANNED' THEN 0 WHEN status = 'RUNNING' THEN 1 + event_id % 2 ELSE 1 END::INTEGER AS attempt,
+    row_number() OVER (PARTITION BY run_id ORDER BY ts, event_id) AS place
+  FROM kinds
+), steps AS (
+  SELECT run_id, 0::BIGINT AS place, NULL::BIGINT AS event_id, NULL::VARCHAR AS decision, NULL::VARCHAR AS i, NULL::VARCHAR AS s, NULL::INTEGER AS a, NULL::VARCHAR AS e, NULL::VARCHAR AS o FROM (SELECT DISTINCT run_id FROM records)
+  UNION ALL
+  SELECT run_id, place, event_id, d, CASE WHEN d = 'ACCEPTED' THEN identity ELSE i END, CASE WHEN d = 'ACCEPTED' THEN status ELSE s END, CASE WHEN d = 'ACCEPTED' THEN attempt ELSE a END,
+    CASE WHEN d = 'ACCEPTED' THEN environment ELSE e END, CASE WHEN d = 'ACCEPTED' THEN resume_of ELSE o END
+  FROM (
+    SELECT r.*, p.i, p.s, p.a, p.e, p.o, CASE
+      WHEN r.attempt IS NULL THEN 'INVALID_RECORD'
+      WHEN p.s IS NULL THEN CASE WHEN r.status = 'PLANNED' THEN 'ACCEPTED' ELSE 'NOT_PLANNED' END
+      WHEN p.i = r.identity AND p.s = r.status AND p.a = r.attempt AND p.e = r.environment AND p.o IS NOT DISTINCT FROM r.resume_of THEN 'DUPLICATE'
+      WHEN p.i <> r.identity THEN 'OTHER_IDENTITY'
+      WHEN p.s = 'PLANNED' AND r.status = 'PLANNED' THEN 'DUPLICATE'
+      WHEN NOT (p.s = 'PLANNED' AND r.status = 'RUNNING' OR p.s = 'RUNNING' AND r.status <> 'PLANNED') THEN 'INVALID_TRANSITION'
+      WHEN p.e <> r.environment THEN 'OTHER_ENVIRONMENT'
+      WHEN r.attempt < p.a THEN 'ATTEMPT_FELL'
+      WHEN p.s = 'RUNNING' AND r.status = 'RUNNING' AND r.attempt <> p.a + 1 THEN 'ATTEMPT_SKIPPED'
+      WHEN p.s = 'RUNNING' AND r.status = 'RUNNING' AND r.resume_of IS DISTINCT FROM r.run_id::VARCHAR THEN 'NOT_RESUMED'
+      WHEN p.s = 'RUNNING' AND r.status <> 'RUNNING' AND r.attempt <> p.a THEN 'ATTEMPT_CHANGED'
+      WHEN p.s = 'PLANNED' AND r.attempt < 1 THEN 'NOT_STARTED'
+      ELSE 'ACCEPTED' END AS d
+    FROM steps p JOIN records r ON r.run_id = p.run_id AND r.place = p.place + 1)
+)"""
+
+
+@register(f"WITH RECURSIVE {_RECORDS} SELECT run_id, event_id, decision FROM steps WHERE place > 0")
+def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as records of runs, appended to a registry that refuses what can't follow: every record with its decision, from what was written."""
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "PLANNED").when(kind == "click", "RUNNING").when(kind == "purchase", "COMPLETE").otherwise("FAILED")
+    n = F.col("event_id")
+    events = progress.read_table(spark, sf_dir, "events", table(spark, sf_dir, "events").schema)
+    records = events.select(F.col("user_id").alias("run_id"), "ts", "event_id", status.alias("status")).withColumns(
+        {
+            "identity": F.when(n % 11 == 3, "other").otherwise("run"),
+            "environment": F.when(n % 13 == 5, "env2").otherwise("env1"),
+            "runtime": F.lit("r"),
+            "resume_of": F.when(n % 7 != 2, F.col("run_id").cast("string")),
+            "attempt": F.when(n % 17 == 4, None).when(F.col("status") == "PLANNED", 0).when(F.col("status") == "RUNNING", 1 + n % 2).otherwise(1).cast("int"),
+        }
+    )
+    at = scratch(spark, "registry")
+    registry.append(records, ["ts", "event_id"], f"{at}/log", f"{at}/checkpoint")
+    return registry.read(spark, f"{at}/log", "run_id long, ts timestamp_ntz, event_id long, decision string").select("run_id", "event_id", "decision")
+
+
 @register("""SELECT CASE WHEN q IS NULL THEN 'MISSING' WHEN q = 1 THEN 'VALID' ELSE 'INVALID' END AS state, count(*) AS n FROM (SELECT d.doc_id, max(quality) AS q FROM documents d LEFT JOIN labels USING (doc_id) GROUP BY d.doc_id) GROUP BY 1""")
 def output_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = checks.inspect_outputs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"], F.col("quality") == 1)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismrank.functions.vectors import norm
-from prismrank.operators import metrics, retrieval, selection
+from prismrank.operators import late, metrics, retrieval, selection
 from prismrank.operators import workflow as V
 from prismrank.plans import selection_sql
 from prismrank.plans.registry import Query, registrar
@@ -91,6 +91,12 @@ def candidate_recall_distribution(spark: SparkSession, sf_dir: str) -> DataFrame
     return per.agg(F.round(F.avg(r), 6).alias("mean_recall"), F.count_if(r == 1).alias("n_full"), F.count_if((r > 0) & (r < 1)).alias("n_partial"), F.count_if(r == 0).alias("n_zero"))
 
 
+def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every ten vectors as the tokens of a document, and those whose document asks."""
+    tokens = _vectors(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).cast("long").alias("doc_id"), "v")
+    return tokens, tokens.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "v")
+
+
 @register("""
 WITH tok AS (
   SELECT vec_id // 10 AS id, embedding::DOUBLE[] AS v FROM embeddings
@@ -102,12 +108,18 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def maxsim_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every ten vectors are the tokens of a document; documents whose id is divisible by a hundred ask."""
-    tokens = _vectors(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).cast("long").alias("doc_id"), "v")
-    asks = tokens.filter(F.col("doc_id") % EVERY == 0).select(F.col("doc_id").alias("query_id"), "v")
+    tokens, asks = _tokens(spark, sf_dir)
     return retrieval.max_sim(tokens, asks, 10).withColumn("score", F.round("score", 6))
 
 
-@register(rf"""
+@register()
+def maxsim_probed_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over centroids and codes; what it finds has exact scores. Its recall is tested against the exact search."""
+    tokens, asks = _tokens(spark, sf_dir)
+    return late.search(late.build(tokens), asks, 10).withColumn("score", F.round("score", 6))
+
+
+_BM25 = rf"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS words FROM documents),
 st AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM d),
 tf AS (SELECT doc_id, len(words) AS dl, unnest(words) AS term FROM d),
@@ -120,12 +132,28 @@ qw AS (SELECT query_id, term, count(*) AS weight FROM q GROUP BY ALL),
 hit AS (SELECT query_id, doc_id, sum(weight * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tfc JOIN idf USING (term) JOIN qw USING (term), st GROUP BY ALL),
 al AS (SELECT item_id AS query_id, documents.doc_id, coalesce(score, 0.0) AS score FROM benchmark JOIN documents ON true LEFT JOIN hit ON hit.query_id = item_id AND hit.doc_id = documents.doc_id),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM al)
-SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= {POOL}""")
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= {POOL}"""
+
+
+@register(_BM25)
 def bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.bm25(table(spark, sf_dir, "documents"), queries, POOL).withColumn("score", F.round("score", 6))
 
 
+_HALVED = "documents AS (SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY sha256('half|' || doc_id), doc_id) <= count(*) OVER () // 2 THEN 'halfword ' || text ELSE text END AS text FROM main.documents), benchmark AS (SELECT item_id, 'halfword ' || CASE WHEN item_id % 4 = 0 THEN '' ELSE text END AS text FROM main.benchmark), "
+
+
+@register(_BM25.replace("WITH d AS", f"WITH {_HALVED} d AS", 1))
+def bm25_common_term(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term that half of the documents have, and every query; where the documents are even in number, it weighs 0 exactly. Each fourth query is that term alone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    halved = V.first_by_hash(docs, "doc_id", "half", docs.count() // 2)
+    corpus = halved.select("doc_id", F.when(F.col("first"), F.concat(F.lit("halfword "), "text")).otherwise(F.col("text")).alias("text"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("halfword "), F.when(F.col("item_id") % 4 == 0, "").otherwise(F.col("text"))).alias("text"))
+    return retrieval.bm25(corpus, queries, POOL).withColumn("score", F.round("score", 6))
+
+
 @register(f"""WITH {_SCORED} SELECT query_id, rank, doc_id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END, 6) AS norm_score FROM pool WINDOW w AS (PARTITION BY query_id)""")
 def minmax_norm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _pool(spark, sf_dir)
