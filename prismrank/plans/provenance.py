@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismrank.operators import checks
+from prismrank.operators import checks, hash_tree
 from prismrank.plans.registry import Query, registrar
+from prismrank.sources import sealed
 from prismrank.sources.files import scratch, table
 from prismrank.streaming import progress, registry
 
@@ -33,6 +34,72 @@ def shard_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.shard_digests(corpus_manifest(spark, sf_dir), "doc_id", 100)
 
 
+_LEAF = "sha256(doc_id || '|' || sha256(lang) || '|' || sha256(text))"
+
+
+@register(f"""WITH l AS (SELECT doc_id, {_LEAF} AS d FROM documents), a AS (SELECT doc_id // 50 AS node, count(*) AS n, sha256(string_agg(d, '' ORDER BY doc_id)) AS digest FROM l GROUP BY 1),
+b AS (SELECT node // 50 AS node, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM a GROUP BY 1)
+SELECT 0 AS level, doc_id AS node, 1 AS n, d AS digest FROM l UNION ALL SELECT 1, node, n, digest FROM a UNION ALL SELECT 2, node, n, digest FROM b""")
+def tree_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lower three levels of the hash tree that seals the documents' files, as written and read again."""
+    at = scratch(spark, "sealed")
+    sealed.seal(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), at, "doc_id", 200, 50)
+    sealed.read_verified(spark, at, "doc_id long, lang string, text string", "doc_id", 50)
+    return spark.read.parquet(f"{at}/tree").filter("level <= 2").select("level", "node", "n", "digest")
+
+
+@register("""SELECT doc_id AS position, CASE WHEN doc_id % 97 = 5 THEN 'MISSING' WHEN doc_id % 101 = 7 THEN 'REPEATED' ELSE 'CHANGED' END AS state, 1 AS n_expected, CASE WHEN doc_id % 97 = 5 THEN 0 WHEN doc_id % 101 = 7 THEN 2 ELSE 1 END AS n_found
+FROM documents WHERE doc_id % 97 = 5 OR doc_id % 101 = 7 OR doc_id % 89 = 3
+UNION ALL SELECT doc_id + 1000000000, 'EXTRA', 0, 1 FROM documents WHERE doc_id % 211 = 1""")
+def tree_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents against a copy in which rows are lost, repeated, altered and added: each is named, from the trees of both."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    n = F.col("doc_id")
+    kept = docs.filter(n % 97 != 5)
+    altered = kept.withColumn("text", F.when((n % 89 == 3) & (n % 101 != 7), F.concat("text", F.lit(" "))).otherwise(F.col("text")))
+    other = altered.unionAll(altered.filter(n % 101 == 7)).unionAll(docs.filter(n % 211 == 1).withColumn("doc_id", n + 1_000_000_000))
+    trees = [hash_tree.build(x, "doc_id", ["lang", "text"], 50) for x in (docs, other)]
+    return hash_tree.differences(*trees, 50)
+
+
+@register("""WITH r AS (SELECT doc_id, doc_id // 100 AS shard FROM documents WHERE NOT (doc_id // 100 % 4 = 2 AND doc_id % 100 < 7) UNION ALL SELECT doc_id, doc_id // 100 + 1 FROM documents WHERE doc_id // 100 % 5 = 3 AND doc_id % 100 > 94),
+s AS (SELECT shard, min(doc_id) AS low, max(doc_id) AS high, count(*) AS n FROM r GROUP BY shard), b AS (SELECT *, max(high) OVER (ORDER BY low, high, shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s)
+SELECT shard, low, high, n, CASE WHEN before IS NULL THEN 'START' WHEN low = before + 1 THEN 'JOINED' WHEN low > before THEN 'GAP' ELSE 'OVERLAP' END AS edge, coalesce(low - before - 1, 0) AS missing FROM b""")
+def shard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards as written, of which some lack their first rows and some begin with the last of the shard before: the edges of each, from its file."""
+    n = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id DIV 100").alias("shard"))
+    rows = docs.filter(~((F.col("shard") % 4 == 2) & (n % 100 < 7))).unionAll(docs.filter((F.col("shard") % 5 == 3) & (n % 100 > 94)).withColumn("shard", F.col("shard") + 1))
+    at = scratch(spark, "shards")
+    rows.repartition("shard").write.partitionBy("shard").parquet(at)
+    written = spark.read.schema("doc_id long, shard long").parquet(at)
+    return hash_tree.edges(written.groupBy("shard").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")))
+
+
+@register("""WITH w AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id // 40 % 7 = 3 GROUP BY doc_id)
+SELECT doc_id, quality, sha256(text) AS text_sha256, (SELECT count(DISTINCT doc_id // 40) FROM w JOIN documents USING (doc_id)) AS n_opened, (SELECT count(DISTINCT doc_id // 40) FROM documents) AS n_files FROM w JOIN documents USING (doc_id)""")
+def position_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents of some regions, looked up by position in files of 40 positions, with the numbers of files opened and there."""
+    docs, at = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch(spark, "positions")
+    sealed.write_positions(docs, at, "doc_id", 40)
+    wanted = table(spark, sf_dir, "labels").filter("doc_id DIV 40 % 7 = 3").groupBy("doc_id").agg(F.max("quality").alias("quality")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    found = sealed.lookup(spark, at, "doc_id long, text string", wanted, "doc_id")
+    opened = sum(at in f for f in found.inputFiles())
+    counts = {"n_opened": F.lit(opened).cast("long"), "n_files": F.lit(sealed.runs(spark, at).count()).cast("long")}
+    return found.select("doc_id", "quality", F.sha2("text", 256).alias("text_sha256")).withColumns(counts)
+
+
+@register("""SELECT lang AS name, doc_id, sha256(text) AS text_sha256 FROM documents WHERE doc_id % 3 = 1""")
+def lookup_in_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of several tables, one a language, by the table's name and position."""
+    docs, at = table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), scratch(spark, "tables")
+    paths = {r["lang"]: f"{at}/{i}" for i, r in enumerate(docs.select("lang").distinct().orderBy("lang").collect())}
+    for name, path in paths.items():
+        sealed.write_positions(docs.filter(F.col("lang") == name).select("doc_id", "text"), path, "doc_id", 500)
+    wanted = docs.filter("doc_id % 3 = 1").select(F.col("lang").alias("name"), "doc_id")
+    return sealed.lookup_in(spark, paths, "doc_id long, text string", wanted, "doc_id").select("name", "doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 @register("""WITH a AS (SELECT doc_id, sha256(doc_id || '|' || sha256(text)) AS h FROM documents), l AS (SELECT doc_id, bool_or(quality = 1 AND toxic = 0) AS same FROM labels GROUP BY doc_id), b AS (SELECT l.doc_id, sha256(l.doc_id || '|' || sha256(CASE WHEN same THEN text ELSE 'mended' END)) AS h FROM l LEFT JOIN documents d ON d.doc_id = l.doc_id)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'MISSING' WHEN a.doc_id IS NULL THEN 'EXTRA' ELSE 'CHANGED' END AS state FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.h IS DISTINCT FROM b.h""")
 def manifest_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
