@@ -1,23 +1,23 @@
 """Phrase collocations: HAT-trie counting of phrases, and the phrases whose words stick together.
 
-A task counts the phrases of its documents in a burst trie: branches by word id
-near the root and hash containers below them, which become branches when they
-grow. When the trie is full, whole subtrees leave it as runs in phrase order; the
-runs are merged by partitions of (lang, first words), those of frequent words
-salted by the phrase. A phrase can only occur as often as its parts, so three
-passes count words, pairs of frequent words, and longer phrases of frequent
-pairs; which words or pairs are frequent is told by a filter of bounded size that
-never loses one, so the counts are exact.
+A task counts the phrases of its documents in a burst trie: branches by digits of
+the first words' ids near the root and hash containers below them, which burst into
+a branch when they grow. When the trie is full, whole subtrees leave it as runs in
+word order; the runs are merged by partitions of (lang, first two words), those of
+frequent words salted by the phrase. A phrase can only occur as often as its parts,
+so three passes count words, pairs of frequent words, and longer phrases of
+frequent pairs; which words or pairs are frequent is told by a filter of bounded
+size that never loses one, so the counts are exact.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,120 +27,162 @@ from xxhash import xxh64_intdigest
 from prismrank.llm.common import in_batches, join_params, materialize, shuffle_width, text_of
 
 LEAST, LONGEST, BEST = 100, 5, 2_000
-#: Entries of a container beyond which it becomes a branch, and of a task's tries, and words of its dictionaries, beyond which runs leave.
-BURST, FULL, VOCABULARY = 4_096, 600_000, 600_000
-#: Bytes of text that are counted at once.
-CHUNK = 1 << 21
+#: Entries of a container beyond which it bursts, and of a task's tries, and words of its dictionaries, beyond which runs leave.
+BURST, FULL, VOCABULARY = 1 << 16, 1_500_000, 600_000
+#: Bytes of text that are counted at once, and rows of a run that leave at once.
+CHUNK, RUN_ROWS = 1 << 22, 1 << 17
 #: Bits of the filters for each frequent phrase, and the most that a filter has.
 BITS_EACH, MOST_BITS, PROBES, SLICE = 16, 1 << 28, 4, 1 << 16
-#: What phrases with the same first words are dealt to, and buckets a language's phrases are ranked in first.
+#: What phrases with the same first words are dealt to (a power of two), and buckets a language's phrases are ranked in first.
 SALTS, RANKED_IN = 8, 64
 
 _END = b"."  # no word has one
 _BREAKS = ".,;:!?\n\x0b\x0c\r"
 _TO_WORDS = bytes.maketrans((ascii_uppercase + "\t" + _BREAKS).encode(), (ascii_lowercase + " " + "." * len(_BREAKS)).encode())
-
-
-class Branch:
-    """A node near the root: what is below, by word id; `here` counts the phrase that ends at it."""
-
-    __slots__ = ("below", "here")
-
-    def __init__(self) -> None:
-        self.here, self.below = 0, {}
+#: Bits of a word's id in a task, and of a digit of the trie.
+_ID, _DIGIT = 21, 6
+_MASK = (1 << _ID) - 1
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def chain(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from those of what comes first and of the next word."""
+    x = (before ^ (before >> np.uint64(29))) * _ODD + after
+    return (x ^ (x >> np.uint64(32))) * _ODD
+
+
+class Container:
+    """An open-addressed table of phrases, packed as two words and three in 64 bits each, with their counts."""
+
+    def __init__(self, slots: int = 1 << 8):
+        self.size = 0
+        self._empty(slots)
+
+    def _empty(self, slots: int) -> None:
+        self.first, self.more, self.n = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64), np.zeros(slots, np.int64)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.first)
+        return self.first[at], self.more[at], self.n[at]
+
+    def add(self, first: np.ndarray, more: np.ndarray, n: np.ndarray) -> None:
+        """Count phrases; the same one may come again and again."""
+        if 2 * (self.size + len(first)) > len(self.first):
+            old, slots = self.entries(), len(self.first)
+            while 2 * (self.size + len(first)) > slots:
+                slots *= 2
+            self._empty(slots)
+            self._place(*old)
+        self._place(first, more, n)
+        self.size = int(np.count_nonzero(self.first))
+
+    def _place(self, first: np.ndarray, more: np.ndarray, n: np.ndarray) -> None:
+        last = len(self.first) - 1
+        slot = (chain(first, more) & np.uint64(last)).astype(np.int64)
+        while len(first):
+            free = self.first[slot] == 0
+            to = slot[free]  # of several phrases that want a slot the last has it, in both arrays
+            self.first[to], self.more[to] = first[free], more[free]
+            own = (self.first[slot] == first) & (self.more[slot] == more)
+            np.add.at(self.n, slot[own], n[own])
+            other = ~own
+            first, more, n, slot = first[other], more[other], n[other], (slot[other] + 1) & last
 
 
 class HatTrie:
-    """Counts of phrases, which are strings of 4-byte word ids."""
+    """Counts of phrases. A node is a container, or a branch: its children by the next six bits of the first word's id and then the second's."""
 
     def __init__(self, burst: int = BURST):
-        self.burst, self.size, self.root = burst, 0, Branch()
-
-    def add(self, phrase: bytes, n: int) -> None:
-        at, i = self.root, 0
-        while True:
-            word = phrase[i : i + 4]
-            child = at.below.get(word)
-            i += 4
-            if child is None:
-                child = at.below[word] = {}
-            if type(child) is dict:
-                rest = phrase[i:]
-                old = child.get(rest)
-                if old is None:
-                    self.size += 1
-                    child[rest] = n
-                    if len(child) > self.burst:
-                        at.below[word] = self._burst(child)
-                else:
-                    child[rest] = old + n
-                return
-            at = child
-            if i == len(phrase):
-                self.size += not at.here
-                at.here += n
-                return
+        self.burst, self.root = burst, Container()
 
     @staticmethod
-    def _burst(container: dict[bytes, int]) -> Branch:
-        made = Branch()
-        for rest, n in container.items():
-            if rest:
-                made.below.setdefault(rest[:4], {})[rest[4:]] = n
-            else:
-                made.here = n
-        return made
-
-    @classmethod
-    def _walk(cls, node: Branch | dict, before: bytes) -> Iterator[tuple[bytes, int]]:
-        if type(node) is dict:
-            for rest, n in node.items():
-                yield before + rest, n
-        else:
-            if node.here:
-                yield before, node.here
-            for word, child in node.below.items():
-                yield from cls._walk(child, before + word)
-
-    @classmethod
-    def _entries(cls, node: Branch | dict) -> int:
-        return len(node) if type(node) is dict else bool(node.here) + sum(map(cls._entries, node.below.values()))
-
-    def spill(self, down_to: int) -> Iterator[list[tuple[bytes, int]]]:
+    def _digit(first: np.ndarray, depth: int) -> np.ndarray:
+        of_word = first >> np.uint64(_ID) if depth < 4 else first & np.uint64(_MASK)
+        return (of_word >> np.uint64(_DIGIT * (depth % 4)) & np.uint64((1 << _DIGIT) - 1)).astype(np.uint8)
+
+    def add(self, first: np.ndarray, more: np.ndarray, n: np.ndarray) -> None:
+        self.root = self._added(self.root, first, more, n, 0)
+
+    def _added(self, node: Container | dict, first: np.ndarray, more: np.ndarray, n: np.ndarray, depth: int) -> Container | dict:
+        if isinstance(node, Container):
+            node.add(first, more, n)
+            if node.size <= self.burst or depth == 8:
+                return node
+            first, more, n = node.entries()
+            node = {}
+        digit = self._digit(first, depth)
+        order = np.argsort(digit, kind="stable")
+        there, starts = np.unique(digit[order], return_index=True)
+        for d, rows in zip(there.tolist(), np.split(order, starts[1:]), strict=True):
+            node[d] = self._added(node.get(d) or Container(), first[rows], more[rows], n[rows], depth + 1)
+        return node
+
+    def _containers(self, node: Container | dict) -> list[Container]:
+        return [node] if isinstance(node, Container) else [c for child in node.values() for c in self._containers(child)]
+
+    def _entries(self, node: Container | dict) -> int:
+        return sum(c.size for c in self._containers(node))
+
+    @property
+    def size(self) -> int:
+        return self._entries(self.root)
+
+    def spill(self, down_to: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Takes whole subtrees, those of most entries first, until no more than so many entries are left."""
-        if self.size <= down_to:
+        left = self.size
+        if left <= down_to:
+            return
+        if isinstance(self.root, Container):
+            self.root, whole = Container(), self.root
+            yield whole.entries()
             return
-        for word in sorted(self.root.below, key=lambda w: self._entries(self.root.below[w]), reverse=True):
-            if self.size <= down_to:
+        for digit in sorted(self.root, key=lambda d: self._entries(self.root[d]), reverse=True):
+            subtree = self.root.pop(digit)
+            left -= self._entries(subtree)
+            yield tuple(map(np.concatenate, zip(*[c.entries() for c in self._containers(subtree)], strict=True)))
+            if left <= down_to:
                 return
-            run = list(self._walk(self.root.below.pop(word), word))
-            self.size -= len(run)
-            yield run
 
 
 class Filter:
-    """Whether a phrase may be frequent: a Bloom filter, so some that aren't pass and none that is fails."""
+    """Whether phrases of these hashes may be frequent: a Bloom filter, so some that aren't pass and none that is fails."""
 
     def __init__(self, bits: bytes):
-        self.bits, self.last = bits, len(bits) * 8 - 1
+        self.bits = np.frombuffer(bits, np.uint8)
+
+    def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        return filter_places(h, len(self.bits) * 8)
+
+    def may_have(self, h: np.ndarray) -> np.ndarray:
+        yes = np.ones(len(h), bool)
+        for p in self.places(h):
+            yes &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+        return yes
 
-    def __contains__(self, named: bytes) -> bool:
-        h = xxh64_intdigest(named, 42)
-        step = (h >> 32) | 1
-        return all(self.bits[(p := (h + i * step) & self.last) >> 3] >> (p & 7) & 1 for i in range(PROBES))
+
+def filter_places(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    for i in range(PROBES):
+        yield ((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
+
+
+def word_hash(lang: str, word: bytes) -> int:
+    return xxh64_intdigest(lang.encode() + b"\t" + word)
 
 
 def make_filter(frequent: DataFrame) -> bytes:
-    """The bits for frequent(lang, phrase). Their number follows the rows up to MOST_BITS (32 MB), so what reaches the driver is bounded; beyond, more phrases pass in vain."""
+    """The bits for frequent(lang, phrase), phrases of one or two words. Their number follows the rows up to MOST_BITS (32 MB), so what reaches the driver is bounded; beyond, more phrases pass in vain."""
     rows, size = frequent.count(), SLICE
     while size < min(BITS_EACH * rows, MOST_BITS):
         size *= 2
-    h = F.xxhash64(F.concat_ws("\t", "lang", "phrase"))
-    step = F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1).cast("long"))
-    # sums of the low 31 bits can't overflow, and the filter looks at no more of them
-    low = lambda c: c.bitwiseAND(F.lit((1 << 31) - 1).cast("long"))
-    at = F.explode(F.array(*[(low(h) + i * low(step)).bitwiseAND(F.lit(size - 1).cast("long")) for i in range(PROBES)]))
-    set_bits = frequent.select(at.alias("at")).groupBy((F.col("at") / SLICE).cast("int").alias("slice")).agg(F.collect_set((F.col("at") % SLICE).cast("int")).alias("at"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [(lang, phrase.encode().split(b" ")) for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            h = np.array([word_hash(lang, w[0]) for lang, w in split], np.uint64)
+            pair = np.array([len(w) > 1 for _, w in split], bool)
+            h[pair] = chain(h[pair], np.array([word_hash(lang, w[1]) for lang, w in split if len(w) > 1], np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(filter_places(h, size))), pa.int64())], ["at"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +193,9 @@ def make_filter(frequent: DataFrame) -> bytes:
                 packed.append(np.packbits(flags, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["slice", "bits"])
 
-    slices = {r["slice"]: r["bits"] for r in set_bits.mapInArrow(pack, "slice int, bits binary").collect()}
+    at = frequent.select("lang", "phrase").mapInArrow(places, "at long")
+    by_slice = at.groupBy(F.expr(f"CAST(at DIV {SLICE} AS INT)").alias("slice")).agg(F.collect_set((F.col("at") % SLICE).cast("int")).alias("at"))
+    slices = {r["slice"]: r["bits"] for r in by_slice.mapInArrow(pack, "slice int, bits binary").collect()}
     return b"".join(bytes(slices.get(i, bytes(SLICE // 8))) for i in range(size // SLICE))
 
 
@@ -159,7 +203,7 @@ class Counts:
     """What a task has counted of one language."""
 
     def __init__(self, lang: str, words: Filter | None, pairs: Filter | None):
-        self.lang, self.prefix, self.words, self.pairs = lang, lang.encode() + b"\t", words, pairs
+        self.lang, self.words, self.pairs = lang, words, pairs
         self.carried: list[bytes] = []
         self.trie = HatTrie()
         self.clear()
@@ -167,17 +211,19 @@ class Counts:
     def clear(self) -> None:
         self.ids: dict[bytes, int] = {_END: 0}
         self.names: list[bytes] = [_END]
-        self.seen = np.zeros(1, np.int64)
-        self.may_be = np.zeros(1, bool)
+        self.seen, self.hash, self.may_be = np.zeros(1, np.int64), np.zeros(1, np.uint64), np.zeros(1, bool)
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of the words, given as they come; may_be tells which may be frequent."""
+        """Ids of the words, given as they come, with their hashes and whether they may be frequent."""
         ids, names, old = self.ids, self.names, len(self.names)
         for w in set(words).difference(ids):
             ids[w] = len(names)
             names.append(w)
-        if self.words is not None and len(names) > old:
-            self.may_be = np.concatenate([self.may_be, np.fromiter((self.prefix + w in self.words for w in names[old:]), bool, len(names) - old)])
+        if len(names) > old:
+            h = np.array([word_hash(self.lang, w) for w in names[old:]], np.uint64)
+            self.hash = np.concatenate([self.hash, h])
+            if self.words is not None:
+                self.may_be = np.concatenate([self.may_be, self.words.may_have(h)])
         return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
 
     def add(self, words: list[bytes]) -> None:
@@ -193,49 +239,63 @@ class Counts:
             return
         good = self.may_be[a]
         at = np.flatnonzero(good[:-1] & good[1:])
-        pair = a[at] << 32 | a[at + 1]
         if self.pairs is None:
-            found, n = np.unique(pair[at + 1 >= back], return_counts=True)
-            self._put(np.stack([found >> 32, found & 0xFFFFFFFF], 1), n.tolist())
+            self._count(a, at[at + 1 >= back], 2)
             return
-        found, which = np.unique(pair, return_inverse=True)
-        names = self.names
-        frequent = np.fromiter((self.prefix + names[x >> 32] + b" " + names[x & 0xFFFFFFFF] in self.pairs for x in found.tolist()), bool, len(found))
         goes_on = np.zeros(len(a) + LONGEST, bool)  # from a word to the next
-        goes_on[at] = frequent[which]
+        goes_on[at] = self.pairs.may_have(chain(self.hash[a[at]], self.hash[a[at + 1]]))
         run = goes_on.copy()
         for k in range(3, LONGEST + 1):
             run[: len(run) - (k - 2)] &= goes_on[k - 2 :]
             start = np.flatnonzero(run[: max(0, len(a) - k + 1)])
-            start = start[start + k - 1 >= back]
-            ids = a[start[:, None] + np.arange(k)].astype(">u4").tobytes()
-            for phrase, n in Counter(ids[i : i + 4 * k] for i in range(0, len(ids), 4 * k)).items():
-                self.trie.add(phrase, n)
-
-    def _put(self, phrases: np.ndarray, n: list[int]) -> None:
-        width, ids, add = 4 * phrases.shape[1], phrases.astype(">u4").tobytes(), self.trie.add
-        for i, count in enumerate(n):
-            add(ids[i * width : (i + 1) * width], count)
-
-    def named(self, run: Iterable[tuple[bytes, int]]) -> tuple[list[bytes], list[int]]:
-        """A run with its phrases spelt out, in their order."""
-        names = self.names
-        spelt = sorted((b" ".join([names[i] for i in np.frombuffer(p, ">u4").tolist()]), n) for p, n in run)
-        return [p for p, _ in spelt], [n for _, n in spelt]
-
-    def spill(self, down_to: int) -> Iterator[tuple[list[bytes], list[int]]]:
-        for run in self.trie.spill(down_to):
-            yield self.named(run)
-        if down_to == 0 or len(self.names) > VOCABULARY:
-            if self.words is None and len(self.seen) > 1:
-                order = sorted(range(1, len(self.seen)), key=self.names.__getitem__)
-                yield [b"", *[self.names[i] for i in order if self.seen[i]]], [int(self.seen[1:].sum()), *[int(self.seen[i]) for i in order if self.seen[i]]]
-            elif self.trie.size:
-                for run in self.trie.spill(0):
-                    yield self.named(run)
+            self._count(a, start[start + k - 1 >= back], k)
+
+    def _count(self, a: np.ndarray, start: np.ndarray, k: int) -> None:
+        if len(start):
+            w = [a[start + i].astype(np.uint64) if i < k else np.zeros(len(start), np.uint64) for i in range(LONGEST)]
+            one, two = np.uint64(_ID), np.uint64(2 * _ID)
+            self.trie.add(w[0] << one | w[1], w[2] << two | w[3] << one | w[4], np.ones(len(start), np.int64))
+
+    def _batch(self, words: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Phrases, as rows of ids with 0 after their end, as rows of a run. The prefix stands for lang, the first two words and a salt from all of them."""
+        h = self.hash[words]
+        first = chain(h[:, 0], h[:, 1])
+        salt = first
+        for i in range(2, LONGEST):
+            salt = chain(salt, h[:, i])
+        prefix = (first >> np.uint64(44)).astype(np.int64) * SALTS + (salt >> np.uint64(40)).astype(np.int64) % SALTS
+        flat, size = words[words > 0], (words > 0).sum(1)
+        names = pa.array(self.names, pa.binary()).take(pa.array(flat)).cast(pa.string())
+        phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), names), " ")
+        return pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(n), np.int8))), phrases, pa.array(n, pa.int64())], schema=_RUN)
+
+    def _in_order(self, words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A run's rows in the order of their words' bytes."""
+        if self.ranks is None or len(self.ranks) != len(self.names):
+            order = pc.sort_indices(pa.array(self.names[1:], pa.binary())).to_numpy()
+            self.ranks = np.zeros(len(self.names), np.int64)
+            self.ranks[order.astype(np.int64) + 1] = np.arange(1, len(self.names))
+        order = np.lexsort(self.ranks[words].T[::-1])
+        for i in range(0, len(order), RUN_ROWS):
+            yield self._batch(words[order[i : i + RUN_ROWS]], n[order[i : i + RUN_ROWS]])
+
+    def spill(self, down_to: int) -> Iterator[pa.RecordBatch]:
+        self.ranks = None
+        everything = down_to == 0 or len(self.names) > VOCABULARY
+        for first, more, n in self.trie.spill(0 if everything else down_to):
+            w = [first >> np.uint64(_ID), first, more >> np.uint64(2 * _ID), more >> np.uint64(_ID), more]
+            yield from self._in_order(np.stack(w, 1).astype(np.int64) & _MASK, n)
+        if everything:
+            if self.words is None and self.seen[1:].any():
+                yield pa.RecordBatch.from_pydict({"prefix": [0], "lang": [self.lang], "phrase": [""], "f": [int(self.seen[1:].sum())]}, schema=_RUN)
+                seen = np.flatnonzero(self.seen[1:]) + 1
+                yield from self._in_order(np.pad(seen[:, None], ((0, 0), (0, LONGEST - 1))), self.seen[seen])
             self.clear()
 
 
+_RUN = pa.schema([("prefix", pa.int32()), ("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+
+
 def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     """The texts' words in lower case, with _END where a piece ends, in parts that end anywhere between words."""
     parts, size = [], 0
@@ -257,19 +317,11 @@ def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
 
 
 def _counted(docs: DataFrame, words: Broadcast | None = None, pairs: Broadcast | None = None) -> DataFrame:
-    """lang, phrase, f: runs of docs(lang, text), for words (and, as the phrase '', all their occurrences), pairs of words that pass the filter, or longer phrases of pairs that pass."""
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("f", pa.int64())])
+    """prefix, lang, phrase, f: runs of docs(lang, text), for words (and, as the phrase '', all their occurrences), pairs of words that pass the filter, or longer phrases of pairs that pass."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[str, Counts] = {}
         filters = [Filter(x.value) if x else None for x in (words, pairs)]
-
-        def runs(states: Iterable[Counts], down_to: int) -> Iterator[pa.RecordBatch]:
-            for state in states:
-                for phrases, n in state.spill(down_to):
-                    named = pa.array(phrases, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([state.lang] * len(n), pa.string()), named, pa.array(n, pa.int64())], schema=schema)
-
         for batch in batches:
             lang = batch.column(0).to_pylist()
             for one in sorted(set(lang)):
@@ -281,20 +333,20 @@ def _counted(docs: DataFrame, words: Broadcast | None = None, pairs: Broadcast |
                 for part in chunks(texts):
                     state.add(part)
                     if state.trie.size > FULL or len(state.names) > VOCABULARY:
-                        yield from runs([state], FULL // 2)
+                        yield from state.spill(FULL // 2)
             if sum(s.trie.size + len(s.names) for s in of.values()) > FULL + VOCABULARY:
-                yield from runs(of.values(), 0)
+                for state in of.values():
+                    yield from state.spill(0)
                 of = {}
-        yield from runs(of.values(), 0)
+        for state in of.values():
+            yield from state.spill(0)
 
-    return in_batches(docs).mapInArrow(over, "lang string, phrase string, f long")
+    return in_batches(docs).mapInArrow(over, "prefix int, lang string, phrase string, f long")
 
 
 def _merged(runs: DataFrame, least: int) -> DataFrame:
-    """lang, phrase, f of phrases with f of least or more, and of the empty phrase: the runs meet by lang and the first two words, and a salt of the phrase."""
-    first, salt = F.substring_index("phrase", " ", 2), F.pmod(F.xxhash64("phrase"), F.lit(SALTS))
-    dealt = runs.withColumns({"first": first, "salt": salt}).repartition(shuffle_width(runs.sparkSession), "lang", "first", "salt")
-    f = dealt.groupBy("lang", "first", "salt", "phrase").agg(F.sum("f").alias("f"))
+    """lang, phrase, f of phrases with f of least or more, and of the empty phrase: the runs meet by their prefixes."""
+    f = runs.repartition(shuffle_width(runs.sparkSession), "prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
     return f.filter((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", "f")
 
 
