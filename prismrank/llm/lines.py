@@ -24,7 +24,9 @@ _BLANK = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_BLANK)), ascii_uppercase, ascii_lowercase)
+    """The line as it is compared. lower() is the same for lines of ASCII alone, and several times faster."""
+    bare = F.btrim(line, F.lit(_BLANK))
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, ascii_uppercase, ascii_lowercase))
 
 
 def _lines(text: Column) -> Column:
@@ -34,7 +36,7 @@ def _lines(text: Column) -> Column:
 def shared_places(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, _ld_text, places: of each document that loses lines, their places from 0; _ld_text is the digest of its text."""
     text = text_of()
-    keys = F.transform(_lines(text), lambda x: F.when(F.length(line_key(x)) >= least_chars, F.unhex(F.md5(line_key(x)))))
+    keys = F.transform(F.transform(_lines(text), line_key), lambda k: F.when(F.length(k) >= least_chars, F.unhex(F.md5(k))))
     lines = docs.select("doc_id", F.unhex(F.md5(text)).alias("_ld_text"), F.posexplode(keys).alias("place", "key")).filter("key IS NOT NULL")
     lines = materialize(lines, "lines")
     n_docs = F.countDistinct("doc_id") + F.max(F.col("doc_id").isNull().cast("long"))
