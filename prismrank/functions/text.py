@@ -78,10 +78,10 @@ def line_feeds(c: Column) -> Column:
 
 
 def parse_line(c: Column, field: str, allowed: list[str] | None = None) -> Column:
-    """The value of the only line "field: value", else null; of the allowed values only if given."""
+    """The value of the only line "field: value", else null. Of allowed values, if they are given (in lower case), the one it is in any case."""
     found = F.regexp_extract_all(line_feeds(c), F.lit(rf"(?md)^{field}:[ \t]*(.*?)[ \t]*$"), F.lit(1))
     value = F.when(F.size(found) == 1, F.nullif(found[0], F.lit("")))
-    return F.when(value.isin(allowed), value) if allowed else value
+    return F.when(F.lower(strip(value)).isin(allowed), F.lower(strip(value))) if allowed else value
 
 
 def parse_whole(c: Column, field: str) -> Column:
@@ -101,10 +101,17 @@ def is_refusal(c: Column) -> Column:
     return c.rlike(rf"(?isU)\A\s*(?:{'|'.join(REFUSALS)})")
 
 
-def classify_response(error: Column, finish_reason: Column, text: Column, parsed: Column) -> Column:
-    """ERROR, TRUNCATED, REFUSAL, PARSE_FAILURE or OK; the first that holds."""
-    truncated = F.lower(F.trim(finish_reason)).isin("length", "max_tokens", "max_output_tokens", "token_limit")
-    return F.when(error.isNotNull(), "ERROR").when(truncated, "TRUNCATED").when(is_refusal(text), "REFUSAL").when(parsed.isNull(), "PARSE_FAILURE").otherwise("OK")
+def classify_response(error: Column, finish_reason: Column, text: Column, parsed: Column, refused: Column | None = None) -> Column:
+    """ERROR, TRUNCATED, REFUSAL (by the provider's word or the text's), PARSE_FAILURE or OK; the first that holds.
+
+    An error that comes with a text, and no error without one, contradict
+    themselves and are errors when they are read.
+    """
+    truncated = F.lower(strip(finish_reason)).isin("length", "max_tokens", "max_output_tokens", "token_limit")
+    by_provider = F.lit(False) if refused is None else F.coalesce(refused, F.lit(False))
+    against = F.when(error.isNotNull() & text.isNotNull(), "an error with a response's text").when(error.isNull() & text.isNull(), "a response without text")
+    status = F.when(error.isNotNull(), "ERROR").when(truncated, "TRUNCATED").when(by_provider | is_refusal(text), "REFUSAL").when(parsed.isNull(), "PARSE_FAILURE").otherwise("OK")
+    return F.when(against.isNotNull(), F.raise_error(against)).otherwise(status)
 
 
 #: Abbreviations after which a sentence goes on, and signs around a word that don't belong to it.

@@ -43,18 +43,52 @@ def metric_result(value: Column, status: Column, reason: Column) -> Column:
     return F.struct(F.when(status == "measured", value).alias("value"), status.alias("status"), F.when(status != "measured", reason).alias("reason"))
 
 
-def applicability(rows: DataFrame, registry: DataFrame) -> DataFrame:
-    """Rows with decision: the first thing that keeps a metric of the registry (few rows: metric_id, dataset_id, context_mode, frozen, needs_reference) from being measured, else ELIGIBLE."""
-    known = rows.join(F.broadcast(registry.withColumnsRenamed({"dataset_id": "for_dataset", "context_mode": "for_context"})), "metric_id", "left")
-    decision = (
-        F.when(F.col("for_dataset").isNull() | (F.col("for_dataset") != F.col("dataset_id")), "WRONG_DATASET")
-        .when(F.col("for_context") != F.col("context_mode"), "WRONG_CONTEXT")
-        .when(~F.col("frozen"), "PROTOCOL_NOT_FROZEN")
+#: What keeps a metric from being measured, in the order in which it is looked for: decision, status and reason.
+GATES = [
+    ("WRONG_DATASET", "not_applicable", "not_defined_for_dataset"),
+    ("WRONG_CONTEXT", "not_applicable", "not_defined_for_context_mode"),
+    ("PROTOCOL_NOT_FROZEN", "not_computed", "protocol_not_frozen"),
+    ("NO_REFERENCE", "not_computed", "reference_unavailable"),
+    ("NO_EVALUATOR", "not_computed", "evaluator_unavailable"),
+    ("NOT_RUN", "not_computed", "generation_not_attempted"),
+    ("GENERATION_FAILED", "failed", "generation_failed"),
+    ("NOT_IMPLEMENTED", "not_computed", "evaluator_not_configured"),
+    ("INVALID", "failed", "invalid_metric_input"),
+]
+#: A registry's columns: what a metric is defined for, the data sets whose protocol is frozen (null arrays: all), and what it needs.
+REGISTRY = "metric_id string, datasets array<string>, contexts array<string>, frozen_datasets array<string>, needs_generation boolean, needs_reference boolean, needs_evaluator boolean"
+
+
+def gate() -> Column:
+    """The first gate that rows joined with a registry don't pass; null for none."""
+    within = lambda c, of: F.col(of).isNull() | F.array_contains(of, F.col(c))
+    return (
+        F.when(~within("dataset_id", "datasets"), "WRONG_DATASET")
+        .when(~within("context_mode", "contexts"), "WRONG_CONTEXT")
+        .when(~within("dataset_id", "frozen_datasets") | ~F.col("frozen"), "PROTOCOL_NOT_FROZEN")
         .when(F.col("needs_reference") & ~F.col("has_reference"), "NO_REFERENCE")
-        .when(~F.col("status").isin("OK", "REFUSAL"), "GENERATION_FAILED")
-        .otherwise("ELIGIBLE")
-    )
-    return known.withColumn("decision", decision).drop("for_dataset", "for_context", "frozen", "needs_reference")
+        .when(F.col("needs_evaluator") & ~F.col("has_evaluator"), "NO_EVALUATOR")
+        .when(F.col("needs_generation") & (F.col("generation") == "not_run"), "NOT_RUN")
+        .when(F.col("needs_generation") & (F.col("generation") == "failed"), "GENERATION_FAILED")
+    )
+
+
+def status_and_reason(decision: Column) -> dict[str, Column]:
+    """Columns status and reason of a decision: null for a metric that can be measured."""
+    of = lambda i: F.create_map(*[F.lit(x) for g in GATES for x in (g[0], g[i])])[decision]
+    return {"status": of(1), "reason": of(2)}
+
+
+def applicability(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """rows(metric_id, dataset_id, context_mode, frozen, has_reference, has_evaluator, generation: success, not_run or failed) with decision, ELIGIBLE or the first gate that isn't passed, and its status and reason.
+
+    registry has the columns of REGISTRY and few rows; a metric it doesn't have
+    is an error when the row is read.
+    """
+    known = rows.join(F.broadcast(registry.withColumn("_there", F.lit(True))), "metric_id", "left")
+    decision = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("unknown metric "), F.col("metric_id")))).otherwise(F.coalesce(gate(), F.lit("ELIGIBLE")))
+    names = [f.name for f in registry.schema if f.name != "metric_id"]
+    return known.withColumn("decision", decision).withColumns(status_and_reason(F.col("decision"))).drop("_there", *names)
 
 
 def manifest(corpus: DataFrame, id_column: str, *texts: str) -> DataFrame:

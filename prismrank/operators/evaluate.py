@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismrank.functions import text as X
 from prismrank.functions.vectors import norm
-
-#: What a decision keeps a metric from: status and reason by decision.
-REASONS = {
-    "WRONG_DATASET": ("not_applicable", "not_defined_for_dataset"),
-    "WRONG_CONTEXT": ("not_applicable", "not_defined_for_context_mode"),
-    "PROTOCOL_NOT_FROZEN": ("not_computed", "protocol_not_frozen"),
-    "NO_REFERENCE": ("not_computed", "reference_unavailable"),
-    "NOT_RUN": ("not_computed", "generation_not_attempted"),
-    "GENERATION_FAILED": ("failed", "generation_failed"),
-    "NOT_IMPLEMENTED": ("not_computed", "evaluator_not_configured"),
-    "INVALID": ("failed", "invalid_metric_input"),
-}
-
+from prismrank.operators import checks
 
 def answer_metrics(prediction: str = "prediction", gold: str = "gold") -> dict[str, Column]:
     """Metrics of an answer by their names; words(prediction), words(gold) are columns p and g."""
@@ -31,31 +22,22 @@ def answer_metrics(prediction: str = "prediction", gold: str = "gold") -> dict[s
 def evaluate(rows: DataFrame, registry: DataFrame, metrics: dict[str, Column]) -> DataFrame:
     """rows with metric_id, value, status and reason: a row for each row and metric of the registry.
 
-    rows(dataset_id, context_mode, frozen, has_reference, generation, prediction,
-    gold, ...); registry, few rows(metric_id, for_dataset or null for any,
-    for_context or null for any, metric_frozen). The first thing that keeps a
-    metric from being measured is the reason; a value that is null or not a
-    number is invalid.
+    rows(dataset_id, context_mode, frozen, has_reference, has_evaluator,
+    generation, prediction, gold, ...); registry, few rows of
+    checks.REGISTRY. The first gate that a metric doesn't pass is the reason;
+    then a metric without a column here is not configured, and a null
+    prediction or gold, or a value that is null or not a number, is invalid.
     """
     each = rows.withColumns({"p": X.answer_words(F.col("prediction")), "g": X.answer_words(F.col("gold"))}).join(F.broadcast(registry))
     value = F.coalesce(*[F.when(F.col("metric_id") == name, c) for name, c in metrics.items()])
     bad = F.col("prediction").isNull() | F.col("gold").isNull()
-    decision = (
-        F.when(F.col("for_dataset") != F.col("dataset_id"), "WRONG_DATASET")
-        .when(F.col("for_context") != F.col("context_mode"), "WRONG_CONTEXT")
-        .when(~(F.col("metric_frozen") & F.col("frozen")), "PROTOCOL_NOT_FROZEN")
-        .when(~F.col("has_reference"), "NO_REFERENCE")
-        .when(F.col("generation") == "not_run", "NOT_RUN")
-        .when(F.col("generation") == "failed", "GENERATION_FAILED")
-        .when(~F.col("metric_id").isin(list(metrics)), "NOT_IMPLEMENTED")
-        .when(bad, "INVALID")
-    )
+    decision = F.coalesce(checks.gate(), F.when(~F.col("metric_id").isin(list(metrics)), "NOT_IMPLEMENTED").when(bad, "INVALID"))
     decided = each.withColumn("decision", decision).withColumn("value", F.when(F.col("decision").isNull(), value))
     invalid = F.col("decision").isNull() & (F.col("value").isNull() | F.isnan("value"))
     decided = decided.withColumn("decision", F.when(invalid, "INVALID").otherwise(F.col("decision")))
-    of = lambda i: F.create_map(*[F.lit(x) for k, v in REASONS.items() for x in (k, v[i])])[F.col("decision")]
-    out = decided.withColumns({"status": F.when(F.col("decision").isNull(), "measured").otherwise(of(0)), "reason": F.when(F.col("decision").isNotNull(), of(1)), "value": F.when(F.col("decision").isNull(), F.col("value"))})
-    return out.drop("p", "g", "decision", "for_dataset", "for_context", "metric_frozen")
+    told = checks.status_and_reason(F.col("decision"))
+    out = decided.withColumns({"status": F.coalesce(told["status"], F.lit("measured")), "reason": told["reason"], "value": F.when(F.col("decision").isNull(), F.col("value"))})
+    return out.drop("p", "g", "decision", *[f.name for f in registry.schema if f.name != "metric_id"])
 
 
 def output_diversity(sentences: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
@@ -99,6 +81,71 @@ def two_stage_status(singles: DataFrame, pairs: DataFrame, keys: list[str], enta
     return both.select(*keys, status.alias("status"), F.when(alone, 0).otherwise(F.col("seen")).cast("long").alias("n_pairs"))
 
 
+def answer_faithfulness(claims: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_claims, n_success, n_failed, and the rates supported (the answer's score), contradicted, inconsistent and unsupported, of claims(keys, status) and answers(keys, has_context).
+
+    Failed claims are counted, not scored. Rates are null without a verified
+    claim, and everything but n_claims where there was no context to hold
+    claims against. An answer without claims has 0 of them.
+    """
+    states = ["SUPPORTED", "CONTRADICTED", "INCONSISTENT", "UNSUPPORTED"]
+    counts = claims.groupBy(*keys).agg(F.count("*").alias("n_claims"), F.count_if(F.col("status").isin(states)).alias("n_success"), F.count_if(F.col("status") == "FAILED").alias("n_failed"), *[F.count_if(F.col("status") == s).alias(s) for s in states])
+    both = answers.select(*keys, "has_context").join(counts, keys, "left").fillna(0, ["n_claims", "n_success", "n_failed", *states])
+    seen = lambda c: F.when(F.col("has_context"), c)
+    return both.select(*keys, "n_claims", seen(F.col("n_success")).alias("n_success"), seen(F.col("n_failed")).alias("n_failed"), *[seen(F.try_divide(s, "n_success")).alias(s.lower()) for s in states])
+
+
+#: Asks a model about (premise, claim) pairs: probabilities of entailment and of contradiction, or None for a call that failed.
+Verifier = Callable[[list[tuple[str, str]]], list[tuple[float, float] | None]]
+
+
+def staged_claims(claims: DataFrame, keys: list[str], verify: Verifier, entail: float = 0.5, contradict: float = 0.5) -> DataFrame:
+    """keys, status, n_singles, n_pairs of claims(keys, claim_text, passages): every passage by itself first; then, only for claims that no check failed and no passage supports, pairs of passages in order, up to the first that supports.
+
+    Pairs are made where they are asked about, one of each open claim at a
+    time, so that calls are batches and no claim is asked about again. A claim
+    without text or passages fails.
+    """
+    kinds = dict(claims.dtypes)
+    ddl = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["status string", "n_singles int", "n_pairs int"])
+    sound = lambda p: p is not None and all(x is not None and math.isfinite(x) for x in p)
+
+    def judged(texts: list[str | None], passages: list[list[str]]) -> list[tuple[str, int, int]]:
+        asked = [(i, p) for i, (t, ps) in enumerate(zip(texts, passages, strict=True)) if t for p in ps]
+        singles: dict[int, list] = {}
+        for (i, _), p in zip(asked, verify([(p, texts[i]) for i, p in asked]), strict=True):
+            singles.setdefault(i, []).append(p)
+        failed = {i for i in range(len(texts)) if i not in singles or not all(map(sound, singles[i]))}
+        yes = {i for i in singles if i not in failed and any(p[0] >= entail for p in singles[i])}
+        no = {i for i in singles if i not in failed and any(p[1] >= contradict for p in singles[i])}
+        n_pairs, broken, paired = dict.fromkeys(range(len(texts)), 0), set(), set()
+        rest = {i: list(combinations(passages[i], 2)) for i in range(len(texts)) if i not in failed | yes}
+        while rest := {i: pairs for i, pairs in rest.items() if pairs and i not in paired}:
+            for (i, pairs), p in zip(rest.items(), verify([("\n\n".join(pairs[0]), texts[i]) for i, pairs in rest.items()]), strict=True):
+                n_pairs[i] += 1
+                if not sound(p):
+                    broken.add(i)
+                elif p[0] >= entail:
+                    paired.add(i)
+            rest = {i: pairs[1:] for i, pairs in rest.items()}
+        status = lambda i: "FAILED" if i in failed else ("INCONSISTENT" if i in no else "SUPPORTED") if i in yes | paired else "FAILED" if i in broken else "CONTRADICTED" if i in no else "UNSUPPORTED"
+        return [(status(i), len(singles.get(i, [])), n_pairs[i]) for i in range(len(texts))]
+
+    def over(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = judged(frame["claim_text"].tolist(), [[] if p is None else [x for x in p if x is not None] for p in frame["passages"]])
+            yield frame[keys].assign(**{name: [f[i] for f in found] for i, name in enumerate(("status", "n_singles", "n_pairs"))})
+
+    return claims.select(*keys, "claim_text", "passages").mapInPandas(over, ddl)
+
+
+def largest_entailment(checks: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, entailment: the largest probability of entailment of an answer by any of its passages, of checks(keys, premise, p_entail) and answers(keys, answer); 0 for a blank answer and without passages that aren't blank."""
+    filled = lambda c: F.coalesce(X.strip(F.col(c)) != "", F.lit(False))
+    most = checks.filter(filled("premise")).groupBy(*keys).agg(F.max("p_entail").alias("most"))
+    return answers.join(most, keys, "left").select(*keys, F.when(filled("answer"), F.greatest(F.coalesce("most", F.lit(0.0)), F.lit(0.0))).otherwise(0.0).alias("entailment"))
+
+
 def kept_embeddings(corpus: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """doc_id and v of the corpus as written at path, if as many as its documents; else computed by embed, scaled to unit length and written anew.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prismrank.functions.vectors import cosine
+from prismrank.functions.vectors import cosine, norm
 
 
 def hits(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
@@ -27,10 +27,10 @@ def retrieval_metrics(ranked: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 
 def pairwise_diversity(items: DataFrame, keys: list[str], order: str, v: str = "v") -> DataFrame:
-    """keys, n_items, diversity: mean of 1 - cosine over the pairs of each small list; null under two items."""
+    """keys, n_items, diversity: mean of 1 - cosine over the pairs of each small list; null under two items. A vector without length is like none: its cosines are 0."""
     a = items.select(*keys, F.col(order).alias("i"), F.col(v).alias("x"))
     b = items.select(*keys, F.col(order).alias("j"), F.col(v).alias("y"))
-    pairs = a.join(b, keys).filter("i < j").groupBy(*keys).agg(F.avg(1 - cosine(F.col("x"), F.col("y"))).alias("diversity"))
+    pairs = a.join(b, keys).filter("i < j").groupBy(*keys).agg(F.avg(1 - F.when((norm(F.col("x")) == 0) | (norm(F.col("y")) == 0), 0.0).otherwise(cosine(F.col("x"), F.col("y")))).alias("diversity"))
     return items.groupBy(*keys).agg(F.count("*").alias("n_items")).join(pairs, keys, "left")
 
 

@@ -223,14 +223,49 @@ def output_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT metric_id, decision, count(*) AS n FROM r GROUP BY ALL""")
 def metric_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which metrics can be measured for which documents, by a registry of three."""
-    registry = spark.createDataFrame([("recall", None, "with", True, True), ("faithfulness", None, "with", False, False), ("accuracy", "en", "with", True, True)], "metric_id string, dataset_id string, context_mode string, frozen boolean, needs_reference boolean")
+    metrics = [("recall", None, None, None, False, True, False), ("faithfulness", None, None, [], False, False, False), ("accuracy", ["en"], None, None, False, True, False)]
+    registry = spark.createDataFrame(metrics, checks.REGISTRY)
     labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has_reference", F.lit(True))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(labelled, "doc_id", "left").fillna(False, ["has_reference"])
-    each = rows.withColumn("metric_id", F.explode(F.array(F.lit("recall"), F.lit("faithfulness"), F.lit("accuracy")))).withColumn("dataset_id", F.when(F.col("metric_id") == "accuracy", F.col("lang")).otherwise("any"))
-    decided = checks.applicability(each.withColumns({"context_mode": F.lit("with"), "status": F.lit("OK")}), registry.fillna("any", ["dataset_id"]))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset_id")).join(labelled, "doc_id", "left").fillna(False, ["has_reference"])
+    each = rows.withColumn("metric_id", F.explode(F.array(*[F.lit(m[0]) for m in metrics])))
+    decided = checks.applicability(each.withColumns({"context_mode": F.lit("with"), "frozen": F.lit(True), "has_evaluator": F.lit(True), "generation": F.lit("success")}), registry)
     return decided.groupBy("metric_id", "decision").agg(F.count("*").alias("n"))
 
 
+#: As a registry of metrics may be: two of retrieval, one of them with an evaluator, an answer's with reference for some data sets, one for contexts only, whose protocol is frozen nowhere, and one of a single data set that needs everything.
+_METRICS = [
+    ("recall", None, None, ["a", "b"], False, False, False),
+    ("diversity", None, None, None, False, False, True),
+    ("exact_match", None, None, ["a", "b"], True, True, False),
+    ("faithfulness", None, ["with"], [], True, False, True),
+    ("official", ["c"], None, ["c"], True, True, True),
+    ("grounding", ["a", "c"], ["with"], None, True, False, True),
+]
+
+
+@register("""WITH x AS (SELECT d.doc_id, ['a', 'b', 'c'][(d.doc_id % 3 + 1)::INTEGER] AS ds, CASE WHEN d.doc_id % 4 = 1 THEN 'without' ELSE 'with' END AS cx, d.doc_id % 11 <> 5 AS frozen, l.doc_id IS NOT NULL AS ref, d.doc_id % 5 <> 2 AS ev,
+  CASE WHEN d.doc_id % 7 = 3 THEN 'not_run' WHEN d.doc_id % 7 = 4 THEN 'failed' ELSE 'success' END AS g FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
+m(metric_id, ds_ok, cx_ok, fr_ok, needs_g, needs_r, needs_e) AS (VALUES ('recall', 'abc', 'both', 'ab', false, false, false), ('diversity', 'abc', 'both', 'abc', false, false, true), ('exact_match', 'abc', 'both', 'ab', true, true, false), ('faithfulness', 'abc', 'with', '', true, false, true), ('official', 'c', 'both', 'c', true, true, true), ('grounding', 'ac', 'with', 'ac', true, false, true)),
+r AS (SELECT metric_id, CASE WHEN NOT contains(ds_ok, ds) THEN 'not_applicable/not_defined_for_dataset' WHEN cx_ok = 'with' AND cx = 'without' THEN 'not_applicable/not_defined_for_context_mode' WHEN NOT contains(fr_ok, ds) OR NOT frozen THEN 'not_computed/protocol_not_frozen'
+  WHEN needs_r AND NOT ref THEN 'not_computed/reference_unavailable' WHEN needs_e AND NOT ev THEN 'not_computed/evaluator_unavailable' WHEN needs_g AND g = 'not_run' THEN 'not_computed/generation_not_attempted' WHEN needs_g AND g = 'failed' THEN 'failed/generation_failed' ELSE 'eligible/' END AS told FROM x, m)
+SELECT metric_id, told, count(*) AS n FROM r GROUP BY ALL""")
+def metric_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gate, in its order, by a registry of six metrics of different needs: retrieval is measured where generation failed, and what needs no reference without one."""
+    n = F.col("doc_id")
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("has_reference", F.lit(True))
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(labelled, "doc_id", "left").fillna(False, ["has_reference"])
+    facts = {
+        "dataset_id": F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (n % 3 + 1).cast("int")),
+        "context_mode": F.when(n % 4 == 1, "without").otherwise("with"),
+        "frozen": n % 11 != 5,
+        "has_evaluator": n % 5 != 2,
+        "generation": F.when(n % 7 == 3, "not_run").when(n % 7 == 4, "failed").otherwise("success"),
+    }
+    each = rows.withColumns(facts).withColumn("metric_id", F.explode(F.array(*[F.lit(m[0]) for m in _METRICS])))
+    decided = checks.applicability(each, spark.createDataFrame(_METRICS, checks.REGISTRY))
+    return decided.groupBy("metric_id", F.concat_ws("/", F.coalesce("status", F.lit("eligible")), F.coalesce("reason", F.lit(""))).alias("told")).agg(F.count("*").alias("n"))
+
+
 @register("""WITH m AS (SELECT DISTINCT lang, source FROM documents) SELECT lang, source, c AS condition FROM m JOIN (VALUES ('none'), ('mmr_0.5'), ('dpp_map')) t(c) ON true""")
 def experiment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language and source that occurs, under each of three conditions."""

@@ -120,6 +120,25 @@ def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", X.parse_line(line, "Answer").alias("answer"))
 
 
+_LINES = {0: "Decision: Yes", 1: "so\r\nDecision:  MAYBE \t\r\nyes", 2: "Decision: no\nDecision: no", 3: "Decision: perhaps", 4: "decision: no", 5: "Decision:\tno"}
+
+
+@register("""WITH t AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Decision: Yes' WHEN 1 THEN 'so' || chr(13) || chr(10) || 'Decision:  MAYBE ' || chr(9) || chr(13) || chr(10) || 'yes' WHEN 2 THEN 'Decision: no' || chr(10) || 'Decision: no' WHEN 3 THEN 'Decision: perhaps' WHEN 4 THEN 'decision: no' ELSE 'Decision:' || chr(9) || 'no' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || lang ELSE '' END AS t FROM documents),
+l AS (SELECT doc_id, list_filter(string_split(replace(t, chr(13) || chr(10), chr(10)), chr(10)), lambda x: starts_with(x, 'Decision:')) AS l FROM t),
+v AS (SELECT doc_id, CASE WHEN len(l) = 1 THEN lower(trim(substr(l[1], 10), ' ' || chr(9))) END AS v FROM l),
+s AS (SELECT v.doc_id, CASE WHEN v IN ('yes', 'no', 'maybe') THEN v END AS decision FROM v)
+SELECT doc_id, decision, CASE WHEN doc_id % 13 = 1 THEN 'ERROR' WHEN doc_id % 13 = 2 THEN 'TRUNCATED' WHEN doc_id % 13 = 3 THEN 'REFUSAL' WHEN decision IS NULL THEN 'PARSE_FAILURE' ELSE 'OK' END AS status FROM s""")
+def parsed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of one decision in any case, none, two and others, with the status of the whole response, some of which the provider refused or cut."""
+    n = F.col("doc_id")
+    text = F.coalesce(*[F.when(n % 6 == k, v) for k, v in _LINES.items()])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(text, F.when(n % 5 == 0, F.concat(F.lit("\n"), "lang")).otherwise("")).alias("text"))
+    parsed = docs.withColumn("decision", X.parse_line(F.col("text"), "Decision", ["yes", "no", "maybe"]))
+    lost = n % 13 == 1
+    status = X.classify_response(F.when(lost, "lost"), F.when(n % 13 == 2, "Max_Tokens ").otherwise("stop"), F.when(~lost, F.col("text")), F.col("decision"), n % 13 == 3)
+    return parsed.select("doc_id", "decision", status.alias("status"))
+
+
 @register("""SELECT doc_id, trim(source || ' ' || coalesce(lang, '')) AS content, sha256(text) AS text_sha256, lower(regexp_replace(regexp_replace(lower(source || '_' || lang), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')) AS slug FROM documents""")
 def retrieval_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     slug = X.slug(F.concat_ws("_", "source", "lang"))
