@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismrank.llm.common import in_batches, map_batches, materialize, shuffle_width, text_of
@@ -245,13 +245,14 @@ def _candidate_edges(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.select("bucket", "i", "j", "side", "node", "values").mapInArrow(prune, "a long, b long").distinct()
 
 
-def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
+def _verified(texts: DataFrame, clusters: DataFrame, threshold: float) -> DataFrame:
     """a, b, links, copies of each class, cell by cell: b of spanning edges among linked classes, links the number of other classes it is linked to in the cell, copies their documents."""
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    members = clusters.join(sizes, "component").select("component", "size", "node", "copies")
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of().alias("text"))
-    cells = _chunked(texts.join(members, "node").groupBy("component", "size", "node", "copies").agg(F.min("text").alias("text")), "component", "size").select("component", "i", "j", "side", "node", "copies", "text")
-    dealt = cells.repartition(shuffle_width(docs.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
+    members = clusters.join(sizes, "component").select("component", "size", "node", "copies", "least", "mark")
+    own = texts.alias("t").join(members.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.least")) & (F.col("t.mark") == F.col("m.mark")))
+    held = own.groupBy("component", "size", "node", "copies").agg(F.min("text").alias("text"))  # of repeated rows, one
+    cells = _chunked(held, "component", "size").select("component", "i", "j", "side", "node", "copies", "text")
+    dealt = cells.repartition(shuffle_width(texts.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("copies", pa.int64())])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,43 +284,70 @@ def _verified(docs: DataFrame, clusters: DataFrame, threshold: float) -> DataFra
     return dealt.transform(in_batches).mapInArrow(verify, "a long, b long, links long, copies long")
 
 
-def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id, n_links and n_texts of each document(doc_id, text, ...).
+def _mark() -> Column:
+    """Tells texts of one doc_id apart."""
+    return F.xxhash64(text_of())
 
-    class_id is the least doc_id that links lead to, n_links the number of other
-    documents at the threshold or over, copies included, n_texts that of other
-    shingle sets among them. Words are lower-cased; a text of fewer than five
-    words is one shingle; a null, empty or blank text has none, is linked to
-    nothing and is a class by itself. Rows with the same doc_id and text are
-    copies; a doc_id should not name two texts: their classes would be taken for
-    one, by the least of the texts. Rows with a null doc_id are left out. Other
-    columns are ignored; no rows give no rows.
+
+def _first(doc_id: str = "doc_id") -> Column:
+    """The least of rows by doc_id, those without last, and of one doc_id by the text's mark."""
+    return F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("least"), "mark"))
+
+
+def _linked(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, mark, class_id, class_mark, n_links and n_texts of each row; doc_id and text's mark of a class's first row stand for the class.
+
+    Shingle sets have numbers of their own, given when their table is written,
+    so that two texts under one doc_id are two nodes.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("set_hash", pa.string()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("set_hash", pa.string()), ("bands", pa.list_(pa.int64())), ("values", pa.binary())])
 
     def one(batch: pa.RecordBatch) -> dict:
-        hashes, bands, values = zip(*map(sketch, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ([], [], [])
-        return {"doc_id": batch.column(0), "set_hash": hashes, "bands": bands, "values": values}
+        hashes, bands, values = zip(*map(sketch, batch.column(2).to_pylist()), strict=True) if batch.num_rows else ([], [], [])
+        return {"doc_id": batch.column(0), "mark": batch.column(1), "set_hash": hashes, "bands": bands, "values": values}
 
-    given = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    sketches = materialize(given.transform(in_batches).mapInArrow(map_batches(one, schema), "doc_id long, set_hash string, bands array<long>, values binary"), "sketches")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark().alias("mark"), text_of().alias("text"))
+    sketches = materialize(given.transform(in_batches).mapInArrow(map_batches(one, schema), "doc_id long, mark long, set_hash string, bands array<long>, values binary"), "sketches")
     worded = sketches.filter("set_hash IS NOT NULL")
-    sizes = worded.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    classes = materialize(sizes, "classes")
-    nodes = worded.select(F.col("doc_id").alias("node"), "bands", "values").join(classes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("values", "bands")).alias("of")).select("node", "of.bands", "of.values")
+    sizes = worded.groupBy("set_hash").agg(_first().alias("of"), F.count("*").alias("copies"))
+    classes = materialize(sizes.select("set_hash", "copies", "of.least", "of.mark", F.monotonically_increasing_id().alias("node")), "classes")
+    own = worded.alias("w").join(classes.alias("c"), (F.col("w.set_hash") == F.col("c.set_hash")) & F.col("w.doc_id").eqNullSafe(F.col("c.least")) & (F.col("w.mark") == F.col("c.mark")))
+    nodes = own.groupBy("node").agg(F.min(F.struct("values", "bands")).alias("of")).select("node", "of.bands", "of.values")
     edges = materialize(_candidate_edges(nodes, threshold), "candidates")
-    clusters = components(edges).join(classes.select("node", "copies"), "node")
+    clusters = components(edges).join(classes.drop("set_hash"), "node")
     verified = materialize(_verified(given, clusters, threshold), "verified")
     final = components(verified.filter("a <> b").select("a", "b"))
+    heads = final.join(classes.select("node", "least", "mark"), "node").groupBy("component").agg(_first("least").alias("of"))
+    of_class = final.join(heads, "component").select("node", F.col("of.least").alias("class_id"), F.col("of.mark").alias("class_mark"), F.lit(True).alias("joined"))
     counted = verified.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"), F.sum("copies").alias("linked"))
-    by_class = classes.join(final, "node", "left").join(counted, "node", "left").select("set_hash", F.coalesce("component", "node").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_texts"))
-    alone = sketches.filter("set_hash IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_texts"))
-    return worded.select("doc_id", "set_hash").join(by_class, "set_hash").drop("set_hash").unionAll(alone)
+    either = lambda a, b: F.when(F.col("joined"), F.col(a)).otherwise(F.col(b)).alias(a)
+    links = [(F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("links", F.lit(0)).cast("long").alias("n_texts")]
+    by_class = classes.join(of_class, "node", "left").join(counted, "node", "left").select("set_hash", either("class_id", "least"), either("class_mark", "mark"), *links)
+    none = F.lit(0).cast("long")
+    alone = sketches.filter("set_hash IS NULL").select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.col("mark").alias("class_mark"), none.alias("n_links"), none.alias("n_texts"))
+    return worded.select("doc_id", "mark", "set_hash").join(by_class, "set_hash").drop("set_hash").unionAll(alone)
+
+
+def link(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links and n_texts of each row of docs(doc_id, text, ...).
+
+    class_id is the least doc_id that links lead to, n_links the number of other
+    documents at the threshold or over, copies included, n_texts that of other
+    shingle sets among them. Words are lower-cased; a text of fewer than five
+    words is one shingle; a null, empty or blank text has none, is linked to
+    nothing and is a class by itself. Rows are documents, also such that repeat
+    a doc_id: with the same text they are copies, with other texts they are
+    linked by these texts only, and two classes that both have this doc_id as
+    their least have the same class_id without being one. Rows without doc_id
+    are linked like others; a class of such rows alone has no class_id. Other
+    columns are ignored; no rows give no rows.
+    """
+    return _linked(docs, threshold).select("doc_id", "class_id", "n_links", "n_texts")
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents of the least doc_id in each class, with all columns; of rows with the same doc_id one. Rows without doc_id stay."""
-    linked = link(docs, threshold)
-    first = linked.filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)
+    """The first row of each class by doc_id, with all columns; of rows with the same doc_id and text one. Rows without doc_id stay."""
+    first = _linked(docs, threshold).filter((F.col("doc_id") == F.col("class_id")) & (F.col("mark") == F.col("class_mark"))).select(F.col("doc_id").alias("_nd_id"), F.col("mark").alias("_nd_of")).distinct()
+    named = docs.filter("doc_id IS NOT NULL").withColumn("_nd_mark", _mark())
+    kept = named.join(first, (named["doc_id"] == first["_nd_id"]) & (named["_nd_mark"] == first["_nd_of"]), "left_semi").dropDuplicates(["doc_id", "_nd_mark"])
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
