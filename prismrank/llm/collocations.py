@@ -5,9 +5,10 @@ the first words' ids near the root and hash containers below them, which burst i
 a branch when they grow. When the trie is full, whole subtrees leave it as runs in
 word order; the runs are merged by partitions of (lang, first two words), those of
 frequent words salted by the phrase. A phrase can only occur as often as its parts,
-so three passes count words, pairs of frequent words, and longer phrases of
-frequent pairs; which words or pairs are frequent is told by a filter of bounded
-size that never loses one, so the counts are exact.
+so three passes count words, hashes of pairs of frequent words, and phrases of pairs
+whose hashes are frequent; which are is told by filters of bounded size that never
+lose one, and what is counted in the end are the phrases themselves, so the counts
+are exact.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ from xxhash import xxh64_intdigest
 from prismrank.llm.common import in_batches, join_params, materialize, shuffle_width, text_of
 
 LEAST, LONGEST, BEST = 100, 5, 2_000
-#: Entries of a container beyond which it bursts, and of a task's tries, and words of its dictionaries, beyond which runs leave.
-BURST, FULL, VOCABULARY = 1 << 16, 1_500_000, 600_000
+#: Entries of a container beyond which it bursts, and of a language's trie and of all, and words of all dictionaries of a task, beyond which runs leave.
+BURST, FULL, ALL_FULL, VOCABULARY = 1 << 16, 700_000, 1_400_000, 400_000
 #: Bytes of text that are counted at once, and rows of a run that leave at once.
-CHUNK, RUN_ROWS = 1 << 22, 1 << 17
+CHUNK, RUN_ROWS = 1 << 21, 1 << 16
 #: Bits of the filters for each frequent phrase, and the most that a filter has.
 BITS_EACH, MOST_BITS, PROBES, SLICE = 16, 1 << 28, 4, 1 << 16
 #: What phrases with the same first words are dealt to (a power of two), and buckets a language's phrases are ranked in first.
 SALTS, RANKED_IN = 8, 64
+#: Words of the corpus for each part of the pairs' hashes.
+PART_WORDS = 1 << 18
 
 _END = b"."  # no word has one
 _BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -54,7 +57,7 @@ def chain(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 class Container:
     """An open-addressed table of phrases, packed as two words and three in 64 bits each, with their counts."""
 
-    def __init__(self, slots: int = 1 << 8):
+    def __init__(self, slots: int = 16):
         self.size = 0
         self._empty(slots)
 
@@ -145,22 +148,20 @@ class HatTrie:
 
 
 class Filter:
-    """Whether phrases of these hashes may be frequent: a Bloom filter, so some that aren't pass and none that is fails."""
+    """Whether one of these hashes was put in: a Bloom filter, so some that weren't pass and none that was fails."""
 
     def __init__(self, bits: bytes):
         self.bits = np.frombuffer(bits, np.uint8)
 
-    def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
-        return filter_places(h, len(self.bits) * 8)
-
     def may_have(self, h: np.ndarray) -> np.ndarray:
         yes = np.ones(len(h), bool)
-        for p in self.places(h):
+        for p in filter_places(h, len(self.bits) * 8):
             yes &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
         return yes
 
 
 def filter_places(h: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    h = chain(h, np.uint64(1))
     step = (h >> np.uint64(32)) | np.uint64(1)
     for i in range(PROBES):
         yield ((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
@@ -170,18 +171,15 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxh64_intdigest(lang.encode() + b"\t" + word)
 
 
-def make_filter(frequent: DataFrame) -> bytes:
-    """The bits for frequent(lang, phrase), phrases of one or two words. Their number follows the rows up to MOST_BITS (32 MB), so what reaches the driver is bounded; beyond, more phrases pass in vain."""
-    rows, size = frequent.count(), SLICE
+def make_filter(hashes: DataFrame) -> bytes:
+    """The bits for hashes(h long). Their number follows the rows up to MOST_BITS (32 MB), so what reaches the driver is bounded; beyond, more phrases pass in vain."""
+    rows, size = hashes.count(), SLICE
     while size < min(BITS_EACH * rows, MOST_BITS):
         size *= 2
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            split = [(lang, phrase.encode().split(b" ")) for lang, phrase in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            h = np.array([word_hash(lang, w[0]) for lang, w in split], np.uint64)
-            pair = np.array([len(w) > 1 for _, w in split], bool)
-            h[pair] = chain(h[pair], np.array([word_hash(lang, w[1]) for lang, w in split if len(w) > 1], np.uint64))
+            h = batch.column(0).to_numpy().view(np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(filter_places(h, size))), pa.int64())], ["at"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,17 +191,85 @@ def make_filter(frequent: DataFrame) -> bytes:
                 packed.append(np.packbits(flags, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["slice", "bits"])
 
-    at = frequent.select("lang", "phrase").mapInArrow(places, "at long")
+    at = hashes.select("h").mapInArrow(places, "at long")
     by_slice = at.groupBy(F.expr(f"CAST(at DIV {SLICE} AS INT)").alias("slice")).agg(F.collect_set((F.col("at") % SLICE).cast("int")).alias("at"))
     slices = {r["slice"]: r["bits"] for r in by_slice.mapInArrow(pack, "slice int, bits binary").collect()}
     return b"".join(bytes(slices.get(i, bytes(SLICE // 8))) for i in range(size // SLICE))
 
 
+def word_hashes(words: DataFrame) -> DataFrame:
+    """h of words(lang, phrase)."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [word_hash(lang, w.encode()) for lang, w in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(h, np.uint64).view(np.int64))], ["h"])
+
+    return words.select("lang", "phrase").mapInArrow(over, "h long")
+
+
+class PairHashes:
+    """How often the hashes of pairs occur in a task; of a hash the bits of its part, the first ones, and 32 more count."""
+
+    def __init__(self, part_bits: int, least: int):
+        self.part_bits, self.least, self.table = part_bits, least, Container()
+
+    def add(self, h: np.ndarray) -> None:
+        h = h >> np.uint64(32 - self.part_bits) << np.uint64(1) | np.uint64(1)  # a table's first word isn't 0
+        self.table.add(h, np.zeros(len(h), np.uint64), np.ones(len(h), np.int64))
+
+    def spill(self) -> Iterator[pa.RecordBatch]:
+        """A run, in the order of hashes: a row for each part, of what its hashes add to the one before, and their counts, which don't matter beyond the least."""
+        h, _, n = self.table.entries()
+        self.table = Container()
+        if not len(h):
+            return
+        order = np.argsort(h)
+        h, n = h[order] >> np.uint64(1), np.minimum(n[order], self.least).astype("<u4")
+        part, key = (h >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype("<u4")
+        starts = np.flatnonzero(np.diff(part, prepend=-1))
+        more = np.diff(key, prepend=np.uint32(0))
+        more[starts] = key[starts]
+        planes = lambda x: x.view(np.uint8).reshape(-1, 4).T.tobytes()  # noqa: E731  equal high bytes side by side take little room
+        ends = np.append(starts[1:], len(key))
+        rows = [(planes(more[a:b].copy()), planes(n[a:b].copy())) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array([k for k, _ in rows], pa.binary()), pa.array([c for _, c in rows], pa.binary())], schema=_HASHES)
+
+
+_HASHES = pa.schema([("part", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def frequent_hashes(runs: DataFrame, least: int) -> DataFrame:
+    """h of the pairs' hashes that occur least times or more, from all runs, part by part."""
+    unplaned = lambda x: np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+    def summed(part: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        found, which = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(which, np.concatenate(counts))
+        return pa.RecordBatch.from_arrays([pa.array((found[n >= least].astype(np.int64)) | part << 32)], ["h"])
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, counts = None, [], []
+        for batch in batches:
+            for part, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if part != now and keys:
+                    yield summed(now, keys, counts)
+                    keys, counts = [], []
+                now = part
+                keys.append(np.cumsum(unplaned(k), dtype=np.uint32))
+                counts.append(unplaned(c))
+        if keys:
+            yield summed(now, keys, counts)
+
+    dealt = runs.repartition(shuffle_width(runs.sparkSession), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(over, "h long")
+
+
 class Counts:
     """What a task has counted of one language."""
 
-    def __init__(self, lang: str, words: Filter | None, pairs: Filter | None):
-        self.lang, self.words, self.pairs = lang, words, pairs
+    def __init__(self, lang: str, words: Filter | None, pairs: Filter | None, part_bits: int):
+        self.lang, self.words, self.pairs, self.part_bits = lang, words, pairs, part_bits
         self.carried: list[bytes] = []
         self.trie = HatTrie()
         self.clear()
@@ -226,8 +292,8 @@ class Counts:
                 self.may_be = np.concatenate([self.may_be, self.words.may_have(h)])
         return np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
 
-    def add(self, words: list[bytes]) -> None:
-        """Count the phrases that end in these words; they go on from the ones before."""
+    def add(self, words: list[bytes]) -> np.ndarray | None:
+        """Count the phrases that end in these words; they go on from the ones before. In the pass over pairs, their hashes."""
         back = len(self.carried)
         words = self.carried + words
         self.carried = words[-(LONGEST - 1) :]
@@ -236,19 +302,23 @@ class Counts:
             n = np.bincount(a[back:], minlength=len(self.names))
             n[: len(self.seen)] += self.seen
             self.seen = n
-            return
+            return None
         good = self.may_be[a]
         at = np.flatnonzero(good[:-1] & good[1:])
         if self.pairs is None:
-            self._count(a, at[at + 1 >= back], 2)
-            return
+            at = at[at + 1 >= back]
+        h = chain(self.hash[a[at]], self.hash[a[at + 1]])
+        if self.pairs is None:
+            return h
         goes_on = np.zeros(len(a) + LONGEST, bool)  # from a word to the next
-        goes_on[at] = self.pairs.may_have(chain(self.hash[a[at]], self.hash[a[at + 1]]))
+        goes_on[at] = self.pairs.may_have(h >> np.uint64(32 - self.part_bits))
         run = goes_on.copy()
-        for k in range(3, LONGEST + 1):
-            run[: len(run) - (k - 2)] &= goes_on[k - 2 :]
+        for k in range(2, LONGEST + 1):
+            if k > 2:
+                run[: len(run) - (k - 2)] &= goes_on[k - 2 :]
             start = np.flatnonzero(run[: max(0, len(a) - k + 1)])
             self._count(a, start[start + k - 1 >= back], k)
+        return None
 
     def _count(self, a: np.ndarray, start: np.ndarray, k: int) -> None:
         if len(start):
@@ -265,27 +335,24 @@ class Counts:
             salt = chain(salt, h[:, i])
         prefix = (first >> np.uint64(44)).astype(np.int64) * SALTS + (salt >> np.uint64(40)).astype(np.int64) % SALTS
         flat, size = words[words > 0], (words > 0).sum(1)
-        names = pa.array(self.names, pa.binary()).take(pa.array(flat)).cast(pa.string())
+        names = self.spelt.take(pa.array(flat)).cast(pa.string())
         phrases = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), names), " ")
         return pa.RecordBatch.from_arrays([pa.array(prefix.astype(np.int32)), pa.array([self.lang], pa.string()).take(pa.array(np.zeros(len(n), np.int8))), phrases, pa.array(n, pa.int64())], schema=_RUN)
 
     def _in_order(self, words: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         """A run's rows in the order of their words' bytes."""
-        if self.ranks is None or len(self.ranks) != len(self.names):
-            order = pc.sort_indices(pa.array(self.names[1:], pa.binary())).to_numpy()
-            self.ranks = np.zeros(len(self.names), np.int64)
-            self.ranks[order.astype(np.int64) + 1] = np.arange(1, len(self.names))
         order = np.lexsort(self.ranks[words].T[::-1])
         for i in range(0, len(order), RUN_ROWS):
             yield self._batch(words[order[i : i + RUN_ROWS]], n[order[i : i + RUN_ROWS]])
 
     def spill(self, down_to: int) -> Iterator[pa.RecordBatch]:
-        self.ranks = None
-        everything = down_to == 0 or len(self.names) > VOCABULARY
-        for first, more, n in self.trie.spill(0 if everything else down_to):
+        self.spelt = pa.array(self.names, pa.binary())
+        self.ranks = np.zeros(len(self.names), np.int64)
+        self.ranks[pc.sort_indices(self.spelt.slice(1)).to_numpy().astype(np.int64) + 1] = np.arange(1, len(self.names))
+        for first, more, n in self.trie.spill(down_to):
             w = [first >> np.uint64(_ID), first, more >> np.uint64(2 * _ID), more >> np.uint64(_ID), more]
             yield from self._in_order(np.stack(w, 1).astype(np.int64) & _MASK, n)
-        if everything:
+        if not down_to:
             if self.words is None and self.seen[1:].any():
                 yield pa.RecordBatch.from_pydict({"prefix": [0], "lang": [self.lang], "phrase": [""], "f": [int(self.seen[1:].sum())]}, schema=_RUN)
                 seen = np.flatnonzero(self.seen[1:]) + 1
@@ -316,34 +383,66 @@ def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield words
 
 
-def _counted(docs: DataFrame, words: Broadcast | None = None, pairs: Broadcast | None = None) -> DataFrame:
-    """prefix, lang, phrase, f: runs of docs(lang, text), for words (and, as the phrase '', all their occurrences), pairs of words that pass the filter, or longer phrases of pairs that pass."""
+def _over_texts(batches: Iterator[pa.RecordBatch], words: Broadcast | None, pairs: Broadcast | None, part_bits: int = 0) -> Iterator[tuple[dict[str, Counts], Counts, np.ndarray | None]]:
+    """Counts the texts of batches(lang, text), some at a time: the task's languages, the one just counted, and hashes of pairs. The taker may drop other languages: their texts have ended."""
+    of: dict[str, Counts] = {}
+    filters = [Filter(x.value) if x else None for x in (words, pairs)]
+    for batch in batches:
+        lang = batch.column(0).to_pylist()
+        for one in sorted(set(lang)):
+            rows = pa.array([i for i, x in enumerate(lang) if x == one], pa.int64())
+            texts = (x.as_py() for x in batch.column(1).take(rows).cast(pa.binary()))
+            state = of.get(one) or of.setdefault(one, Counts(one, *filters, part_bits))
+            for part in chunks(texts):
+                yield of, state, state.add(part)
+
+
+def _n_names(of: dict[str, Counts]) -> int:
+    """Words of all dictionaries; a language by itself takes as much as some words."""
+    return sum(len(s.names) + 50 for s in of.values())
+
+
+def _keep_only(of: dict[str, Counts], state: Counts) -> None:
+    """Drop all other languages; the one that goes on keeps the words that its phrases go on from."""
+    of.clear()
+    of[state.lang] = state
+
+
+def _counted(docs: DataFrame, words: Broadcast | None = None, pairs: Broadcast | None = None, part_bits: int = 0) -> DataFrame:
+    """prefix, lang, phrase, f: runs of docs(lang, text), for words (and, as the phrase '', all their occurrences), or for phrases of two words or more whose pairs pass the filter."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of: dict[str, Counts] = {}
-        filters = [Filter(x.value) if x else None for x in (words, pairs)]
-        for batch in batches:
-            lang = batch.column(0).to_pylist()
-            for one in sorted(set(lang)):
-                state = of.get(one)
-                if state is None:
-                    state = of[one] = Counts(one, *filters)
-                rows = pa.array([i for i, x in enumerate(lang) if x == one], pa.int64())
-                texts = (x.as_py() for x in batch.column(1).take(rows).cast(pa.binary()))
-                for part in chunks(texts):
-                    state.add(part)
-                    if state.trie.size > FULL or len(state.names) > VOCABULARY:
-                        yield from state.spill(FULL // 2)
-            if sum(s.trie.size + len(s.names) for s in of.values()) > FULL + VOCABULARY:
-                for state in of.values():
-                    yield from state.spill(0)
-                of = {}
+        for of, state, _ in _over_texts(batches, words, pairs, part_bits):
+            if sum(s.trie.size for s in of.values()) > ALL_FULL or _n_names(of) > VOCABULARY:
+                for each in of.values():
+                    yield from each.spill(0)
+                _keep_only(of, state)
+            elif state.trie.size > FULL:
+                yield from state.spill(FULL // 2)
         for state in of.values():
             yield from state.spill(0)
 
     return in_batches(docs).mapInArrow(over, "prefix int, lang string, phrase string, f long")
 
 
+def _pair_runs(docs: DataFrame, words: Broadcast, part_bits: int, least: int) -> DataFrame:
+    """part, keys, counts: runs of the hashes of pairs of words that pass the filter."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = PairHashes(part_bits, least)
+        for of, state, h in _over_texts(batches, words, None):
+            found.add(h)
+            if found.table.size > ALL_FULL:
+                yield from found.spill()
+            if _n_names(of) > VOCABULARY:
+                state.clear()
+                _keep_only(of, state)
+        yield from found.spill()
+
+    return in_batches(docs).mapInArrow(over, "part long, keys binary, counts binary")
+
+
 def _merged(runs: DataFrame, least: int) -> DataFrame:
     """lang, phrase, f of phrases with f of least or more, and of the empty phrase: the runs meet by their prefixes."""
     f = runs.repartition(shuffle_width(runs.sparkSession), "prefix").groupBy("prefix", "lang", "phrase").agg(F.sum("f").alias("f"))
@@ -352,14 +451,15 @@ def _merged(runs: DataFrame, least: int) -> DataFrame:
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """lang, phrase, f of all phrases of 1 to 5 words that occur least times or more, and of the empty phrase, whose f is the number of all words of the lang."""
-    spark = docs.sparkSession
+    send = docs.sparkSession.sparkContext.broadcast
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), text_of().alias("text"))
     words = materialize(_merged(_counted(texts), least), "words")
-    sent = spark.sparkContext.broadcast
-    word_filter = sent(make_filter(words.filter("phrase <> ''")))
-    pairs = materialize(_merged(_counted(texts, word_filter), least), "pairs")
-    longer = materialize(_merged(_counted(texts, word_filter, sent(make_filter(pairs))), least), "longer")
-    return words.unionAll(pairs).unionAll(longer)
+    n = words.filter("phrase = ''").agg(F.sum("f")).first()[0] or 0
+    part_bits = min(30, max(6, (n // PART_WORDS).bit_length()))
+    word_filter = send(make_filter(word_hashes(words.filter("phrase <> ''"))))
+    pairs = materialize(frequent_hashes(_pair_runs(texts, word_filter, part_bits, least), least), "pairs")
+    longer = materialize(_merged(_counted(texts, word_filter, send(make_filter(pairs)), part_bits), least), "longer")
+    return words.unionAll(longer)
 
 
 def _words(n: str) -> Column:

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from prismrank.llm import audit, collocations, lines
@@ -67,6 +68,31 @@ def test_collocations_by_brute_force(spark, seed):
     assert got == collocated(rows, 6, 25) and len(got) > 30
 
 
+def test_collocations_of_many_languages(spark, monkeypatch):
+    """A language each few texts, and dictionaries that are always full."""
+    monkeypatch.setattr(collocations, "VOCABULARY", 120)
+    monkeypatch.setattr(collocations, "CHUNK", 50)
+    rows = [(i, t, f"l{i % 25}" if i % 3 else "en") for i, t, *_ in corpus(8, 200)]
+    texts = [(x[1] or "").encode() for x in rows]
+    batch = pa.RecordBatch.from_pydict({"lang": [x[2] for x in rows], "text": [t.decode() for t in texts]})
+    f, n = Counter(), Counter()
+    of, most = {}, 0
+    for of, state, _ in collocations._over_texts(iter([batch.slice(0, 90), batch.slice(90)]), None, None):
+        most = max(most, len(of))
+        if collocations._n_names(of) > 120:
+            for each in of.values():
+                for run in each.spill(0):
+                    for r in run.to_pylist():
+                        (f if r["phrase"] else n)[r["lang"], r["phrase"]] += r["f"]
+            collocations._keep_only(of, state)
+    for each in of.values():
+        for run in each.spill(0):
+            for r in run.to_pylist():
+                (f if r["phrase"] else n)[r["lang"], r["phrase"]] += r["f"]
+    want, total = phrases_of(rows, 1)
+    assert f == want and {k: v for (k, _), v in n.items()} == {k: v for k, v in total.items() if v} and most < 6
+
+
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "a b c", "x")]])
 def test_collocations_of_little(spark, rows):
     assert collocations.mine(table(spark, rows), least=2).collect() == []
@@ -81,16 +107,17 @@ def test_words_across_chunks(monkeypatch):
     assert whole == [w for t in texts for w in t.replace(".", " . ").replace(",", " . ").split() + ["."]]
 
 
+class All:
+    def may_have(self, h):
+        return np.ones(len(h), bool)
+
+
 def test_phrases_go_on_from_chunk_to_chunk():
     rng = random.Random(5)
     words = [rng.choice([b"a", b"b", b"c", b"."]) for _ in range(500)]
 
-    class All:
-        def may_have(self, h):
-            return np.ones(len(h), bool)
-
     def counted(sizes, full):
-        state, total, at = collocations.Counts("en", All(), All()), Counter(), 0
+        state, total, at = collocations.Counts("en", All(), All(), 0), Counter(), 0
         for n in sizes:
             state.add(words[at : at + n])
             at += n
@@ -105,10 +132,25 @@ def test_phrases_go_on_from_chunk_to_chunk():
     want = Counter()
     for piece in b" ".join(words).split(b"."):
         w = piece.decode().split()
-        want.update(" ".join(w[i : i + k]) for k in (3, 4, 5) for i in range(len(w) - k + 1))
+        want.update(" ".join(w[i : i + k]) for k in (2, 3, 4, 5) for i in range(len(w) - k + 1))
     assert counted([500], 10**6) == want == counted([1] * 20 + [3] * 100 + [180], 10**6) == counted([10] * 50, 20)
 
 
+def test_frequent_hashes_are_those_of_all_runs(spark):
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2**64, 3000, np.uint64)
+    drawn = [h[np.minimum(rng.geometric(0.002, 5000), 2999)] for _ in range(4)]
+    runs = []
+    for part in drawn:
+        table = collocations.PairHashes(7, 20)
+        table.add(part)
+        table.add(part[:100])
+        runs += [r for batch in table.spill() for r in batch.to_pylist()]
+    df = spark.createDataFrame([tuple(r.values()) for r in runs], "part long, keys binary, counts binary")
+    every = Counter((np.concatenate([*drawn, *(p[:100] for p in drawn)]) >> np.uint64(25)).tolist())
+    assert {r["h"] for r in collocations.frequent_hashes(df, 20).collect()} == {x for x, n in every.items() if n >= 20}
+
+
 def test_trie_bursts_and_spills_whole_subtrees():
     rng = np.random.default_rng(1)
     trie, want = collocations.HatTrie(burst=50), Counter()
@@ -130,13 +172,11 @@ def test_trie_bursts_and_spills_whole_subtrees():
 
 
 def test_filter_loses_nothing(spark):
-    phrases = [f"w{i}" for i in range(500)] + [f"w{i} v{i % 7}" for i in range(500)]
-    made = collocations.Filter(collocations.make_filter(spark.createDataFrame([("en", p) for p in phrases], "lang string, phrase string")))
-    h = lambda lang, p: collocations.word_hash(lang, p.encode())
-    one = np.array([h("en", p) for p in phrases[:500]], np.uint64)
-    two = collocations.chain(one, np.array([h("en", p.split()[1]) for p in phrases[500:]], np.uint64))
-    assert made.may_have(one).all() and made.may_have(two).all()
-    assert made.may_have(np.array([h("de", p) for p in phrases[:500]], np.uint64)).mean() < 0.05
+    phrases = [f"w{i}" for i in range(900)]
+    words = spark.createDataFrame([("en", p) for p in phrases], "lang string, phrase string")
+    made = collocations.Filter(collocations.make_filter(collocations.word_hashes(words)))
+    h = lambda lang: np.array([collocations.word_hash(lang, p.encode()) for p in phrases], np.uint64)
+    assert made.may_have(h("en")).all() and made.may_have(h("de")).mean() < 0.05
 
 
 # lines
