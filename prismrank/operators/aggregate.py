@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from prismrank.operators.workflow import RANGE_ROWS, ranged
+
 
 def status_summary(expected: DataFrame, observed: DataFrame, keys: list[str], item: str) -> DataFrame:
     """keys, n_expected, n_present, n_measured, n_missing, mean, std: values of measured rows only; sample deviation, null under two.
@@ -53,22 +55,20 @@ def over_scopes(df: DataFrame, scopes: dict[str, list[str]], aggregates: dict[st
     return reduce(DataFrame.unionByName, parts)
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, out: str, cuts: int = 64) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], value: str, out: str, rows: int = RANGE_ROWS) -> DataFrame:
     """df with the average rank of value within keys, ties sharing it.
 
-    Values are cut at approximate quantiles of their group into ranges; ranks
-    are running counts within a range plus the counts of the ranges before, so
-    no task sorts a whole group.
+    Distinct values are sorted in ranges of about so many rows; ranks are
+    running counts within a range plus the counts of the group's ranges before,
+    so no task has a whole group, however large.
     """
-    borders = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.percentile_approx(value, [i / cuts for i in range(1, cuts)], 1000).alias("borders"))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    ranged = (counts.alias("l").join(F.broadcast(borders).alias("r"), on or F.lit(True)).select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(value), "n", F.size(F.filter("borders", lambda b: b < F.col(value))).alias("part")))
-    sums = ranged.groupBy(*keys, "part").agg(F.sum("n").alias("sum"))
-    before = sums.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("sum")
-    inside = F.coalesce(F.sum("n").over(W.partitionBy(*keys, "part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged(counts, [*keys, value], rows)
+    sums = placed.groupBy(*keys, "_range").agg(F.sum("n").alias("sum"))
+    before = sums.withColumn("before", F.coalesce(F.sum("sum").over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("sum")
+    inside = F.coalesce(F.sum("n").over(W.partitionBy(*keys, "_range").orderBy("_place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     same = lambda a, b, cols: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in cols]
-    ranks = ranged.withColumn("inside", inside).alias("x").join(before.alias("y"), same("x", "y", [*keys, "part"])).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col(f"x.{value}").alias(value), (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2).alias(out))
+    ranks = placed.withColumn("inside", inside).alias("x").join(before.alias("y"), same("x", "y", [*keys, "_range"])).select(*[F.col(f"x.{k}").alias(k) for k in keys], F.col(f"x.{value}").alias(value), (F.col("before") + F.col("inside") + (F.col("n") + 1) / 2).alias(out))
     return df.alias("d").join(ranks.alias("k"), same("d", "k", [*keys, value])).select("d.*", F.col(f"k.{out}"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from prismrank.operators.postings import kept
+from prismrank.sources.files import kept
 
 #: Rows of a block, about; draws that are counted at once.
 BLOCK_ROWS, DRAWS = 1 << 16, 1 << 20

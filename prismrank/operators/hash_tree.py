@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from prismrank.operators.postings import kept
+from prismrank.sources.files import kept
 
 #: Children of a node.
 FANOUT = 1_000

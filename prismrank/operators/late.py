@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismrank.operators.postings import best, kept
+from prismrank.operators.postings import best
+from prismrank.sources.files import kept
 
 #: Token vectors, by hash, that centroids and residual cuts are fitted on; steps of the fit; the most centroids.
 SAMPLE_ROWS, STEPS, MOST_CENTROIDS = 20_000, 8, 4_096

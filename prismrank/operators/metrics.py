@@ -84,19 +84,69 @@ def ideal_alpha_dcg(passages: DataFrame, alpha: float, k: int = 5) -> DataFrame:
     return _per_query(passages.select(F.col("query_id").cast("long"), F.col("doc_id").cast("long"), "aspects"), "query_id", best, schema, "query_id long, idcg double", ["doc_id"])
 
 
+def least_cover(masks: list[int]) -> int | None:
+    """The fewest of the sets of aspects, as bit masks, that hold all aspects any of them holds; None without any aspect.
+
+    Branch and bound. What decides nothing goes first: sets within others, and
+    aspects that are held wherever another one is. Aspects no two of which
+    share a set each need one, which bounds what is left from below. The search
+    branches on the sets of the aspect that fewest have.
+    """
+    found = {m for m in masks if m}
+    if not found:
+        return None
+
+    def reduced(sets: list[int]) -> tuple[list[int], dict[int, int]]:
+        """Sets that aren't within others, of aspects that aren't implied, and which sets hold each aspect."""
+        while True:
+            sets = sorted(set(sets) - {0}, key=int.bit_count, reverse=True)
+            sets = [m for i, m in enumerate(sets) if not any(m & o == m for o in sets[:i])]
+            holders: dict[int, int] = {}
+            for i, m in enumerate(sets):
+                while m:
+                    low = m & -m
+                    holders[low] = holders.get(low, 0) | 1 << i
+                    m ^= low
+            by = sorted(holders.items(), key=lambda x: x[1].bit_count())
+            implied, kept = 0, []
+            for aspect, who in by:
+                if any(who & w == w for w in kept):
+                    implied |= aspect
+                else:
+                    kept.append(who)
+            if not implied:
+                return sets, holders
+            sets = [m & ~implied for m in sets]
+
+    best = len(found)
+
+    def search(sets: list[int], used: int) -> None:
+        nonlocal best
+        sets, holders = reduced(sets)
+        if not holders:
+            best = min(best, used)
+            return
+        taken = apart = 0
+        by = sorted(holders.values(), key=int.bit_count)
+        for who in by:
+            if not who & taken:
+                taken, apart = taken | who, apart + 1
+        if used + max(apart, -(-len(holders) // sets[0].bit_count())) >= best:
+            return
+        for i in [i for i in range(len(sets)) if by[0] >> i & 1]:  # the largest first
+            search([m & ~sets[i] for m in sets], used + 1)
+
+    search(list(found), 0)
+    return best
+
+
 def min_set_cover(passages: DataFrame) -> DataFrame:
-    """query_id, n_aspects, cover: the fewest passages that cover all coverable aspects, exactly, over sets of aspects as bit masks; null without any."""
+    """query_id, n_aspects, cover: the fewest passages that cover all coverable aspects, exactly; null without any."""
     schema = pa.schema([("query_id", pa.int64()), ("n_aspects", pa.int32()), ("cover", pa.int32())])
 
     def cover(query_id: int, rows: list[dict]) -> list[dict]:
-        names = sorted({a for r in rows for a in r["aspects"]})
-        masks = {sum(1 << names.index(a) for a in set(r["aspects"])) for r in rows} - {0}
-        masks = [m for m in masks if not any(m != o and m & o == m for o in masks)]
-        full, reach, n = (1 << len(names)) - 1, {0}, 0
-        while names and full not in reach:
-            reach = {s | m for s in reach for m in masks}
-            n += 1
-        return [{"query_id": query_id, "n_aspects": len(names), "cover": n or None}]
+        at = {a: i for i, a in enumerate(sorted({a for r in rows for a in r["aspects"]}))}
+        return [{"query_id": query_id, "n_aspects": len(at), "cover": least_cover([sum(1 << at[a] for a in set(r["aspects"])) for r in rows])}]
 
     return _per_query(passages.select(F.col("query_id").cast("long"), "aspects"), "query_id", cover, schema, "query_id long, n_aspects int, cover int", [])
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from prismrank.functions.text import tokens
 from prismrank.operators.workflow import numbered
-from prismrank.sources.files import scratch, spread
+from prismrank.sources.files import kept, spread
 
 #: Documents of a part and of a block, and words after which a part ends early.
 PART_DOCS, BLOCK_DOCS, PART_WORDS = 8_192, 64, 4_000_000
@@ -53,13 +53,6 @@ class Index:
     epsilon: float
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written once, for the steps that read it."""
-    at = scratch(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
 def _lists(size: np.ndarray) -> pa.Array:
     return pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prismrank.functions import text as X
+from prismrank.sources.files import kept
 
 DISPLAY = {"none": "Relevance", "mmr_0": "MMR 0", "mmr_0.25": "MMR 0.25", "mmr_0.5": "MMR 0.5", "mmr_0.75": "MMR 0.75", "kmeans_k2": "k-means 2", "agglo_k3": "Agglomerative 3", "dpp_map": "DPP MAP"}
 
@@ -101,14 +103,24 @@ def grounding(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.bool_and(F.col("doc_id").isNotNull()).alias("all_grounded"), (F.countDistinct("doc_id") == F.count("*")).alias("distinct_grounded"))
 
 
-def numbered(df: DataFrame, order: str, out: str = "corpus_position", rows: int = 10_000) -> DataFrame:
-    """Positions 0, 1, ... in the order of a numeric column: counts of ranges before, and the place in the range."""
-    cuts = df.agg(F.percentile_approx(order, [i / 256 for i in range(1, 256)], 10_000).alias("c")).first()["c"] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    ranged = df.withColumn("_part", part)
-    before = ranged.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    place = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
-    return ranged.withColumn("_place", place).join(F.broadcast(before), "_part").withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_part", "_place", "_before")
+#: Rows of a range, about, as ranges follow samples.
+RANGE_ROWS = 1_000_000
+
+
+def ranged(df: DataFrame, order: list[str], rows: int = RANGE_ROWS) -> DataFrame:
+    """df, written once, sorted, in as many ranges of the order as make about so many rows each, with _range and the row's place in it, _place. Rows equal in the order are in one range."""
+    parts = max(1, math.ceil(df.count() / rows))
+    at = F.monotonically_increasing_id()  # the partition, and in the lower 33 bits the row
+    sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return kept(sorted_.withColumn("_range", F.shiftright(at, 33)).withColumn("_place", at.bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+
+
+def numbered(df: DataFrame, order: str, out: str = "corpus_position", rows: int = RANGE_ROWS) -> DataFrame:
+    """Positions 0, 1, ... in the order of a column: the place in its range, and the rows of the ranges before."""
+    placed = ranged(df, [order], rows)
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    carried = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
+    return placed.join(carried, "_range").withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
 
 
 def first_by_hash(df: DataFrame, id_column: str, namespace: str, n: int) -> DataFrame:

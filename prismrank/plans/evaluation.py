@@ -154,6 +154,26 @@ def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter(F.col("file").endswith(".json")).groupBy("lang", "source").agg(F.countDistinct("doc_id").alias("n"), F.countDistinct("doc_id").alias("n_files"))
 
 
+@register("""WITH d AS (SELECT doc_id // 8 AS f, doc_id, lang, n_chars FROM documents WHERE doc_id // 8 % 5 <> 1 OR doc_id % 8 = 0),
+f AS (SELECT f, count(*) AS n, max(n_chars) AS most, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs FROM d GROUP BY f)
+SELECT f AS name, CASE WHEN f % 7 = 3 OR f % 7 = 5 THEN 0 ELSE n END AS n_objects, CASE WHEN f % 7 = 3 THEN 'BROKEN' WHEN f % 7 = 5 THEN 'EMPTY' WHEN f % 7 = 6 THEN 'UNNAMED' WHEN n = 1 THEN 'ARTIFACT' ELSE 'SEVERAL' END AS state,
+  CASE WHEN f % 7 IN (3, 5) THEN '' ELSE langs END AS langs, CASE WHEN f % 7 IN (3, 5) THEN 0 ELSE most END AS most FROM f""")
+def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are lists of nested objects, some with one, some broken in the middle, some empty lists and some of objects without their name: each file's state and what its objects hold."""
+    docs, at = table(spark, sf_dir, "documents"), files.scratch(spark, "lists")
+    name = F.expr("doc_id DIV 8")
+    rows = docs.filter((name % 5 != 1) | (F.col("doc_id") % 8 == 0)).select(name.alias("name"), F.struct("doc_id", F.struct("lang", F.array("n_chars").alias("sizes")).alias("about")).alias("o"))
+    lists = rows.groupBy("name").agg(F.to_json(F.collect_list("o")).alias("whole"))
+    whole, n = F.replace("whole", F.lit("},{"), F.lit("},\n{")), F.col("name") % 7
+    texts = lists.select("name", F.when(n == 3, F.left(whole, F.length(whole) - 4)).when(n == 5, "[ ]").when(n == 6, F.replace(whole, F.lit('"doc_id"'), F.lit('"id"'))).otherwise(whole).alias("value"))
+    texts.repartition("name").write.partitionBy("name").text(at)
+    schema = "doc_id long, about struct<lang: string, sizes: array<int>>"
+    named = lambda df: df.withColumn("name", F.regexp_extract("file", r"name=(\d+)/", 1).cast("long"))
+    states = named(files.inspect_documents(spark, at, schema, "doc_id")).select("name", "n_objects", "state")
+    held = named(files.json_documents(spark, at, schema)).filter("broken IS NULL").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("about.lang")), ",").alias("langs"), F.max(F.array_max("about.sizes")).cast("long").alias("most"))
+    return states.join(held, "name", "left").fillna({"langs": "", "most": 0})
+
+
 @register("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
 def csv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A summary written as one CSV file with a header and scanned again."""

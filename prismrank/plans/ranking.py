@@ -251,6 +251,49 @@ def min_set_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.min_set_cover(_pool(spark, sf_dir).select("query_id", F.array("label").alias("aspects")))
 
 
+_ASPECTS = f"""{_SCORED}, a AS (SELECT DISTINCT query_id, doc_id, unnest([label % 5, 100 + doc_id % 4, CASE WHEN doc_id % 2 = 0 THEN 200 + doc_id % 3 ELSE 300 END]) AS aspect FROM pool)"""
+
+
+def _aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool's passages with three aspects each, of twelve that there may be."""
+    n = F.col("doc_id")
+    return _pool(spark, sf_dir).select("query_id", "rank", "doc_id", F.array_distinct(F.array((F.col("label") % 5).cast("long"), 100 + n % 4, F.when(n % 2 == 0, 200 + n % 3).otherwise(300))).alias("aspects"))
+
+
+@register(f"""WITH RECURSIVE {_ASPECTS}, named AS (SELECT query_id, aspect, 1::BIGINT << (row_number() OVER (PARTITION BY query_id ORDER BY aspect) - 1) AS bit FROM (SELECT DISTINCT query_id, aspect FROM a)),
+m AS (SELECT DISTINCT query_id, mask FROM (SELECT a.query_id, doc_id, CAST(sum(bit) AS BIGINT) AS mask FROM a JOIN named n ON n.query_id = a.query_id AND n.aspect = a.aspect GROUP BY ALL)),
+whole AS (SELECT query_id, CAST(sum(bit) AS BIGINT) AS whole, CAST(count(*) AS INTEGER) AS n_aspects FROM named GROUP BY query_id),
+r AS (SELECT query_id, 0 AS n, 0::BIGINT AS mask FROM whole UNION SELECT r.query_id, n + 1, r.mask | m.mask FROM r JOIN m ON m.query_id = r.query_id JOIN whole w ON w.query_id = r.query_id WHERE r.mask <> w.whole AND n < 12)
+SELECT r.query_id, any_value(n_aspects) AS n_aspects, CAST(min(n) AS INTEGER) AS cover FROM r JOIN whole w ON w.query_id = r.query_id AND r.mask = w.whole GROUP BY r.query_id""")
+def min_set_cover_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fewest passages that cover all aspects, where a passage has several, against all that so many of them reach."""
+    return metrics.min_set_cover(_aspects(spark, sf_dir).select("query_id", "aspects"))
+
+
+def _greedy_sql(steps: int) -> str:
+    """SQL of the greedy ideal, one choice after another: chosen0 (none), gain1, chosen1, ..."""
+    parts = ["chosen0 AS (SELECT NULL::BIGINT AS query_id, NULL::BIGINT AS doc_id, 0.0::DOUBLE AS gain, 0 AS place WHERE false)"]
+    for k in range(1, steps + 1):
+        parts.append(f"seen{k} AS (SELECT a.query_id, a.aspect, count(*) AS n FROM a JOIN chosen{k - 1} c ON c.query_id = a.query_id AND c.doc_id = a.doc_id GROUP BY ALL)")
+        parts.append(f"gain{k} AS (SELECT a.query_id, a.doc_id, sum(pow(0.5, coalesce(s.n, 0))) AS gain FROM a LEFT JOIN seen{k} s ON s.query_id = a.query_id AND s.aspect = a.aspect WHERE NOT EXISTS (SELECT 1 FROM chosen{k - 1} c WHERE c.query_id = a.query_id AND c.doc_id = a.doc_id) GROUP BY ALL)")
+        parts.append(f"chosen{k} AS (SELECT * FROM chosen{k - 1} UNION ALL SELECT query_id, doc_id, gain, {k} FROM gain{k} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) = 1)")
+    return ", ".join(parts)
+
+
+@register(f"""WITH {_ASPECTS}, {_greedy_sql(TOP)},
+ideal AS (SELECT query_id, sum(gain / log2(place + 1)) AS idcg FROM chosen{TOP} GROUP BY query_id),
+ranked5 AS (SELECT a.query_id, a.aspect, p.rank, count(*) OVER (PARTITION BY a.query_id, a.aspect ORDER BY p.rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM a JOIN pool p ON p.query_id = a.query_id AND p.doc_id = a.doc_id WHERE p.rank <= {TOP}),
+dcg AS (SELECT query_id, sum(pow(0.5, seen) / log2(rank + 1)) AS dcg FROM ranked5 GROUP BY query_id)
+SELECT i.query_id, round(idcg, 6) AS idcg, round(dcg / idcg, 6) AS alpha_ndcg FROM ideal i JOIN dcg ON dcg.query_id = i.query_id""")
+def alpha_ndcg_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """alpha-nDCG where a passage has several aspects, so that the ideal's order matters."""
+    passages = _aspects(spark, sf_dir)
+    covered = passages.filter(F.col("rank") <= TOP).select("query_id", "rank", F.explode("aspects").alias("aspect"))
+    dcg = metrics.alpha_dcg(covered, ["query_id"], 0.5)
+    ideal = metrics.ideal_alpha_dcg(passages.select("query_id", "doc_id", "aspects"), 0.5, TOP)
+    return ideal.join(dcg, "query_id").select("query_id", F.round("idcg", 6).alias("idcg"), F.round(F.col("dcg") / F.col("idcg"), 6).alias("alpha_ndcg"))
+
+
 @register(f"""WITH {_SCORED}, l AS (SELECT query_id, list(doc_id ORDER BY rank) AS ids FROM pool GROUP BY query_id),
 n AS (SELECT query_id, ids, lead(ids) OVER (ORDER BY query_id) AS other FROM l)
 SELECT query_id, len(list_intersect(ids, other)) AS n_shared, round(len(list_intersect(ids, other)) / len(list_distinct(ids || other)), 6) AS jaccard, ids = other AS same_order FROM n WHERE other IS NOT NULL""")

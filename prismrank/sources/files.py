@@ -31,6 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written once, for the steps that read it."""
+    at = scratch(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 @lru_cache(maxsize=1)
 def _local() -> str:
     return tempfile.mkdtemp(prefix="prismrank-")
@@ -42,8 +49,20 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
 
 
 def json_documents(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
-    """Whole files of one object or list each, with the file's name."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("file", F.input_file_name())
+    """Whole files of one object or a list of objects each, nested as the schema says: a row an object, with its file. Of a file that is no JSON the row is its text, as broken, without anything else."""
+    read = spark.read.schema(f"{schema}, broken string").options(multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="broken", recursiveFileLookup=True)
+    return read.json(path).select("*", F.col("_metadata.file_path").alias("file"))
+
+
+def inspect_documents(spark: SparkSession, path: str, schema: str, name: str) -> DataFrame:
+    """file, n_objects, state of every file: BROKEN, EMPTY, UNNAMED (an object lacks the field that names it), ARTIFACT (one object, as an artifact should be) or SEVERAL. The files are listed without reading them, so that those without an object are there too; Spark passes over files of no bytes."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
+    sums = [F.count("*").alias("n"), F.count(name).alias("named"), F.bool_or(F.col("broken").isNotNull()).alias("bad")]
+    found = json_documents(spark, path, schema).groupBy("file").agg(*sums)
+    state = F.when(F.col("bad"), "BROKEN").when(F.col("n").isNull(), "EMPTY").when(F.col("named") < F.col("n"), "UNNAMED").when(F.col("n") == 1, "ARTIFACT").otherwise("SEVERAL")
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  listings and scans name local files in two ways
+    a, b = listed.select(plain("file").alias("file")), found.withColumn("file", plain("file"))
+    return a.join(b, "file", "left").select("file", F.when(F.col("bad"), 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_objects"), state.alias("state"))
 
 
 def csv(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
