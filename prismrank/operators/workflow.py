@@ -54,6 +54,32 @@ def selected_contexts(selected: DataFrame, corpus: DataFrame, k: int = 5) -> Dat
     return lists.withColumn("context", X.context_block(F.transform("passages", lambda p: p["body"])))
 
 
+def first_column(df: DataFrame, *names: str) -> Column:
+    """The first of the names that df has as a column."""
+    for name in names:
+        if name in df.columns:
+            return F.col(name)
+    raise ValueError(f"none of the columns {', '.join(names)}")
+
+
+def gold_groups(samples: DataFrame, sample: str, sections: str, labels: str) -> tuple[DataFrame, DataFrame]:
+    """Of samples(sample, sections array, labels array): the documents (corpus_position, sample, section, label, text), a row for each section, numbered through in the order of samples and sections; and (sample, gold_ids), each sample's documents in order.
+
+    A sample whose sections and labels differ in number, or with a section
+    that is null or blank, is an error when it is read. A sample without
+    sections has no documents and an empty list.
+    """
+    given = samples.select(F.col(sample).alias("sample"), F.col(sections).alias("sections"), F.col(labels).alias("labels"))
+    blank = F.exists("sections", lambda x: F.coalesce(X.strip(x), F.lit("")) == "")
+    fault = F.when(~F.size("sections").eqNullSafe(F.size("labels")), "sections and labels differ in number").when(blank, "a section is blank")
+    sound = given.filter(F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("sample "), F.col("sample").cast("string"), F.lit(": "), fault)).cast("boolean")).otherwise(True))
+    rows = sound.select("sample", F.posexplode(F.arrays_zip("sections", "labels")).alias("section", "x")).select("sample", "section", F.col("x.labels").alias("label"), X.strip(F.col("x.sections")).alias("text"))
+    documents = kept(numbered(rows, ["sample", "section"]), "documents")
+    ids = documents.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "corpus_position"))), lambda r: r["corpus_position"]).alias("gold_ids"))
+    groups = sound.select("sample").join(ids, "sample", "left").select("sample", F.coalesce("gold_ids", F.array().cast("array<bigint>")).alias("gold_ids"))
+    return documents, groups
+
+
 def passages_agree(a: DataFrame, b: DataFrame, keys: list[str], ids: str) -> DataFrame:
     """keys, same: whether both lists name the same passages in the same order."""
     return a.select(*keys, F.col(ids).alias("_a")).join(b.select(*keys, F.col(ids).alias("_b")), keys).select(*keys, (F.col("_a") == F.col("_b")).alias("same"))
@@ -115,9 +141,9 @@ def ranged(df: DataFrame, order: list[str], rows: int = RANGE_ROWS) -> DataFrame
     return kept(sorted_.withColumn("_range", F.shiftright(at, 33)).withColumn("_place", at.bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
 
 
-def numbered(df: DataFrame, order: str, out: str = "corpus_position", rows: int = RANGE_ROWS) -> DataFrame:
-    """Positions 0, 1, ... in the order of a column: the place in its range, and the rows of the ranges before."""
-    placed = ranged(df, [order], rows)
+def numbered(df: DataFrame, order: str | list[str], out: str = "corpus_position", rows: int = RANGE_ROWS) -> DataFrame:
+    """Positions 0, 1, ... in the order of a column or several: the place in its range, and the rows of the ranges before."""
+    placed = ranged(df, [order] if isinstance(order, str) else order, rows)
     before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
     carried = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
     return placed.join(carried, "_range").withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")

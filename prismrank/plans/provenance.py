@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prismrank.operators import checks, hash_tree
+from prismrank.operators import checks, hash_tree, runs
+from prismrank.operators import workflow as V
 from prismrank.plans.registry import Query, registrar
 from prismrank.sources import sealed
 from prismrank.sources.files import scratch, table
@@ -273,6 +274,46 @@ def experiment_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.withColumn("condition", F.explode(F.array(F.lit("none"), F.lit("mmr_0.5"), F.lit("dpp_map"))))
 
 
+@register("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def pinned_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents asked for by a manifest, from a source of two revisions, the other of which has other texts under the same ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    other = docs.select(F.lit("r1").alias("revision"), "doc_id", F.reverse("text").alias("text"))
+    source = docs.select(F.lit("r2").alias("revision"), "doc_id", "text").unionAll(other)
+    asked = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    manifest = V.numbered(asked, "doc_id", "position")
+    return runs.pinned(source, manifest, "r2", "doc_id", "text").select("position", "doc_id", "text")
+
+
+@register("""WITH l AS (SELECT lang, doc_id, sha256(doc_id || '|' || sha256(text)) AS d FROM documents),
+one AS (SELECT lang, doc_id // 1000 AS node, sha256(string_agg(d, '' ORDER BY doc_id)) AS d FROM l GROUP BY ALL), two AS (SELECT lang, node // 1000 AS node, sha256(string_agg(d, '' ORDER BY node)) AS d FROM one GROUP BY ALL),
+leaf AS (SELECT lang, count(*) AS n, any_value(d) AS d FROM l GROUP BY lang), root AS (SELECT lang, leaf.n, CASE WHEN leaf.n = 1 THEN leaf.d WHEN (SELECT count(*) FROM one WHERE one.lang = leaf.lang) = 1 THEN (SELECT any_value(d) FROM one WHERE one.lang = leaf.lang) ELSE (SELECT any_value(d) FROM two WHERE two.lang = leaf.lang) END AS d FROM leaf)
+SELECT lang, k AS pool, sha256('{"config":{"normalize":true,"pool":' || k || ',"retriever":"dense"},"corpus":{"n_documents":' || n || ',"sha256":"' || d || '"},"version":"1"}') AS fingerprint, n AS n_rows FROM root, (VALUES (20), (50)) t(k)""")
+def cache_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cache for each language's corpus and configuration, named by both; it is made once, though it is asked for twice."""
+    docs, at = table(spark, sf_dir, "documents").select("lang", "doc_id", "text"), scratch(spark, "caches")
+    found = []
+    for lang in [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").collect()]:
+        corpus = docs.filter(F.col("lang") == lang)
+        root = hash_tree.build(corpus, "doc_id", ["text"]).orderBy(F.desc("level")).first()
+        for pool in (20, 50):
+            name = runs.cache_identity(root["digest"], root["n"], {"retriever": "dense", "pool": pool, "normalize": True}, "1")
+            first = runs.cached(spark, at, "lengths", name, lambda corpus=corpus: corpus.select("doc_id", F.length("text").alias("n")))
+            again = runs.cached(spark, at, "lengths", name, lambda corpus=corpus: corpus.filter(F.raise_error(F.lit("made again")).cast("boolean")))
+            found.append((lang, pool, name, again.count() if again.schema == first.schema else None))
+    return spark.createDataFrame(found, "lang string, pool int, fingerprint string, n_rows long")
+
+
+@register("SELECT doc_id AS position, 'test' AS role, 5 AS n_candidates, (SELECT count(*) FROM documents WHERE doc_id < 300) AS n_before FROM documents WHERE doc_id < 900")
+def resumed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate rows of a run that stopped and was gone on with: looked over first, then only what was missing added."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.lit("test").alias("role"), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.col("doc_id") * 10 + i).alias("candidates"))
+    at = scratch(spark, "run")
+    runs.resume(rows.filter("position < 300"), at, "test", 5, 900)
+    done = runs.resume(rows.filter("position < 900"), at, "test", 5, 900)
+    return spark.read.schema(rows.schema).parquet(at).select("position", "role", F.size("candidates").alias("n_candidates"), F.lit(done).cast("long").alias("n_before"))
+
+
 @register("SELECT doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id FROM labels WHERE toxic = 1")
 def union_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id").unionByName(table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prismrank.functions.vectors import norm
-from prismrank.operators import late, metrics, retrieval, selection
+from prismrank.operators import late, metrics, retrieval, runs, selection
 from prismrank.operators import workflow as V
 from prismrank.plans import selection_sql
 from prismrank.plans.registry import Query, registrar
@@ -209,6 +210,30 @@ def diversity_by_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("condition").agg(F.count("*").alias("n_queries"), F.avg("diversity").alias("mean_diversity"), F.stddev_samp("diversity").alias("std_diversity"), F.min("diversity").alias("min_diversity"), F.max("diversity").alias("max_diversity"), F.avg("precision").alias("mean_precision"))
 
 
+@register(f"SELECT condition, count(*) AS n_queries, 0 AS n_faults FROM embeddings, (VALUES {', '.join(f'({c!r})' for c in FINAL_CONDITIONS)}) t(condition) WHERE vec_id % {EVERY} = 0 GROUP BY condition")
+def selection_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every query and final condition: five passages, each once, of the pool, in ranks 1 to 5, and without diversification the pool's first."""
+    pool = _pool(spark, sf_dir)
+    faults = runs.selection_faults(pool, selection.diversify(pool, FINAL_CONDITIONS, TOP), FINAL_CONDITIONS, TOP)
+    return faults.groupBy("condition").agg(F.count("*").alias("n_queries"), F.count("fault").alias("n_faults"))
+
+
+@register(f"""WITH {_SCORED}, s AS (SELECT query_id, doc_id, rank, c AS condition, query_id // 100 % 7 AS q FROM pool, (VALUES ('none'), ('shifted'), ('absent')) t(c) WHERE rank <= 6),
+x AS (SELECT query_id, condition, CASE WHEN condition = 'shifted' THEN rank - 1 ELSE rank END AS selected_rank, CASE WHEN q = 1 AND rank = 4 THEN -1 WHEN q = 2 AND rank = 4 THEN lag(doc_id) OVER (PARTITION BY query_id, condition ORDER BY rank) WHEN q = 3 AND condition = 'none' AND rank = 5 THEN lead(doc_id) OVER (PARTITION BY query_id, condition ORDER BY rank) ELSE doc_id END AS doc_id FROM s WHERE condition <> 'absent' OR q = 0),
+y AS (SELECT * FROM x WHERE selected_rank BETWEEN 1 AND 5),
+n AS (SELECT query_id, condition, count(*) AS n, count(DISTINCT doc_id) AS d, count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM pool p WHERE p.query_id = y.query_id)) AS o, bool_and(selected_rank = (SELECT rank FROM pool p WHERE p.query_id = y.query_id AND p.doc_id = y.doc_id)) AS same FROM y GROUP BY ALL)
+SELECT e.query_id, e.condition, CASE WHEN n IS NULL THEN 'MISSING' WHEN d <> 5 THEN 'REPEATED' WHEN o > 0 THEN 'OUTSIDE' WHEN e.condition = 'none' AND NOT same THEN 'NOT_NATIVE' END AS fault
+FROM (SELECT DISTINCT query_id, c AS condition FROM pool, (VALUES ('none'), ('shifted'), ('absent')) t(c)) e LEFT JOIN n ON n.query_id = e.query_id AND n.condition = e.condition""")
+def selection_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selections with faults of every kind put in: a foreign passage, one twice, another than the native one, and conditions that are missing."""
+    pool = _pool(spark, sf_dir).select("query_id", "doc_id", "rank")
+    q, by = F.expr("query_id DIV 100 % 7"), W.partitionBy("query_id", "condition").orderBy("rank")
+    each = pool.filter("rank <= 6").withColumn("condition", F.explode(F.array(F.lit("none"), F.lit("shifted"), F.lit("absent")))).filter((F.col("condition") != "absent") | (q == 0))
+    doc = F.when((q == 1) & (F.col("rank") == 4), -1).when((q == 2) & (F.col("rank") == 4), F.lag("doc_id").over(by)).when((q == 3) & (F.col("condition") == "none") & (F.col("rank") == 5), F.lead("doc_id").over(by)).otherwise(F.col("doc_id"))
+    selected = each.select("query_id", "condition", F.when(F.col("condition") == "shifted", F.col("rank") - 1).otherwise(F.col("rank")).alias("selected_rank"), doc.alias("doc_id")).filter("selected_rank BETWEEN 1 AND 5")
+    return runs.selection_faults(pool, selected, ["none", "shifted", "absent"], TOP)
+
+
 @register(f"""WITH {_SCORED}, t AS (SELECT p.query_id, p.rank, e.embedding::DOUBLE[] AS v FROM pool p JOIN embeddings e ON e.vec_id = p.doc_id WHERE p.rank <= {TOP})
 SELECT a.query_id, {TOP} AS n_items, round(avg(1 - list_cosine_similarity(a.v, b.v)), 6) AS diversity FROM t a JOIN t b ON a.query_id = b.query_id AND a.rank < b.rank GROUP BY a.query_id""")
 def retrieval_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prismrank.functions import text as X
 from prismrank.operators import metrics
+from prismrank.operators import workflow as V
 from prismrank.plans.registry import Query, registrar
 from prismrank.sources.files import spread, table
 
@@ -145,6 +146,18 @@ def retrieval_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.retrieval_content(F.col("source"), F.col("lang")).alias("content"), F.sha2("text", 256).alias("text_sha256"), slug.alias("slug"))
 
 
+@register("""WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '') AS l FROM documents),
+r AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM s), n AS (SELECT doc_id, i, row_number() OVER (ORDER BY doc_id, i) - 1 AS position FROM r)
+SELECT s.doc_id AS sample, coalesce(list(position ORDER BY i) FILTER (position IS NOT NULL), [])::VARCHAR AS gold_ids FROM s LEFT JOIN n ON n.doc_id = s.doc_id GROUP BY s.doc_id""")
+def gold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines that aren't blank as the gold documents of a sample, by their numbers in the corpus of all."""
+    docs = table(spark, sf_dir, "documents")
+    lines = F.filter(F.split(V.first_column(docs, "body", "text"), "\n"), lambda x: X.strip(x) != "")
+    samples = docs.select("doc_id", lines.alias("sections"), F.transform(lines, lambda x: F.length(x)).alias("labels"))
+    _, groups = V.gold_groups(samples, "doc_id", "sections", "labels")
+    return groups.select("sample", F.concat(F.lit("["), F.array_join(F.transform("gold_ids", lambda x: x.cast("string")), ", "), F.lit("]")).alias("gold_ids"))
+
+
 @register("""WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)
 SELECT doc_id, CAST(i AS INTEGER) AS section, md5(trim(lines[i])) AS section_md5 FROM s, LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i) WHERE trim(lines[i]) <> ''""")
 def section_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
