@@ -150,6 +150,7 @@ def split_context(c: Column, n: int | None = None) -> Column:
 
 
 def explanation(c: Column) -> Column:
+    """What follows the first "Explanation:", null without one."""
     return F.when(F.instr(c, "Explanation:") > 0, strip(F.regexp_extract(c, r"(?s)Explanation:(.*)\z", 1)))
 
 
@@ -180,8 +181,10 @@ def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-def run_id(name: Column, identity: Column) -> Column:
-    return F.concat(slug(name), F.lit("-"), F.left(F.sha2(identity, 256), F.lit(24)))
+def run_id(parts: list[Column], identity: Column) -> Column:
+    """run-, the slugs of the parts, "na" for those without any, and 24 digits of the identity's sha256."""
+    slugs = [F.coalesce(F.nullif(slug(p), F.lit("")), F.lit("na")) for p in parts]
+    return F.concat_ws("-", F.lit("run"), *slugs, F.left(F.sha2(identity, 256), F.lit(24)))
 
 
 def contains_tokens(haystack: Column, needle: Column) -> Column:

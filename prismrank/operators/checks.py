@@ -54,6 +54,8 @@ GATES = [
     ("GENERATION_FAILED", "failed", "generation_failed"),
     ("NOT_IMPLEMENTED", "not_computed", "evaluator_not_configured"),
     ("INVALID", "failed", "invalid_metric_input"),
+    ("NO_VECTORS", "not_computed", "missing_embedding"),
+    ("TOO_FEW", "not_computed", "insufficient_items"),
 ]
 #: A registry's columns: what a metric is defined for, the data sets whose protocol is frozen (null arrays: all), and what it needs.
 REGISTRY = "metric_id string, datasets array<string>, contexts array<string>, frozen_datasets array<string>, needs_generation boolean, needs_reference boolean, needs_evaluator boolean"

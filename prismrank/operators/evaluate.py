@@ -40,6 +40,55 @@ def evaluate(rows: DataFrame, registry: DataFrame, metrics: dict[str, Column]) -
     return out.drop("p", "g", "decision", *[f.name for f in registry.schema if f.name != "metric_id"])
 
 
+def _qrels_fault(retrieved: Column, gold: Column) -> Column:
+    nulls = lambda c: F.exists(c, lambda x: x.isNull())
+    bad = (F.size(gold) == 0) | nulls(gold) | nulls(retrieved) | (F.size(F.array_distinct(gold)) != F.size(gold))
+    return F.when(gold.isNull(), "NO_REFERENCE").when(F.coalesce(bad, F.lit(True)), "INVALID")
+
+
+def _vectors_fault(vectors: Column, n: Column) -> Column:
+    width = F.size(F.get(vectors, F.lit(0)))
+    part = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    shape = F.exists(vectors, lambda v: v.isNull() | (F.size(v) != width) | (F.size(v) == 0))
+    content = F.exists(vectors, lambda v: F.exists(v, part) | (norm(v) == 0))
+    bad = F.coalesce((F.size(vectors) != n) | (F.size(vectors) == 0), F.lit(True)) | F.coalesce(shape, F.lit(True))
+    return F.when(vectors.isNull(), "NO_VECTORS").when(bad, "INVALID").when(F.size(vectors) < 2, "TOO_FEW").when(F.coalesce(content, F.lit(True)), "INVALID")
+
+
+def evaluate_retrieval(rows: DataFrame, registry: DataFrame, k: int) -> DataFrame:
+    """rows with metric_id, value, status and reason: a row for each row and metric of the registry, of which recall_at_k, mrr_at_k and retrieval_diversity are known.
+
+    rows(dataset_id, context_mode, frozen, has_evaluator, retrieved: ids in
+    order, gold: ids or null, vectors: of the retrieved, or null, ...). Gates go
+    first, with a reference where gold isn't null, and whatever became of the
+    generation; then a metric that isn't known is not configured, and what a
+    metric is computed of must be sound: gold without nulls, without repeats
+    and not empty; as many finite vectors of one width and some length as
+    there are ids, two at least.
+    """
+    facts = {"has_reference": F.col("gold").isNotNull(), "generation": F.lit("success")}
+    each = rows.withColumns(facts).join(F.broadcast(registry))
+    metric, first = F.col("metric_id"), F.slice("retrieved", 1, k)
+    gold, vectors = F.col("gold"), F.col("vectors")
+    hits = F.size(F.array_intersect(first, gold))
+    places = F.transform(first, lambda x, i: F.when(F.array_contains(gold, x), i + 1))
+    n = F.size(vectors)
+    units = F.transform(vectors, lambda v: F.transform(v, lambda x: F.try_divide(x.cast("double"), norm(v))))
+    whole = F.aggregate(units, F.array_repeat(F.lit(0.0), F.size(F.get(vectors, F.lit(0)))), lambda a, u: F.zip_with(a, u, lambda x, y: x + y))
+    square = F.aggregate(whole, F.lit(0.0), lambda a, x: a + x * x)  # of the sum of unit vectors: all pairs' cosines and n
+    value = (
+        F.when(metric == "recall_at_k", F.try_divide(hits, F.size(gold)))
+        .when(metric == "mrr_at_k", F.coalesce(1 / F.array_min(places), F.lit(0.0)))
+        .when(metric == "retrieval_diversity", 1 - F.try_divide(square - n, n * (n - 1)))
+    )
+    fault = F.when(metric.isin("recall_at_k", "mrr_at_k"), _qrels_fault(F.col("retrieved"), gold)).when(metric == "retrieval_diversity", _vectors_fault(vectors, F.size("retrieved"))).otherwise("NOT_IMPLEMENTED")
+    decided = each.withColumn("decision", F.coalesce(checks.gate(), fault))
+    told = checks.status_and_reason(F.col("decision"))
+    result = checks.metric_result(value, F.coalesce(told["status"], F.lit("measured")), told["reason"])
+    out = decided.withColumn("result", result).withColumns({c: F.col(f"result.{c}") for c in ("value", "status", "reason")})
+    return out.drop("result", "decision", *facts, *[f.name for f in registry.schema if f.name != "metric_id"])
+
+
 def output_diversity(sentences: DataFrame, keys: list[str], v: str = "v") -> DataFrame:
     """keys, n_items, diversity: mean of 1 - cosine over the pairs of sentences; null under two; a vector without length is like none.
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from prismrank.functions import text as X
+from prismrank.operators import checks
 from prismrank.sources.files import kept
 
 DISPLAY = {"none": "Relevance", "mmr_0": "MMR 0", "mmr_0.25": "MMR 0.25", "mmr_0.5": "MMR 0.5", "mmr_0.75": "MMR 0.75", "kmeans_k2": "k-means 2", "agglo_k3": "Agglomerative 3", "dpp_map": "DPP MAP"}
@@ -36,8 +37,21 @@ def role(position: Column, warm_up: int) -> Column:
     return F.when(position < warm_up, "warm_up").otherwise("measured")
 
 
-def first_queries(queries: DataFrame, n: int) -> DataFrame:
-    return queries.filter(F.col("position") < n)
+def manifest_subset(queries: DataFrame, key: str, ids: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Of queries(position, key, ...) those with the ids given, or the first `most`, or all; positions stay. Ids that repeat or that the manifest lacks are errors."""
+    if ids is not None and most is not None:
+        raise ValueError("either ids or a number of queries")
+    if most is not None:
+        if most <= 0:
+            raise ValueError("a number of queries above 0")
+        return queries.filter(F.col("position") < most)
+    if ids is None:
+        return queries
+    if twice := checks.duplicates(ids, [key]).first():
+        raise ValueError(f"{key} {twice[key]} is asked for {twice['n']} times")
+    if lacking := checks.unknown(ids, queries, [key]).first():
+        raise ValueError(f"{key} {lacking[key]} isn't in the manifest")
+    return queries.join(ids.select(key), key, "left_semi")
 
 
 def candidate_artifacts(ranked: DataFrame, retriever: str, corpus: DataFrame) -> DataFrame:
@@ -99,6 +113,14 @@ def claim_workload(answers: DataFrame, text: str, keep: tuple[str, ...] = ("OK",
     return kept.select("*", F.posexplode(X.sentences(F.col(text))).alias("claim", "claim_text"))
 
 
+def explained_claims(answers: DataFrame, text: str) -> DataFrame:
+    """A row for each sentence of what the OK answers explain, numbered from 0; an OK answer without explanation is an error when it is read."""
+    said = X.explanation(F.col(text))
+    sound = F.coalesce(F.size(X.sentences(said)) > 0, F.lit(False))
+    kept_ = answers.filter("status = 'OK'").filter(F.when(~sound, F.raise_error(F.lit("an OK answer without explanation")).cast("boolean")).otherwise(True))
+    return kept_.select("*", F.posexplode(X.sentences(said)).alias("claim", "claim_text"))
+
+
 def question_claim(question: Column, answer: Column, status: Column) -> Column:
     return F.when(status == "REFUSAL", F.format_string("The question %s can't be answered.", question)).otherwise(F.format_string("The answer to %s is %s.", question, answer))
 
@@ -109,9 +131,9 @@ def row_score(value: Column, status: Column) -> Column:
 
 
 def repeatability(calls: DataFrame, key: str, text: str, times: int | None = 3, enough: int = 19) -> DataFrame:
-    """n, n_same, passed: prompts whose calls, as many as asked if that is given, all gave the same stripped text."""
+    """n, n_same, passed: prompts whose calls, as many as asked if that is given, all gave the same stripped text; a call without text is like no other."""
     asked = F.count("*") == times if times else F.lit(True)
-    per = calls.groupBy(key).agg(((F.countDistinct(X.strip(F.col(text))) == 1) & asked).alias("same"))
+    per = calls.groupBy(key).agg(((F.countDistinct(X.strip(F.col(text))) == 1) & (F.count(text) == F.count("*")) & asked).alias("same"))
     return per.agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"), (F.count_if("same") >= enough).alias("passed"))
 
 

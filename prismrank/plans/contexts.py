@@ -80,6 +80,50 @@ def repeatability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.repeatability(calls, "prompt", "text", None)
 
 
+@register("""WITH c AS (SELECT doc_id, i, CASE WHEN doc_id % 19 = 4 AND i = 2 THEN NULL WHEN doc_id % 7 = 3 AND i = 3 THEN lang || '!' WHEN i = 2 THEN chr(10) || lang || ' ' ELSE lang END AS t FROM documents, range(1, 4) r(i) WHERE doc_id % 23 <> 5 OR i < 3),
+p AS (SELECT doc_id % 5 AS model, doc_id, count(*) = 3 AND count(t) = 3 AND count(DISTINCT trim(t, ' ' || chr(10))) = 1 AS same FROM c GROUP BY doc_id)
+SELECT model, count(*) AS n, count(*) FILTER (same) AS n_same, count(*) FILTER (same) >= 19 AS passed FROM p GROUP BY model""")
+def repeatability_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three calls of each prompt by each of five models; some differ, some gave nothing, some weren't made."""
+    i, n = F.col("i"), F.col("doc_id")
+    calls = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("i")).filter((n % 23 != 5) | (i < 3))
+    text = F.when((n % 19 == 4) & (i == 2), None).when((n % 7 == 3) & (i == 3), F.concat("lang", F.lit("!"))).when(i == 2, F.concat(F.lit("\n"), "lang", F.lit(" "))).otherwise(F.col("lang"))
+    calls = calls.withColumn("text", text)
+    each = [V.repeatability(calls.filter(n % 5 == m), "doc_id", "text").withColumn("model", F.lit(m).cast("long")) for m in range(5)]
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+_TEMPLATE = "Question: {question}\n\nDocuments:\n{context}\n\nAnswer:"
+
+
+@register("""WITH q AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS position, text FROM benchmark), s AS (SELECT *, position % 2 = 0 AS with_context, CASE WHEN position % 3 = 0 THEN 'mmr_0.5' WHEN position % 3 = 1 THEN 'none' ELSE 'other one' END AS condition FROM q WHERE item_id % 3 <> 1)
+SELECT item_id, position, CASE WHEN position < 5 THEN 'warm_up' ELSE 'measured' END AS role, CASE condition WHEN 'mmr_0.5' THEN 'MMR 0.5' WHEN 'none' THEN 'Relevance' ELSE condition END AS label,
+  'run-bench-' || CASE condition WHEN 'mmr_0.5' THEN 'mmr-0-5' WHEN 'none' THEN 'none' ELSE 'other-one' END || '-na-' || left(sha256(condition || '|' || item_id), 24) AS run_id,
+  sha256('Question: ' || text || chr(10) || chr(10) || 'Documents:' || chr(10) || CASE WHEN with_context THEN '{question} ' || text ELSE '' END || chr(10) || chr(10) || 'Answer:') AS prompt_sha256 FROM s""")
+def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of a run that were asked for by id: role, display name of the condition, run id and prompt; contexts that hold a placeholder stay as they are."""
+    items = V.numbered(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question")), "item_id", "position")
+    asked = V.manifest_subset(items, "item_id", items.filter("item_id % 3 <> 1").select("item_id"))
+    at = F.col("position")
+    rows = asked.withColumns({"condition": F.when(at % 3 == 0, "mmr_0.5").when(at % 3 == 1, "none").otherwise("other one"), "context": F.concat(F.lit("{question} "), "question")})
+    prompt = F.when(at % 2 == 0, V.prompts(rows, _TEMPLATE, True)).otherwise(V.prompts(rows, _TEMPLATE, False))
+    name = X.run_id([F.lit("Bench"), F.col("condition"), F.lit("--")], F.concat_ws("|", "condition", F.col("item_id").cast("string")))
+    return rows.select("item_id", "position", V.role(at, 5).alias("role"), V.labelled(F.col("condition")).alias("label"), name.alias("run_id"), F.sha2(prompt, 256).alias("prompt_sha256"))
+
+
+@register(f"""WITH c AS (SELECT conv_id, turn, 'Decision: yes' || chr(10) || 'Explanation: ' || text || ' Explanation: again.' AS t FROM conversations WHERE turn % 2 = 1), s AS (SELECT conv_id, turn, {_sentence_list("substr(t, strpos(t, 'Explanation:') + 12)")} AS s FROM c)
+SELECT conv_id, turn, len(s) AS n_claims, sum(length(x)) AS claim_chars FROM (SELECT conv_id, turn, s, unnest(s) AS x FROM s) GROUP BY ALL""")
+def explained_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims from what answers explain, which begins at the first marker."""
+    turns = table(spark, sf_dir, "conversations").filter("turn % 2 = 1")
+    answers = turns.select("conv_id", "turn", F.lit("OK").alias("status"), F.concat(F.lit("Decision: yes\nExplanation: "), "text", F.lit(" Explanation: again.")).alias("text"))
+    claims = V.explained_claims(answers, "text")
+    return claims.groupBy("conv_id", "turn").agg(F.count("*").alias("n_claims"), F.sum(F.length("claim_text")).alias("claim_chars"))
+
+
 def _token_list(x: str) -> str:
     """SQL of a text's words after composing characters: marks and white space separate, apostrophes between letters or digits stay."""
     apostrophes = f"regexp_replace(nfc_normalize({x}), '[‘’ʼ＇]', chr(39), 'g')"

@@ -74,6 +74,35 @@ def two_stage_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("status").agg(F.count("*").alias("n"), F.sum("n_pairs").alias("n_pairs"))
 
 
+@register("""WITH d AS (SELECT doc_id, doc_id % 11 AS p FROM documents),
+r AS (SELECT doc_id, p, list_transform(range(1, CASE WHEN p = 7 THEN 2 ELSE 6 END), lambda k: CASE WHEN p = 9 AND k = 2 THEN NULL ELSE (doc_id + k * k) % 97 END) AS ret,
+  CASE WHEN p = 1 THEN NULL WHEN p = 2 THEN [] WHEN p = 3 THEN [(doc_id + 4) % 97, (doc_id + 4) % 97] WHEN p = 8 THEN [(doc_id + 4) % 97, NULL] WHEN doc_id % 2 = 0 THEN [(doc_id + 16) % 97, (doc_id + 50) % 97, (doc_id + 25) % 97] ELSE [(doc_id + 51) % 97] END AS gold,
+  CASE WHEN p = 4 THEN NULL ELSE list_transform(range(0, CASE WHEN p = 7 THEN 1 WHEN p = 5 THEN 4 ELSE 5 END), lambda i: CASE WHEN p = 6 AND i = 3 THEN [0.0, 0.0] WHEN p = 10 AND i = 2 THEN [1.0, 'nan'::DOUBLE] ELSE [((doc_id + i) % 5 + 1)::DOUBLE, (i + 1)::DOUBLE] END) END AS v FROM d),
+m(metric_id) AS (VALUES ('recall_at_k'), ('mrr_at_k'), ('retrieval_diversity'), ('novelty')),
+s AS (SELECT doc_id, metric_id, CASE WHEN metric_id = 'novelty' THEN 'not_computed/evaluator_not_configured'
+  WHEN metric_id = 'retrieval_diversity' THEN CASE WHEN p = 4 THEN 'not_computed/missing_embedding' WHEN p = 5 THEN 'failed/invalid_metric_input' WHEN p = 7 THEN 'not_computed/insufficient_items' WHEN p IN (6, 10) THEN 'failed/invalid_metric_input' ELSE 'measured/' END
+  WHEN p = 1 THEN 'not_computed/reference_unavailable' WHEN p IN (2, 3, 8, 9) THEN 'failed/invalid_metric_input' ELSE 'measured/' END AS told, ret, gold, v FROM r, m),
+f AS (SELECT doc_id, avg(1 - list_cosine_similarity(a, b)) AS diversity FROM (SELECT doc_id, unnest(v) AS a, generate_subscripts(v, 1) AS i FROM r WHERE p NOT IN (4, 6, 10)) x JOIN (SELECT doc_id, unnest(v) AS b, generate_subscripts(v, 1) AS j FROM r WHERE p NOT IN (4, 6, 10)) y USING (doc_id) WHERE i < j GROUP BY doc_id)
+SELECT doc_id, metric_id, told, CASE WHEN told = 'measured/' THEN round(CASE metric_id WHEN 'recall_at_k' THEN len(list_intersect(ret[1:4], gold)) / len(gold) WHEN 'mrr_at_k' THEN coalesce(1.0 / list_min(list_filter(range(1, 5), lambda i: list_contains(gold, ret[i]))), 0.0) ELSE diversity END, 6) END AS value FROM s LEFT JOIN f USING (doc_id)""")
+def retrieval_metric_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists, gold and vectors from the documents' numbers, sound and unsound in every way: value, status and reason of three metrics at 4 and one that isn't there."""
+    n, p = F.col("doc_id"), F.col("doc_id") % 11
+    some = lambda low, high, fn: F.transform(F.sequence(F.lit(low), high), fn)
+    at = lambda x: (n + x) % 97
+    gold = F.when(p == 2, F.array().cast("array<bigint>")).when(p == 3, F.array(at(4), at(4))).when(p == 8, F.array(at(4), F.lit(None).cast("long"))).when(n % 2 == 0, F.array(at(16), at(50), at(25))).otherwise(F.array(at(51)))
+    vector = lambda i: F.when((p == 6) & (i == 3), F.array(F.lit(0.0), F.lit(0.0))).when((p == 10) & (i == 2), F.array(F.lit(1.0), F.lit(float("nan")))).otherwise(F.array(((n + i) % 5 + 1).cast("double"), (i + 1).cast("double")))
+    facts = {
+        "dataset_id": F.lit("d"), "context_mode": F.lit("with"), "frozen": F.lit(True), "has_evaluator": F.lit(True),
+        "retrieved": some(1, F.when(p == 7, 1).otherwise(5), lambda k: F.when(~((p == 9) & (k == 2)), at(k * k))),
+        "gold": F.when(p != 1, gold),
+        "vectors": F.when(p != 4, some(0, F.when(p == 7, 0).when(p == 5, 3).otherwise(4), vector)),
+    }
+    names = ["recall_at_k", "mrr_at_k", "retrieval_diversity", "novelty"]
+    registry = spark.createDataFrame([(m, None, None, None, False, False, False) for m in names], checks.REGISTRY)
+    found = evaluate.evaluate_retrieval(table(spark, sf_dir, "documents").select("doc_id").withColumns(facts), registry, 4)
+    return found.select("doc_id", "metric_id", F.concat_ws("/", "status", F.coalesce("reason", F.lit(""))).alias("told"), F.round("value", 6).alias("value"))
+
+
 _CHANCE = "CAST('0x' || substr(md5({0} || '|' || {1}), 1, 8) AS BIGINT)"
 
 

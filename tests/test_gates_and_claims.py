@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from prismrank.functions import text as X
 from prismrank.operators import checks, evaluate, metrics
+from prismrank.operators import workflow as V
 
 FACTS = {"dataset_id": "a", "context_mode": "with", "frozen": True, "has_reference": True, "has_evaluator": True, "generation": "success"}
 
@@ -129,3 +130,38 @@ def test_largest_entailment(spark):
     probed = spark.createDataFrame([(1, "p", 0.2), (1, "q", 0.7), (2, " \t", 0.9), (3, "p", 0.8), (5, "p", None)], "a int, premise string, p_entail double")
     answers = spark.createDataFrame([(1, "x"), (2, "x"), (3, " \n"), (4, "x"), (5, "x"), (6, None)], "a int, answer string")
     assert {r["a"]: r["entailment"] for r in evaluate.largest_entailment(probed, answers, ["a"]).collect()} == {1: 0.7, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 0.0}
+
+
+def test_unsound_retrieval_inputs(spark):
+    kinds = "id int, dataset_id string, context_mode string, frozen boolean, has_evaluator boolean, retrieved array<long>, gold array<long>, vectors array<array<double>>"
+    good = [[1.0, 0.0], [0.0, 1.0]]
+    rows = [
+        (1, [1, 2], [2, 9], good), (2, [1, 2], None, None), (3, [], [], []), (4, [1, 2], [3], [[1.0, 0.0]]), (5, [1], [1], [[1.0]]),
+        (6, [1, 2], [1], [[1.0, 0.0], [0.0]]), (7, [1, 2], [1], [[1.0, 0.0], [0.0, 0.0]]), (8, [1, None], [1], [[1.0, None], [1.0, 1.0]]), (9, [1, 2], [1, 1], [None, [1.0]]),
+    ]
+    df = spark.createDataFrame([(i, "a", "with", True, True, r, g, v) for i, r, g, v in rows], kinds)
+    registry = spark.createDataFrame([(m, None, None, None, True, False, False) for m in ("recall_at_k", "retrieval_diversity")], checks.REGISTRY)
+    got = {(r["id"], r["metric_id"]): r["reason"] or r["value"] for r in evaluate.evaluate_retrieval(df, registry, 2).collect()}
+    bad, none = "invalid_metric_input", "reference_unavailable"
+    assert [got[i, "recall_at_k"] for i in range(1, 10)] == [0.5, none, bad, 0.0, 1.0, 1.0, 1.0, bad, bad]
+    assert [got[i, "retrieval_diversity"] for i in range(1, 10)] == [pytest.approx(1.0), "missing_embedding", bad, bad, "insufficient_items", bad, bad, bad, bad]
+
+
+def test_subsets_of_a_manifest(spark):
+    queries = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "position long, id string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    of = lambda **o: [r["id"] for r in V.manifest_subset(queries, "id", **o).orderBy("position").collect()]
+    assert of(ids=ids("c", "a")) == ["a", "c"] and of(most=2) == ["a", "b"] and of() == ["a", "b", "c"]
+    for wrong, why in (({"ids": ids("a", "a")}, "2 times"), ({"ids": ids("x")}, "isn't in the manifest"), ({"most": 0}, "above 0"), ({"ids": ids(), "most": 1}, "either")):
+        with pytest.raises(ValueError, match=why):
+            of(**wrong)
+
+
+def test_calls_without_text_and_missing_explanations(spark):
+    calls = spark.createDataFrame([(1, "a"), (1, " a\n"), (1, "a"), (2, "a"), (2, None), (2, "a"), (3, "a"), (3, "a")], "k int, t string")
+    assert tuple(V.repeatability(calls, "k", "t", enough=1).first()) == (3, 1, True)
+    answers = lambda t: spark.createDataFrame([("OK", t), ("REFUSAL", "no")], "status string, t string")
+    assert [r["claim_text"] for r in V.explained_claims(answers("x Explanation: One. Two."), "t").collect()] == ["One.", "Two."]
+    for wrong in ("nothing", "Explanation:  "):
+        with pytest.raises(Exception, match="without explanation"):
+            V.explained_claims(answers(wrong), "t").collect()
