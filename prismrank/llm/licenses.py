@@ -156,30 +156,53 @@ def signature_rules() -> tuple[Rule, ...]:
     return tuple(rules)
 
 
+_HIT = "array<struct<start:bigint,end:bigint,label:string,priority:int,confidence:double,base:boolean>>"
+#: Put before a match to find its first word again; no word has it.
+_MARK = "\x01"
+
+
 def _found(norm: Column, rule: Column) -> Column:
-    """Intervals of words of the rule's matches: the text is what lies between the matches and these in turn."""
+    """Intervals of words of the rule's matches. Each match is marked in the text, so the marked words' places and the matches come in the same order."""
     around = F.concat(F.lit("(?<= )(?:"), rule["pattern"], F.lit(")(?= )"))
     matches = F.regexp_extract_all(norm, around, F.lit(0))
-    between = F.split(norm, around, -1)
-
-    def spaces(s: Column) -> Column:
-        return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
-
-    hit = "array<struct<start:bigint,end:bigint,label:string,priority:int,confidence:double,base:boolean>>"
-    walked = F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("b")),
-        F.struct(F.lit(-1).cast("bigint").alias("at"), F.from_json(F.lit("[]"), hit).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + spaces(x["b"]) + spaces(x["m"])).cast("bigint").alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + spaces(x["b"])).cast("bigint").alias("start"),
-                (acc["at"] + spaces(x["b"]) + spaces(x["m"]) + 1).cast("bigint").alias("end"),
-                rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), rule["base"].alias("base"),
-            ))).cast(hit).alias("out"),
+    words = F.split(F.regexp_replace(norm, around, F.lit(f"{_MARK}$0")), " ")  # the first is before the text's first space
+    starts = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit(_MARK)), i - 1)), lambda i: i.isNotNull())
+    hits = F.transform(
+        F.arrays_zip(starts.alias("s"), matches.alias("m")),
+        lambda x: F.struct(
+            x["s"].cast("bigint").alias("start"),
+            (x["s"] + F.length(x["m"]) - F.length(F.replace(x["m"], F.lit(" "), F.lit(""))) + 1).cast("bigint").alias("end"),
+            rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), rule["base"].alias("base"),
         ),
-        lambda acc: acc["out"],
     )
-    return F.when(F.rlike(norm, around), walked).otherwise(F.from_json(F.lit("[]"), hit))
+    return F.when(F.rlike(norm, around), hits.cast(_HIT)).otherwise(F.from_json(F.lit("[]"), _HIT))
+
+
+def _suppressed(found: str, n_words: str) -> Column:
+    """Those of the hits, sorted, that no other contains with a higher priority or, of equal priority, by being longer.
+
+    A hit that contains another begins at most as many words before it as the
+    longest has, and those are a slice of the sorted hits, found by how many
+    begin before each word: in the sorted list of hits and words, a word's place
+    less its number.
+    """
+    start = lambda s, kind: F.struct(s.cast("bigint").alias("at"), F.lit(kind).alias("kind"))
+    marks = F.array_sort(F.concat(F.transform(found, lambda x: start(x["start"], 1)), F.transform(F.sequence(F.lit(0), F.col(n_words) + 1), lambda w: start(w, 0))))
+    before = F.transform(F.filter(F.transform(marks, lambda m, i: F.when(m["kind"] == 0, i)), lambda i: i.isNotNull()), lambda i, w: i - w)
+    longest = F.array_max(F.transform(found, lambda x: x["end"] - x["start"]))
+
+    def above(x: Column, y: Column) -> Column:
+        longer = (y["priority"] == x["priority"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+        return (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((y["priority"] > x["priority"]) | longer)
+
+    def beside(x: Column, at: Column) -> Column:
+        low = F.get(at["before"], F.greatest(x["start"] - at["longest"], F.lit(0)).cast("int"))
+        return F.slice(found, low + 1, F.get(at["before"], (x["start"] + 1).cast("int")) - low)
+
+    # the counts are made once for a text, as an array of one that a lambda goes over
+    once = F.array(F.struct(before.alias("before"), longest.alias("longest")))
+    kept = F.flatten(F.transform(once, lambda at: F.filter(found, lambda x: ~F.exists(beside(x, at), lambda y: above(x, y)))))
+    return F.when(F.size(found) > 1, kept).otherwise(F.col(found))
 
 
 #: No signature rule can match a text without this.
@@ -197,16 +220,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     words = text.select("doc_id", F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.col("text").rlike(GATE) if rules is None else F.lit(True), F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(LOWER_WORD), F.lit(0)), " "), F.lit(" "))).alias("norm"))
     gated = F.filter(table, lambda r: F.contains(F.col("norm"), r["keyword"]))
-    found = F.flatten(F.transform(gated, lambda r: _found(F.col("norm"), r)))
-    none = "array<struct<start:bigint,end:bigint,label:string,priority:int,confidence:double,base:boolean>>"
-    hits = words.select("doc_id", "n_words", F.coalesce(F.when(F.col("norm").isNotNull(), found), F.from_json(F.lit("[]"), none)).alias("found"))
-
-    def above(x: Column, y: Column) -> Column:
-        longer = (y["priority"] == x["priority"]) & (y["end"] - y["start"] > x["end"] - x["start"])
-        return (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & ((y["priority"] > x["priority"]) | longer)
-
-    kept = F.filter("found", lambda x: ~F.exists(F.col("found"), lambda y: above(x, y)))
-    return hits.withColumn("kept", kept)
+    found = F.array_sort(F.flatten(F.transform(gated, lambda r: _found(F.col("norm"), r))))
+    hits = words.select("doc_id", "n_words", F.coalesce(F.when(F.col("norm").isNotNull(), found), F.from_json(F.lit("[]"), _HIT)).alias("found"))
+    return hits.withColumn("kept", _suppressed("found", "n_words"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
