@@ -79,6 +79,14 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), pearson(F.col("rank_x"), F.col("rank_y")).alias("rho"))
 
 
+def delta_correlation(rows: DataFrame, keys: list[str], condition: str, baseline: str, x: str, y: str) -> DataFrame:
+    """condition, n, r, rho: Pearson and Spearman correlation of the paired deltas of x and of y against the baseline, over the keys that have both."""
+    a, b = (paired_delta(rows, keys, condition, baseline, v).select(*keys, condition, F.col("delta").alias(d)) for v, d in ((x, "_dx"), (y, "_dy")))
+    both = a.join(b, [*keys, condition])
+    linear = both.groupBy(condition).agg(F.count("*").alias("n"), pearson(F.col("_dx"), F.col("_dy")).alias("r"))
+    return linear.join(spearman(both, [condition], "_dx", "_dy").select(condition, "rho"), condition, "left")
+
+
 def bootstrap_mean(df: DataFrame, keys: list[str], id_column: str, value: str, replicates: int = 10_000, seed: int = 20260823) -> DataFrame:
     """keys, n, mean, low, high: 95 % interval of the mean from a Poisson bootstrap.
 

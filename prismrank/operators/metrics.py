@@ -166,6 +166,13 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)))
 
 
+def overlap_summary(pairs: DataFrame, by: str) -> DataFrame:
+    """by, n, jaccard, shared, identical of pairs(by, ids, other), two ordered lists each: mean overlap as a share of the union and as a number, and how many are the same list in the same order; for each `by` and, as pooled, for all. Pairs of empty lists have no share."""
+    each = pairs.select(by, jaccard(F.col("ids"), F.col("other")).alias("_j"), F.size(F.array_intersect("ids", "other")).alias("_n"), (F.col("ids") == F.col("other")).cast("double").alias("_same"))
+    sums = each.rollup(by).agg(F.grouping(by).alias("_all"), F.count("*").alias("n"), F.avg("_j").alias("jaccard"), F.avg("_n").alias("shared"), F.avg("_same").alias("identical"))
+    return sums.select(F.when(F.col("_all") == 1, "pooled").otherwise(F.col(by)).alias(by), "n", "jaccard", "shared", "identical")
+
+
 def claim_status(support: Column, contradict: Column, failed: Column, threshold: float = 0.5) -> Column:
     """FAILED, INCONSISTENT, SUPPORTED, CONTRADICTED or UNSUPPORTED from the largest probabilities of a claim's checks."""
     yes, no = support >= threshold, contradict >= threshold

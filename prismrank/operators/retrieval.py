@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 
 from prismrank.operators import postings
 
-#: Rows of a corpus shard and of a query block that meet in one task.
-SHARD_ROWS, BLOCK_QUERIES = 50_000, 2_048
+#: Rows and bytes of a corpus shard, and rows of a query block, that meet in one task.
+SHARD_ROWS, SHARD_BYTES, BLOCK_QUERIES = 50_000, 1 << 26, 2_048
 
 
 def top_k(scored: DataFrame, k: int, tie: str) -> DataFrame:
@@ -23,13 +23,27 @@ def top_k(scored: DataFrame, k: int, tie: str) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _sound(df: DataFrame, key: str) -> DataFrame:
+    """Rows with an id and a vector without null parts."""
+    return df.filter(F.col(key).isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+
+
+def _n_shards(corpus: DataFrame) -> int:
+    """Shards of bounded rows and, as vectors may be wide, bounded bytes."""
+    seen = corpus.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    return max(1, math.ceil(seen["n"] / min(SHARD_ROWS, max(1, SHARD_BYTES // (8 * (seen["width"] or 1))))))
+
+
 def dense(corpus: DataFrame, queries: DataFrame, k: int, cosine: bool = False, keep_self: bool = False) -> DataFrame:
     """query_id, rank, doc_id, score: exact inner product, or cosine, of corpus(doc_id, v) and queries(query_id, v).
 
     Shards of the corpus meet blocks of the queries, each pair in one task, by
     one matrix product and a local top k; only k rows a query leave a task.
+    Vectors have one width; rows without id or vector, or with a null part, are
+    left out.
     """
-    shards, blocks = max(1, math.ceil(corpus.count() / SHARD_ROWS)), max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    corpus, queries = _sound(corpus, "doc_id"), _sound(queries, "query_id")
+    shards, blocks = _n_shards(corpus), max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -64,9 +78,11 @@ def max_sim(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Late interaction: corpus(doc_id, v) and queries(query_id, v) have a row for each token vector. A document's score sums, over the query's tokens, the best inner product with any of its tokens.
 
     Shards hold whole documents, so the maxima are taken where the matrix
-    product is, and only k rows a query leave a task.
+    product is, and only k rows a query leave a task. Rows without id or vector,
+    or with a null part, are left out.
     """
-    shards, blocks = max(1, math.ceil(corpus.count() / SHARD_ROWS)), max(1, math.ceil(queries.count() / BLOCK_QUERIES))
+    corpus, queries = _sound(corpus, "doc_id"), _sound(queries, "query_id")
+    shards, blocks = _n_shards(corpus), max(1, math.ceil(queries.count() / BLOCK_QUERIES))
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")

@@ -64,9 +64,17 @@ def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT c AS condition, count(*) AS n, round(corr(v - bv, w - bw), 6) AS r FROM p JOIN b USING (o_custkey) WHERE c <> '1-URGENT' GROUP BY c""")
 def paired_delta_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("condition")).agg(F.avg("o_totalprice").alias("v"), F.count("*").cast("double").alias("w"))
-    base = per.filter("condition = '1-URGENT'").select("o_custkey", F.col("v").alias("bv"), F.col("w").alias("bw"))
-    both = per.filter("condition <> '1-URGENT'").join(base, "o_custkey")
-    return both.groupBy("condition").agg(F.count("*").alias("n"), F.round(A.pearson(F.col("v") - F.col("bv"), F.col("w") - F.col("bw")), 6).alias("r"))
+    return A.delta_correlation(per, ["o_custkey"], "condition", "1-URGENT", "v", "w").select("condition", "n", F.round("r", 6).alias("r"))
+
+
+@register("""WITH p AS (SELECT o_custkey, o_orderpriority AS c, round(avg(o_totalprice), 2) AS v, count(*)::DOUBLE AS w FROM orders GROUP BY ALL), d AS (SELECT p.c, round(p.v - b.v, 2) AS x, p.w - b.w AS y FROM p JOIN p b ON b.o_custkey = p.o_custkey AND b.c = '1-URGENT' WHERE p.c <> '1-URGENT'),
+r AS (SELECT *, rank() OVER (PARTITION BY c ORDER BY x) + (count(*) OVER (PARTITION BY c, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY c ORDER BY y) + (count(*) OVER (PARTITION BY c, y) - 1) / 2.0 AS ry FROM d)
+SELECT c AS condition, count(*) AS n, round(corr(x, y), 5) AS r, round(corr(rx, ry), 5) AS rho FROM r GROUP BY c""")
+def paired_delta_associations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear and rank correlation of the differences from the urgent orders of the same customer, in price and in number."""
+    per = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("condition")).agg(F.round(F.avg("o_totalprice"), 2).alias("v"), F.count("*").cast("double").alias("w"))
+    found = A.delta_correlation(per, ["o_custkey"], "condition", "1-URGENT", "v", "w")
+    return found.select("condition", "n", F.round("r", 5).alias("r"), F.round("rho", 5).alias("rho"))
 
 
 @register("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY event_type")

@@ -330,6 +330,20 @@ def jaccard_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("query_id", F.size(F.array_intersect("ids", "other")).cast("long").alias("n_shared"), F.round(metrics.jaccard(F.col("ids"), F.col("other")), 6).alias("jaccard"), (F.col("ids") == F.col("other")).alias("same_order"))
 
 
+@register(f"""WITH {_SCORED}, b AS ({_BM25}),
+l AS (SELECT 'dense' AS retriever, query_id, list(doc_id ORDER BY rank) AS ids FROM pool GROUP BY query_id UNION ALL SELECT 'bm25', query_id, list(doc_id ORDER BY rank) FROM b GROUP BY query_id),
+n AS (SELECT *, lead(ids) OVER (PARTITION BY retriever ORDER BY query_id) AS other FROM l),
+p AS (SELECT retriever, len(list_intersect(ids, other)) AS shared, len(list_intersect(ids, other)) / len(list_distinct(ids || other)) AS jaccard, CASE WHEN ids = other THEN 1.0 ELSE 0.0 END AS same FROM n WHERE other IS NOT NULL)
+SELECT CASE WHEN grouping(retriever) = 1 THEN 'pooled' ELSE retriever END AS retriever, count(*) AS n, round(avg(jaccard), 6) AS jaccard, round(avg(shared), 6) AS shared, round(avg(same), 6) AS identical FROM p GROUP BY ROLLUP (retriever)""")
+def overlap_by_retriever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's list against the next one's, by retriever and pooled."""
+    found = dense_top20(spark, sf_dir).withColumn("retriever", F.lit("dense")).unionByName(bm25_top20(spark, sf_dir).withColumn("retriever", F.lit("bm25")))
+    lists = found.groupBy("retriever", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda r: r["doc_id"]).alias("ids"))
+    at = V.numbered(lists, ["retriever", "query_id"], "at")
+    pairs = at.join(at.select((F.col("at") - 1).alias("at"), "retriever", F.col("ids").alias("other")), ["at", "retriever"])
+    return metrics.overlap_summary(pairs, "retriever").withColumns({c: F.round(c, 6) for c in ("jaccard", "shared", "identical")})
+
+
 @register("SELECT doc_id, digest FROM (SELECT doc_id, sha256('sample|' || doc_id) AS digest FROM documents) ORDER BY digest, doc_id LIMIT 100")
 def hash_ranked_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.hash_ranked_sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "sample", 100).select("doc_id", "digest")

@@ -22,13 +22,24 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, from spark.checkpoint.dir. A local session without one has a temporary folder; on a cluster it must be set."""
+    """A new path in the application's part of the folder that driver and executors share. What is there stays until clear() is called."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has written in between. DataFrames that come from it can't be read any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_shared(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _shared(spark: SparkSession) -> str:
+    """The application's folder in spark.checkpoint.dir. A local session without one has a temporary folder; on a cluster it must be set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = _local()
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

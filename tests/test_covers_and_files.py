@@ -2,12 +2,13 @@
 
 import itertools
 import json
+import os
 import random
 import time
 
 import pytest
 
-from prismrank.operators import aggregate, metrics, workflow
+from prismrank.operators import aggregate, metrics, retrieval, workflow
 from prismrank.sources import files
 
 
@@ -84,3 +85,26 @@ def test_ranks_and_positions_in_small_ranges(spark, rows):
     sizes = [r["count"] for r in workflow.ranged(df, ["i"], rows).groupBy("_range").count().collect()]
     assert max(sizes) <= max(3 * rows, 20) and sum(sizes) == 301
     assert workflow.numbered(df.limit(0), "i").count() == aggregate.average_rank(df.limit(0), ["k"], "x", "r").count() == 0
+
+
+def test_what_is_written_in_between_can_be_removed(spark):
+    held = files.kept(spark.range(5), "held")
+    folder = held.inputFiles()[0].split("/held-")[0]
+    assert spark.sparkContext.applicationId in folder and held.count() == 5
+    files.clear(spark)
+    assert not os.path.exists(folder.removeprefix("file://"))
+    assert files.kept(spark.range(3), "held").count() == 3
+
+
+def test_wide_and_unsound_vectors(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(9)] + [(None, [9.0, 9.0]), (20, None), (21, [None, 9.0])]
+    corpus = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    asks = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id long, v array<double>")
+    small = retrieval.SHARD_BYTES
+    try:
+        retrieval.SHARD_BYTES = 32  # two vectors of two parts
+        assert retrieval._n_shards(retrieval._sound(corpus, "doc_id")) == 5
+        assert [(r["query_id"], r["doc_id"]) for r in retrieval.dense(corpus, asks, 3).orderBy("rank").collect()] == [(1, 8), (1, 7), (1, 6)]
+        assert [(r["query_id"], r["doc_id"]) for r in retrieval.max_sim(corpus, asks, 2).orderBy("rank").collect()] == [(1, 8), (1, 7)]
+    finally:
+        retrieval.SHARD_BYTES = small
