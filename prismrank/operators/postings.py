@@ -28,6 +28,8 @@ from prismrank.sources.files import kept, spread
 
 #: Documents of a part and of a block, and words after which a part ends early.
 PART_DOCS, BLOCK_DOCS, PART_WORDS = 8_192, 64, 4_000_000
+#: Weights of terms in queries up to which they go to all tasks, and a part's postings are scored as matrices; beyond, terms are joined.
+FEW_WEIGHTS = 1_000_000
 #: Blocks of a query that are scored first, to learn what score counts.
 FIRST_BLOCKS = 4
 #: More than sums of a score's parts differ by their order; scores are rounded to nine places.
@@ -135,6 +137,60 @@ def scored(index: Index, weighted: DataFrame, blocks: DataFrame) -> DataFrame:
     return each.groupBy("query_id", F.col("p.ids").alias("doc_id")).agg(F.round(F.sum(part), 9).alias("score")).filter("score <> 0")  # the order of the sums must not break ties
 
 
+def best_of(index: Index, weighted: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """query_id, doc_id, score: the k best of scored(), and as long as the weights are few (counted first) no more than k of a part and query leave a task."""
+    if weighted.limit(FEW_WEIGHTS + 1).count() > FEW_WEIGHTS:
+        return best(scored(index, weighted, blocks), k).select("query_id", "doc_id", "score")
+    asked = weighted.toArrow()
+    names, term = np.unique(np.array(asked["term"].to_pylist(), object), return_inverse=True) if asked.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+    number = {t: i for i, t in enumerate(names)}
+    q, w = asked["query_id"].to_numpy(), asked["w"].to_numpy()
+    order = np.argsort(q, kind="stable")
+    ids, starts = np.unique(q[order], return_index=True)
+    of = {i: (term[rows], w[rows]) for i, rows in zip(ids.tolist(), np.split(order, starts[1:]), strict=True)} if len(ids) else {}
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+    k1, b, avgdl = index.k1, index.b, index.avgdl or 1.0
+
+    def part(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        lists = left["lists"].combine_chunks()
+        entries = lists.flatten()
+        block, ids, tf, dl = (entries.field(i) for i in range(4))
+        size = ids.value_lengths().to_numpy()
+        terms = np.repeat(np.repeat(np.array([number[t] for t in left["term"].to_pylist()]), lists.value_lengths().to_numpy()), size)
+        blocks_of, ids, tf, dl = np.repeat(block.to_numpy(), size), ids.flatten().to_numpy(), tf.flatten().to_numpy(), dl.flatten().to_numpy()
+        impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+        by_block = np.argsort(blocks_of, kind="stable")
+        wanted, asks = right["block"].to_numpy(), right["query_id"].to_numpy()
+        by_wanted = np.argsort(wanted, kind="stable")
+        place, found = np.full(len(number), -1), []
+        for one in np.unique(wanted).tolist():
+            rows = by_block[slice(*np.searchsorted(blocks_of[by_block], [one, one + 1]))]
+            there, at = np.unique(terms[rows], return_inverse=True)
+            docs, doc = np.unique(ids[rows], return_inverse=True)
+            parts = np.zeros((len(there), len(docs)))
+            np.add.at(parts, (at, doc), impact[rows])
+            place[there] = np.arange(len(there))
+            for query in asks[by_wanted[slice(*np.searchsorted(wanted[by_wanted], [one, one + 1]))]].tolist():
+                mine, weight = of[query]
+                at = place[mine]
+                score = np.round(weight[at >= 0] @ parts[at[at >= 0]], 9)  # the order of the sums must not break ties
+                hit = np.flatnonzero(score)
+                found.append((np.full(len(hit), query), docs[hit], score[hit]))
+            place[there] = -1
+        query, doc, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((doc, -score, query))
+        query, doc, score = query[order], doc[order], score[order]
+        first = np.flatnonzero(np.diff(query, prepend=query[0] - 1)) if len(query) else np.zeros(0, np.int64)
+        few = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+        return pa.Table.from_arrays([pa.array(query[few], pa.int64()), pa.array(doc[few], pa.int64()), pa.array(score[few], pa.float64())], schema=schema)
+
+    lists = index.lists.select("term", "part", "lists").join(weighted.select("term").distinct(), "term", "left_semi")
+    pairs = lists.groupBy("part").cogroup(blocks.select(F.col("query_id").cast("long"), "part", "block").groupBy("part"))
+    return best(pairs.applyInArrow(part, "query_id long, doc_id long, score double"), k).select("query_id", "doc_id", "score")
+
+
 def best(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id")))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -144,7 +200,7 @@ def needed(index: Index, weighted: DataFrame, bound: DataFrame, k: int) -> DataF
     """query_id, part, block, bound, reads: whether documents of the block can be among the query's k best."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "part", "block"))
     first = bound.withColumn("place", place).filter(F.col("place") <= FIRST_BLOCKS)
-    found = best(scored(index, weighted, first), k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
+    found = best_of(index, weighted, first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     floors = found.filter((F.col("n") == k) & (F.col("floor") > 0)).select("query_id", "floor")
     return bound.join(floors, "query_id", "left").withColumn("reads", F.col("bound") + SLACK >= F.coalesce("floor", F.lit(0.0))).drop("floor")
 
@@ -158,8 +214,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """
     weighted = kept(weights(index, queries), "weights")
     bound = kept(bounds(index, weighted), "bounds")
-    hits = scored(index, weighted, needed(index, weighted, bound, k).filter("reads"))
-    found = kept(best(hits, k).select("query_id", "doc_id", "score"), "best")
+    found = kept(best_of(index, weighted, needed(index, weighted, bound, k).filter("reads"), k), "best")
     above = found.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("above"))
     lacking = queries.select("query_id").distinct().join(above, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).select("query_id")
     return _ranked(found.unionByName(_unmatched(index, weighted, bound, found, lacking, k)), k)
