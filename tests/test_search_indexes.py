@@ -45,8 +45,9 @@ def held(spark, corpus, queries, k, **options):
         assert [s for _, s in got.get(i, [])] == pytest.approx([s for _, s in want], abs=1e-8)
 
 
-@pytest.mark.parametrize(("part", "block"), [(40, 8), (8192, 64), (3, 1)])
-def test_bm25_against_the_formula(spark, part, block):
+@pytest.mark.parametrize(("part", "block", "few"), [(40, 8, 0), (40, 8, 10**6), (8192, 64, 10**6), (3, 1, 10**6)])
+def test_bm25_against_the_formula(spark, monkeypatch, part, block, few):
+    monkeypatch.setattr(postings, "FEW_WEIGHTS", few)
     corpus = zipf_corpus(300)
     rng = random.Random(2)
     queries = [(i, " ".join(rng.choice([f"w{rng.randrange(40)}", "often", "never"]) for _ in range(rng.randrange(0, 7)))) for i in range(15)] + [(99, None), (98, "often"), (97, "W3 w3 often")]
