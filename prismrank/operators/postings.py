@@ -32,7 +32,7 @@ PART_DOCS, BLOCK_DOCS, PART_WORDS = 8_192, 64, 4_000_000
 FEW_WEIGHTS = 1_000_000
 #: Blocks of a query that are scored first, to learn what score counts.
 FIRST_BLOCKS = 4
-#: More than sums of a score's parts differ by their order; scores are rounded to nine places.
+#: More than sums of a score's parts differ by their order; scores are compared in nine places (`nine`), and otherwise as they are, so that who rounds them further does it once.
 SLACK = 1e-8
 
 _LIST = pa.struct([("block", pa.int32()), ("ids", pa.list_(pa.int64())), ("tf", pa.list_(pa.int32())), ("dl", pa.list_(pa.int32()))])
@@ -127,20 +127,20 @@ def bounds(index: Index, weighted: DataFrame) -> DataFrame:
 
 
 def scored(index: Index, weighted: DataFrame, blocks: DataFrame) -> DataFrame:
-    """query_id, doc_id, score of the documents in blocks(query_id, part, block) that have a word of their query; scores other than 0."""
+    """query_id, doc_id, nine, score of the documents in blocks(query_id, part, block) that have a word of their query; scores other than 0 in nine places."""
     wanted = blocks.select("query_id", "part", "block").join(weighted, "query_id")
     lists = index.lists.select("term", "part", "lists").join(wanted.select("term", "part").distinct(), ["term", "part"], "left_semi")
     lists = lists.select("term", "part", F.explode("lists").alias("list")).select("term", "part", "list.*")
     each = wanted.join(lists, ["term", "part", "block"]).select("query_id", "w", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p"))
     tf: Column = F.col("p.tf")
     part = F.col("w") * tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * F.col("p.dl") / F.lit(index.avgdl)))
-    return each.groupBy("query_id", F.col("p.ids").alias("doc_id")).agg(F.round(F.sum(part), 9).alias("score")).filter("score <> 0")  # the order of the sums must not break ties
+    return each.groupBy("query_id", F.col("p.ids").alias("doc_id")).agg(F.sum(part).alias("score")).withColumn("nine", F.round("score", 9)).filter("nine <> 0").select("query_id", "doc_id", "nine", "score")  # the order of the sums must not break ties
 
 
 def best_of(index: Index, weighted: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score: the k best of scored(), and as long as the weights are few (counted first) no more than k of a part and query leave a task."""
+    """query_id, doc_id, nine, score: the k best of scored(), and as long as the weights are few (counted first) no more than k of a part and query leave a task."""
     if weighted.limit(FEW_WEIGHTS + 1).count() > FEW_WEIGHTS:
-        return best(scored(index, weighted, blocks), k).select("query_id", "doc_id", "score")
+        return best(scored(index, weighted, blocks), k, "nine").select("query_id", "doc_id", "nine", "score")
     asked = weighted.toArrow()
     names, term = np.unique(np.array(asked["term"].to_pylist(), object), return_inverse=True) if asked.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
     number = {t: i for i, t in enumerate(names)}
@@ -148,7 +148,7 @@ def best_of(index: Index, weighted: DataFrame, blocks: DataFrame, k: int) -> Dat
     order = np.argsort(q, kind="stable")
     ids, starts = np.unique(q[order], return_index=True)
     of = {i: (term[rows], w[rows]) for i, rows in zip(ids.tolist(), np.split(order, starts[1:]), strict=True)} if len(ids) else {}
-    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("nine", pa.float64()), ("score", pa.float64())])
     k1, b, avgdl = index.k1, index.b, index.avgdl or 1.0
 
     def part(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -175,24 +175,25 @@ def best_of(index: Index, weighted: DataFrame, blocks: DataFrame, k: int) -> Dat
             for query in asks[by_wanted[slice(*np.searchsorted(wanted[by_wanted], [one, one + 1]))]].tolist():
                 mine, weight = of[query]
                 at = place[mine]
-                score = np.round(weight[at >= 0] @ parts[at[at >= 0]], 9)  # the order of the sums must not break ties
-                hit = np.flatnonzero(score)
-                found.append((np.full(len(hit), query), docs[hit], score[hit]))
+                score = weight[at >= 0] @ parts[at[at >= 0]]
+                nine = np.round(score, 9)  # the order of the sums must not break ties
+                hit = np.flatnonzero(nine)
+                found.append((np.full(len(hit), query), docs[hit], nine[hit], score[hit]))
             place[there] = -1
-        query, doc, score = (np.concatenate(c) for c in zip(*found, strict=True))
-        order = np.lexsort((doc, -score, query))
-        query, doc, score = query[order], doc[order], score[order]
+        query, doc, nine, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((doc, -nine, query))
+        query, doc, nine, score = query[order], doc[order], nine[order], score[order]
         first = np.flatnonzero(np.diff(query, prepend=query[0] - 1)) if len(query) else np.zeros(0, np.int64)
         few = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
-        return pa.Table.from_arrays([pa.array(query[few], pa.int64()), pa.array(doc[few], pa.int64()), pa.array(score[few], pa.float64())], schema=schema)
+        return pa.Table.from_arrays([pa.array(query[few], pa.int64()), pa.array(doc[few], pa.int64()), pa.array(nine[few], pa.float64()), pa.array(score[few], pa.float64())], schema=schema)
 
     lists = index.lists.select("term", "part", "lists").join(weighted.select("term").distinct(), "term", "left_semi")
     pairs = lists.groupBy("part").cogroup(blocks.select(F.col("query_id").cast("long"), "part", "block").groupBy("part"))
-    return best(pairs.applyInArrow(part, "query_id long, doc_id long, score double"), k).select("query_id", "doc_id", "score")
+    return best(pairs.applyInArrow(part, "query_id long, doc_id long, nine double, score double"), k, "nine").select("query_id", "doc_id", "nine", "score")
 
 
-def best(scores: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id")))
+def best(scores: DataFrame, k: int, by: str = "score") -> DataFrame:
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(by), F.asc("doc_id")))
     return scores.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
@@ -200,7 +201,7 @@ def needed(index: Index, weighted: DataFrame, bound: DataFrame, k: int) -> DataF
     """query_id, part, block, bound, reads: whether documents of the block can be among the query's k best."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("bound"), "part", "block"))
     first = bound.withColumn("place", place).filter(F.col("place") <= FIRST_BLOCKS)
-    found = best_of(index, weighted, first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
+    found = best_of(index, weighted, first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("nine").alias("floor"))
     floors = found.filter((F.col("n") == k) & (F.col("floor") > 0)).select("query_id", "floor")
     return bound.join(floors, "query_id", "left").withColumn("reads", F.col("bound") + SLACK >= F.coalesce("floor", F.lit(0.0))).drop("floor")
 
@@ -215,13 +216,13 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     weighted = kept(weights(index, queries), "weights")
     bound = kept(bounds(index, weighted), "bounds")
     found = kept(best_of(index, weighted, needed(index, weighted, bound, k).filter("reads"), k), "best")
-    above = found.filter("score > 0").groupBy("query_id").agg(F.count("*").alias("above"))
+    above = found.filter("nine > 0").groupBy("query_id").agg(F.count("*").alias("above"))
     lacking = queries.select("query_id").distinct().join(above, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).select("query_id")
     return _ranked(found.unionByName(_unmatched(index, weighted, bound, found, lacking, k)), k)
 
 
 def _unmatched(index: Index, weighted: DataFrame, bound: DataFrame, found: DataFrame, lacking: DataFrame, k: int) -> DataFrame:
-    """query_id, doc_id, score 0: for queries with fewer than k positive documents, the first by doc_id of those that score 0.
+    """query_id, doc_id, nine and score 0: for queries with fewer than k positive documents, the first by doc_id of those that score 0.
 
     Where no term weighs less than 0, a lacking query has fewer than k scores
     other than 0, all of them found; so k of the first 2 k documents are enough.
@@ -235,11 +236,11 @@ def _unmatched(index: Index, weighted: DataFrame, bound: DataFrame, found: DataF
         hit = kept(scored(index, weighted, bound.join(lacking, "query_id", "left_semi")).select("query_id", "doc_id"), "hit")
         runs = lacking.join(hit.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.coalesce("n", F.lit(0)) + k) / PART_DOCS))).alias("run"))
         every = runs.join(numbered(ids, "doc_id", "place").select("doc_id", F.floor(F.col("place") / PART_DOCS).alias("run")), "run").select("query_id", "doc_id")
-    return every.join(hit.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    return every.join(hit.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").select("query_id", "doc_id", F.lit(0.0).alias("nine"), F.lit(0.0).alias("score"))
 
 
 def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    return best(scores, k).select("query_id", "rank", "doc_id", "score")
+    return best(scores, k, "nine").select("query_id", "rank", "doc_id", "score")
 
 
 def skipped(index: Index, queries: DataFrame, k: int) -> DataFrame:

@@ -60,6 +60,16 @@ def test_bm25_where_words_weigh_nothing_or_less(spark, corpus):
     held(spark, corpus, [(1, "x"), (2, "a"), (3, "a b c"), (4, "q"), (5, "x y")], 4)
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_bm25_scores_are_not_rounded_twice(spark, monkeypatch, few):
+    """Nine places only compare; a score that was rounded to them and then to six could end in another digit."""
+    monkeypatch.setattr(postings, "FEW_WEIGHTS", few)
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a x y"), (3, "p q"), (4, "r s t u"), (5, "v")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in postings.search(postings.build(docs), spark.createDataFrame([(1, "a b")], "query_id long, text string"), 2).collect()}
+    idf, weigh = lambda df: math.log(5 - df + 0.5) - math.log(df + 0.5), lambda dl: 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / 3))
+    assert got == {1: pytest.approx((idf(2) + idf(1)) * weigh(5), abs=1e-13), 2: pytest.approx(idf(2) * weigh(3), abs=1e-13)}
+
+
 def test_blocks_are_skipped(spark):
     corpus = [(i, "often " + ("rare rare" if i in (100, 101, 102) else f"w{i % 7} w{i % 11}")) if i % 2 == 0 or i > 97 else (i, "other words here") for i in range(400)]
     index = postings.build(spark.createDataFrame(corpus, "doc_id long, text string"), part_docs=64, block_docs=4)
