@@ -87,37 +87,78 @@ def delta_correlation(rows: DataFrame, keys: list[str], condition: str, baseline
     return linear.join(spearman(both, [condition], "_dx", "_dy").select(condition, "rho"), condition, "left")
 
 
+#: Rows whose weights are drawn at once and replicates they are drawn for, so that a tile stays in a core's cache.
+TILE_ROWS, TILE_REPLICATES = 32, 2_500
+_POISSON = np.cumsum([np.exp(-1) / float(np.prod(range(1, i + 1) or [1])) for i in range(12)])
+
+
+def _by_leading_bits() -> np.ndarray:
+    """The Poisson weight that the first 16 of a hash's bits decide; 255 where they leave it open."""
+    least = np.arange(1 << 16, dtype=np.uint64) << np.uint64(48)
+    low, high = (np.searchsorted(_POISSON, (z >> np.uint64(11)) / float(1 << 53)) for z in (least, least | np.uint64((1 << 48) - 1)))
+    return np.where(low == high, low, 255).astype(np.uint8)
+
+
+def poisson_weights(hashes: np.ndarray, first: int, n: int) -> np.ndarray:
+    """A weight for each hash and each of n replicates from the first on: 53 bits of hash and replicate, mixed, looked up in the distribution. Nearly all are known by 16 bits."""
+    z = hashes[:, None] + (np.arange(first, first + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
+    shifted = np.empty_like(z)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        np.right_shift(z, np.uint64(shift), out=shifted)
+        np.bitwise_xor(z, shifted, out=z)
+        np.multiply(z, np.uint64(by), out=z)
+    w = _LEADING[np.right_shift(z, np.uint64(48), out=shifted).view(np.int64)]  # the last step leaves the first 31 bits as they are
+    at = np.flatnonzero(w.ravel() == 255)
+    left = z.ravel()[at]
+    w.ravel()[at] = np.searchsorted(_POISSON, ((left ^ (left >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53))
+    return w
+
+
+_LEADING = _by_leading_bits()
+
+
 def bootstrap_mean(df: DataFrame, keys: list[str], id_column: str, value: str, replicates: int = 10_000, seed: int = 20260823) -> DataFrame:
     """keys, n, mean, low, high: 95 % interval of the mean from a Poisson bootstrap.
 
     A row's weight in each replicate comes from the hash of its id, so tasks sum
     their own rows for all replicates and only the sums meet; a lost task gives
-    the same weights again. For large groups this equals resampling rows.
+    the same weights again. Rows of one id, in several groups, share the
+    weights, which are drawn once for them. For large groups this equals
+    resampling rows.
     """
-    cdf = np.cumsum([np.exp(-1) / float(np.prod(range(1, i + 1) or [1])) for i in range(12)])
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
     given = df.filter(F.col(value).isNotNull()).select(F.to_json(group).alias("g"), F.xxhash64(id_column, F.lit(seed)).alias("h"), F.col(value).cast("double").alias("x"))
     schema = pa.schema([("g", pa.string()), ("replicate", pa.int32()), ("w", pa.float64()), ("wx", pa.float64())])
 
     def over(batches):
         sums: dict[str, np.ndarray] = {}
-        step = np.arange(replicates, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            gs, hs, xs = batch.column(0).to_pylist(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()
-            for g in set(gs):
-                at = np.array([i for i, o in enumerate(gs) if o == g])
-                for i in range(0, len(at), 2048):
-                    part = at[i : i + 2048]
-                    z = hs[part, None] + step[None]
-                    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    w = np.searchsorted(cdf, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)).astype(np.float64)
-                    sums[g] = sums.get(g, 0) + np.stack([w.sum(0), xs[part] @ w])
+            coded = batch.column(0).dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            hashes, of = np.unique(batch.column(1).to_numpy().view(np.uint64), return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            of, code, x = of[order], code[order], batch.column(2).to_numpy()[order]
+            for g in names:
+                if g not in sums:
+                    sums[g] = np.zeros((2, replicates))
+            for i in range(0, len(hashes), TILE_ROWS):
+                rows = slice(*np.searchsorted(of, [i, i + TILE_ROWS]))
+                present, at = np.unique(code[rows], return_inverse=True)
+                parts = np.zeros((2, len(present), min(TILE_ROWS, len(hashes) - i)))  # of each group and hash: rows, and the sum of their values
+                np.add.at(parts[0], (at, of[rows] - i), 1.0)
+                np.add.at(parts[1], (at, of[rows] - i), x[rows])
+                parts = parts.reshape(-1, parts.shape[2])
+                for start in range(0, replicates, TILE_REPLICATES):
+                    end = min(replicates, start + TILE_REPLICATES)
+                    s = (parts @ poisson_weights(hashes[i : i + TILE_ROWS], start, end - start).astype(np.float64)).reshape(2, len(present), -1)
+                    for j, g in enumerate(present.tolist()):
+                        sums[names[g]][:, start:end] += s[:, j]
         for g, s in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([g] * replicates), pa.array(range(replicates), pa.int32()), pa.array(s[0]), pa.array(s[1])], schema=schema)
 
     # few bytes a row and much work: dealt to all cores
-    each = given.repartition(df.sparkSession.sparkContext.defaultParallelism, "h").mapInArrow(over, "g string, replicate int, w double, wx double").groupBy("g", "replicate").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
+    dealt = given.repartition(df.sparkSession.sparkContext.defaultParallelism, "h").sortWithinPartitions("h")
+    each = dealt.mapInArrow(over, "g string, replicate int, w double, wx double").groupBy("g", "replicate").agg(F.try_divide(F.sum("wx"), F.sum("w")).alias("m"))
     interval = each.groupBy("g").agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("p"))
     plain = df.filter(F.col(value).isNotNull()).groupBy(F.to_json(group).alias("g"), *keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
     return plain.join(interval, "g").select(*keys, "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
