@@ -27,7 +27,7 @@ from prismrank.operators.workflow import numbered
 from prismrank.sources.files import kept, spread
 
 #: Documents of a part and of a block, and words after which a part ends early.
-PART_DOCS, BLOCK_DOCS, PART_WORDS = 8_192, 64, 4_000_000
+PART_DOCS, BLOCK_DOCS, PART_WORDS = 2_048, 64, 1_000_000
 #: Weights of terms in queries up to which they go to all tasks, and a part's postings are scored as matrices; beyond, terms are joined.
 FEW_WEIGHTS = 1_000_000
 #: Blocks of a query that are scored first, to learn what score counts.
@@ -162,17 +162,19 @@ def best_of(index: Index, weighted: DataFrame, blocks: DataFrame, k: int) -> Dat
         blocks_of, ids, tf, dl = np.repeat(block.to_numpy(), size), ids.flatten().to_numpy(), tf.flatten().to_numpy(), dl.flatten().to_numpy()
         impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
         by_block = np.argsort(blocks_of, kind="stable")
+        blocks_of = blocks_of[by_block]
         wanted, asks = right["block"].to_numpy(), right["query_id"].to_numpy()
         by_wanted = np.argsort(wanted, kind="stable")
+        wanted, asks = wanted[by_wanted], asks[by_wanted]
         place, found = np.full(len(number), -1), []
         for one in np.unique(wanted).tolist():
-            rows = by_block[slice(*np.searchsorted(blocks_of[by_block], [one, one + 1]))]
+            rows = by_block[slice(*np.searchsorted(blocks_of, [one, one + 1]))]
             there, at = np.unique(terms[rows], return_inverse=True)
             docs, doc = np.unique(ids[rows], return_inverse=True)
             parts = np.zeros((len(there), len(docs)))
             np.add.at(parts, (at, doc), impact[rows])
             place[there] = np.arange(len(there))
-            for query in asks[by_wanted[slice(*np.searchsorted(wanted[by_wanted], [one, one + 1]))]].tolist():
+            for query in asks[slice(*np.searchsorted(wanted, [one, one + 1]))].tolist():
                 mine, weight = of[query]
                 at = place[mine]
                 score = weight[at >= 0] @ parts[at[at >= 0]]
@@ -188,7 +190,8 @@ def best_of(index: Index, weighted: DataFrame, blocks: DataFrame, k: int) -> Dat
         return pa.Table.from_arrays([pa.array(query[few], pa.int64()), pa.array(doc[few], pa.int64()), pa.array(nine[few], pa.float64()), pa.array(score[few], pa.float64())], schema=schema)
 
     lists = index.lists.select("term", "part", "lists").join(weighted.select("term").distinct(), "term", "left_semi")
-    pairs = lists.groupBy("part").cogroup(blocks.select(F.col("query_id").cast("long"), "part", "block").groupBy("part"))
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes and much work, so not left to be merged by size
+    pairs = lists.repartition(n, "part").groupBy("part").cogroup(blocks.select(F.col("query_id").cast("long"), "part", "block").repartition(n, "part").groupBy("part"))
     return best(pairs.applyInArrow(part, "query_id long, doc_id long, nine double, score double"), k, "nine").select("query_id", "doc_id", "nine", "score")
 
 
