@@ -79,7 +79,8 @@ def first_column(df: DataFrame, *names: str) -> Column:
 def gold_groups(samples: DataFrame, sample: str, sections: str, labels: str) -> tuple[DataFrame, DataFrame]:
     """Of samples(sample, sections array, labels array): the documents (corpus_position, sample, section, label, text), a row for each section, numbered through in the order of samples and sections; and (sample, gold_ids), each sample's documents in order.
 
-    A sample whose sections and labels differ in number, or with a section
+    Only samples are put in order, with the numbers of their sections; a
+    section's position is its sample's first one and its place there. A sample whose sections and labels differ in number, or with a section
     that is null or blank, is an error when it is read. A sample without
     sections has no documents and an empty list.
     """
@@ -88,9 +89,11 @@ def gold_groups(samples: DataFrame, sample: str, sections: str, labels: str) ->
     fault = F.when(~F.size("sections").eqNullSafe(F.size("labels")), "sections and labels differ in number").when(blank, "a section is blank")
     sound = given.filter(F.when(fault.isNotNull(), F.raise_error(F.concat(F.lit("sample "), F.col("sample").cast("string"), F.lit(": "), fault)).cast("boolean")).otherwise(True))
     rows = sound.select("sample", F.posexplode(F.arrays_zip("sections", "labels")).alias("section", "x")).select("sample", "section", F.col("x.labels").alias("label"), X.strip(F.col("x.sections")).alias("text"))
-    documents = kept(numbered(rows, ["sample", "section"]), "documents")
-    ids = documents.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "corpus_position"))), lambda r: r["corpus_position"]).alias("gold_ids"))
-    groups = sound.select("sample").join(ids, "sample", "left").select("sample", F.coalesce("gold_ids", F.array().cast("array<bigint>")).alias("gold_ids"))
+    sizes = kept(sound.groupBy("sample").agg(F.sum(F.greatest(F.coalesce(F.size("sections"), F.lit(0)), F.lit(0))).alias("n")), "sizes")
+    starts = running(sizes, ["sample"], "n", "start")
+    place = F.row_number().over(W.partitionBy("sample").orderBy("section", "label", "text")) - 1
+    documents = rows.withColumn("place", place).alias("l").join(starts.alias("r"), F.col("l.sample").eqNullSafe(F.col("r.sample"))).select((F.col("start") + F.col("place")).alias("corpus_position"), "l.sample", "section", "label", "text")
+    groups = starts.select("sample", F.when(F.col("n") > 0, F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).otherwise(F.array().cast("array<bigint>")).alias("gold_ids"))
     return documents, groups
 
 
@@ -151,13 +154,15 @@ def grounding(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.bool_and(F.col("doc_id").isNotNull()).alias("all_grounded"), (F.countDistinct("doc_id") == F.count("*")).alias("distinct_grounded"))
 
 
-#: Rows of a range, about, as ranges follow samples.
-RANGE_ROWS = 1_000_000
+#: Rows of a range and bytes of its texts and lists, about, as ranges follow samples.
+RANGE_ROWS, RANGE_BYTES = 1_000_000, 1 << 26
 
 
 def ranged(df: DataFrame, order: list[str], rows: int = RANGE_ROWS) -> DataFrame:
-    """df, written once, sorted, in as many ranges of the order as make about so many rows each, with _range and the row's place in it, _place. Rows equal in the order are in one range."""
-    parts = max(1, math.ceil(df.count() / rows))
+    """df, written once, sorted, in as many ranges of the order as make about so many rows each, and fewer where rows are wide, with _range and the row's place in it, _place. Rows equal in the order are in one range."""
+    wide = [F.octet_length(c if kind in ("string", "binary") else F.to_json(F.struct(c))) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "struct", "map"))]
+    seen = df.agg(F.count("*").alias("n"), F.sum(sum((F.coalesce(w, F.lit(0)).cast("long") for w in wide), F.lit(0).cast("long"))).alias("bytes")).first()
+    parts = max(1, math.ceil(seen["n"] / rows), math.ceil((seen["bytes"] or 0) / RANGE_BYTES))
     at = F.monotonically_increasing_id()  # the partition, and in the lower 33 bits the row
     sorted_ = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return kept(sorted_.withColumn("_range", F.shiftright(at, 33)).withColumn("_place", at.bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
@@ -168,7 +173,16 @@ def numbered(df: DataFrame, order: str | list[str], out: str = "corpus_position"
     placed = ranged(df, [order] if isinstance(order, str) else order, rows)
     before = F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a range
     carried = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", before.alias("_before"))
-    return placed.join(carried, "_range").withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
+    return placed.join(F.broadcast(carried), "_range").withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop("_range", "_place", "_before")
+
+
+def running(df: DataFrame, order: list[str], amount: str, out: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """df with the sum of an amount over all rows before, in the order of columns: the sum within its range, and those of the ranges before."""
+    placed = ranged(df, order, rows)
+    inside = F.sum(amount).over(W.partitionBy("_range").orderBy("_place").rowsBetween(W.unboundedPreceding, -1))
+    before = F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # a row a range
+    carried = placed.groupBy("_range").agg(F.sum(amount).alias("_n")).select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(carried), "_range").withColumn(out, F.col("_before") + F.col("_inside")).drop("_range", "_place", "_before", "_inside")
 
 
 def first_by_hash(df: DataFrame, id_column: str, namespace: str, n: int) -> DataFrame:
