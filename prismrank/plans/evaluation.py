@@ -195,12 +195,11 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = rows.groupBy("name").agg(F.to_json(F.collect_list("o")).alias("whole"))
     whole, n = F.replace("whole", F.lit("},{"), F.lit("},\n{")), F.col("name") % 7
     texts = lists.select("name", F.when(n == 3, F.left(whole, F.length(whole) - 4)).when(n == 5, "[ ]").when(n == 6, F.replace(whole, F.lit('"doc_id"'), F.lit('"id"'))).otherwise(whole).alias("value"))
-    texts.repartition("name").write.partitionBy("name").text(at)
+    files.write_texts(texts, at, "name")
     schema = "doc_id long, about struct<lang: string, sizes: array<int>>"
-    named = lambda df: df.withColumn("name", F.regexp_extract("file", r"name=(\d+)/", 1).cast("long"))
-    states = named(files.inspect_documents(spark, at, schema, "doc_id")).select("name", "n_objects", "state")
-    held = named(files.json_documents(spark, at, schema)).filter("broken IS NULL").groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("about.lang")), ",").alias("langs"), F.max(F.array_max("about.sizes")).cast("long").alias("most"))
-    return states.join(held, "name", "left").fillna({"langs": "", "most": 0})
+    langs, most = F.array_join(F.array_sort(F.collect_set("about.lang")), ","), F.max(F.array_max("about.sizes")).cast("long")
+    states = files.inspect_documents(spark, at, schema, "doc_id", langs=langs, most=most)
+    return states.select(F.regexp_extract("file", r"name=(\d+)/", 1).cast("long").alias("name"), "n_objects", "state", "langs", "most").fillna({"langs": "", "most": 0})
 
 
 @register("SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")

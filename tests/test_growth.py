@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismrank.operators import aggregate, metrics, postings, workflow
+from prismrank.sources import files
 
 
 def test_poisson_weights_by_leading_bits():
@@ -74,3 +75,12 @@ def test_gold_groups_of_repeated_samples(spark):
     documents, groups = workflow.gold_groups(samples, "id", "body", "kind")
     assert {r["sample"]: r["gold_ids"] for r in groups.collect()} == {1: [0, 1, 2], 2: [3, 4], 4: []}
     assert [(r["corpus_position"], r["sample"]) for r in documents.orderBy("corpus_position").collect()] == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_files_are_inspected_in_one_scan(spark, tmp_path):
+    """Sums of a file's objects come with its state; files are put in place by name."""
+    at = str(tmp_path / "out")
+    texts = [(1, '[{"id": 1, "x": 4},\n{"id": 2, "x": 9}]'), (2, '[{"id": 3, "x"'), (3, "[ ]"), (4, '[{"x": 5}]')]
+    files.write_texts(spark.createDataFrame(texts, "name long, value string"), at, "name")
+    found = files.inspect_documents(spark, at, "id long, x long", "id", most=F.max("x"))
+    assert {r["file"].split("name=")[1][0]: (r["n_objects"], r["state"], r["most"]) for r in found.collect()} == {"1": (2, "SEVERAL", 9), "2": (0, "BROKEN", None), "3": (0, "EMPTY", None), "4": (1, "UNNAMED", 5)}
