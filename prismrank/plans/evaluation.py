@@ -198,7 +198,7 @@ def json_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files.write_texts(texts, at, "name")
     schema = "doc_id long, about struct<lang: string, sizes: array<int>>"
     langs, most = F.array_join(F.array_sort(F.collect_set("about.lang")), ","), F.max(F.array_max("about.sizes")).cast("long")
-    states = files.inspect_documents(spark, at, schema, "doc_id", langs=langs, most=most)
+    states = files.inspect_folders(spark, at, schema, "doc_id", langs=langs, most=most)
     return states.select(F.regexp_extract("file", r"name=(\d+)/", 1).cast("long").alias("name"), "n_objects", "state", "langs", "most").fillna({"langs": "", "most": 0})
 
 

@@ -1,5 +1,7 @@
 """Steps whose memory or time grew faster than they need: they give what plain versions give, in bounded pieces."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +86,48 @@ def test_files_are_inspected_in_one_scan(spark, tmp_path):
     files.write_texts(spark.createDataFrame(texts, "name long, value string"), at, "name")
     found = files.inspect_documents(spark, at, "id long, x long", "id", most=F.max("x"))
     assert {r["file"].split("name=")[1][0]: (r["n_objects"], r["state"], r["most"]) for r in found.collect()} == {"1": (2, "SEVERAL", 9), "2": (0, "BROKEN", None), "3": (0, "EMPTY", None), "4": (1, "UNNAMED", 5)}
+
+
+def test_files_are_dealt_by_number(spark, tmp_path, monkeypatch):
+    """Many small files are written by many tasks, although they have few bytes, and each file is there once."""
+    monkeypatch.setattr(files, "FILES_A_TASK", 25, raising=False)
+    at = tmp_path / "out"
+    files.write_texts(spark.range(300).select(F.col("id").alias("name"), F.concat(F.lit("text "), "id").alias("value")), str(at), "name")
+    written = sorted(at.rglob("name=*/part-*.txt"))
+    assert {f.parent.name: f.read_text() for f in written} == {f"name={i}": f"text {i}\n" for i in range(300)} and len(written) == 300
+    tasks = Counter(f.name.split("-")[1] for f in written)
+    assert len(tasks) >= 9 and max(tasks.values()) <= 75
+
+
+def test_folders_are_listed_in_few_tasks(spark, tmp_path):
+    """More folders than tasks; the session's setting is as before."""
+    at, key = str(tmp_path / "out"), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    files.write_texts(spark.range(100).select(F.col("id").alias("name"), F.format_string('{"id": %d}', "id").alias("value")), at, "name")
+    before, sc = spark.conf.get(key), spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    try:
+        states = files.inspect_documents(spark, at, "id long", "id")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 8 * sc.defaultParallelism < 100
+    assert spark.conf.get(key) == before
+    assert [tuple(r) for r in states.groupBy("state").count().collect()] == [("ARTIFACT", 100)]
+
+
+def test_folders_are_inspected_one_at_a_time(spark, tmp_path, monkeypatch):
+    """No listing has the files of all folders; states are those of one look at all. Without files there are no states."""
+    monkeypatch.setattr(files, "FILES_A_FOLDER", 20)
+    listed, inspect = [], files.inspect_documents
+    monkeypatch.setattr(files, "inspect_documents", lambda spark, path, *a, **more: listed.append(path) or inspect(spark, path, *a, **more))
+    text = F.when(F.col("id") % 3 == 0, "[ ]").when(F.col("id") % 3 == 1, '[{"id": 1,').otherwise(F.format_string('[{"id": %d, "x": 1}, {"id": 0, "x": %d}]', "id", "id"))
+    at, none = str(tmp_path / "out"), str(tmp_path / "none")
+    files.write_texts(spark.range(100).select(F.col("id").alias("name"), text.alias("value")), at, "name")
+    rows = lambda df: sorted((r["file"].rpartition("name=")[2].split("/")[0], r["n_objects"], r["state"], r["most"] or 0) for r in df.collect())
+    got = rows(files.inspect_folders(spark, at, "id long, x long", "id", most=F.max("x")))
+    assert got == rows(inspect(spark, at, "id long, x long", "id", most=F.max("x"))) and len(got) == 100
+    assert got == sorted((str(i), [0, 0, 2][i % 3], ["EMPTY", "BROKEN", "SEVERAL"][i % 3], i if i % 3 == 2 else 0) for i in range(100))
+    assert len(listed) >= 4 and all("folder=" in p for p in listed)
+    files.write_texts(spark.range(0).select(F.col("id").alias("name"), F.lit("").alias("value")), none, "name")
+    assert files.inspect_folders(spark, none, "id long", "id").collect() == []
